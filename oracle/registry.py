@@ -1,2 +1,5 @@
-from oracle.base import e, q
-ORACLE = {"all_tickets": q("SELECT * FROM tickets")}
+"""name -> DuckDB SQL for the registered queries."""
+
+from oracle import payments, reports
+
+ORACLE = {**payments.SQL, **reports.SQL}

@@ -112,7 +112,7 @@ def week_spine(df: DataFrame, week: str = "week", last: int | None = None) -> Da
     weeks = F.sequence(F.col("a").cast("date"), F.col("b").cast("date"), F.expr("interval 7 days"))
     if last:
         weeks = F.slice(F.reverse(weeks), 1, last)
-    return ends.select(F.explode(weeks).cast("timestamp").alias(week))
+    return ends.select(F.explode(weeks).alias("_day")).select(F.col("_day").cast("timestamp").alias(week))
 
 
 def array_median(a: Column) -> Column:

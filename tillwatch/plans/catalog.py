@@ -1,7 +1,237 @@
-"""The registered queries: name -> f(spark, sf_dir)."""
+"""The registered queries: name -> f(spark, sf_dir). Thresholds that depend on volume are set for small test data."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tillwatch.functions import columns as C
+from tillwatch.operators import (anomaly, behaviour, cohort, features, finance, kpis, marketing, metrics,
+                                 product, profile, ranking, weekly)
+from tillwatch.plans import goldset, marts
 from tillwatch.plans.facts import attempts, tickets
+from tillwatch.schema import CAMPAIGN_TYPES, PAYING_METHODS
+from tillwatch.sources import tpch
+
+MIN_WEEKLY = 20          # attempts a week needs for an alert row
+GOLD_YEAR = 2000
+
+
+def _ts(text: str):
+    return F.to_timestamp(F.lit(text))
+
+
+def _on_tickets(f, *args, **kw):
+    """Register an operator on the ticket fact."""
+    return lambda spark, d: f(tickets(spark, d), *args, **kw)
+
+
+def _on_events(f, *args, **kw):
+    return lambda spark, d: f(attempts(spark, d), *args, **kw)
+
+
+def _alerts(t: DataFrame) -> DataFrame:
+    return anomaly.detect(metrics.weekly_error_rates(t), min_tickets=MIN_WEEKLY)
+
+
+def _daily_alerts(spark: SparkSession, d: str) -> DataFrame:
+    a = attempts(spark, d).withColumn("day", F.to_date("time"))
+    return anomaly.detect(metrics.weekly_error_rates(a, "day"), period="day")
+
+
+def _this_week(f, **kw):
+    def run(spark, d):
+        t = tickets(spark, d)
+        return f(t, product.latest_full_week(t), **kw)
+    return run
+
+
+def _customers(t: DataFrame) -> DataFrame:
+    """Distinct customers of the fact with their profile columns."""
+    cols = ["usergender", "dob", "age", "age_generation"]
+    return t.groupBy("customer_id").agg(*[F.first(c).alias(c) for c in cols])
+
+
+def _features(t: DataFrame) -> DataFrame:
+    return marketing.with_segment(marketing.customer_features(t, marts.day_after(t)))
+
+
+def _rounded(df: DataFrame, *cols: str) -> DataFrame:
+    """Means of doubles depend on the order of addition; shown values are rounded."""
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+def _segment_summary(spark, d):
+    f = _features(tickets(spark, d)).withColumn("score", marketing.recency_score())
+    return _rounded(marketing.segment_summary(f), "avg_score")
+
+
+def _rfm(spark, d):
+    return _rounded(_features(tickets(spark, d)), "discount_rate")
+
+
+def _training_set(spark, d):
+    t = tickets(spark, d)
+    cuts = marketing.training_cuts(marts.day_after(t))
+    return _rounded(marketing.features_at(t, cuts, marketing.HORIZON_DAYS), "discount_rate")
+
+
+def _campaign_verdict(spark, d):
+    t = tickets(spark, d)
+    return marketing.campaign_verdict(marketing.campaign_effectiveness(t),
+                                      marketing.campaign_effectiveness(t, "campaign_id", 20), 0.4)
+
+
+def _dim(spark, d):
+    return marts.dim_customer(tickets(spark, d), tpch.customer(spark, d))
+
+
+def _campaign_summary(spark, d):
+    return marts.campaign_summary(tickets(spark, d), tpch.campaign(spark, d))
+
+
+def _customer_mart(spark, d):
+    t = tickets(spark, d)
+    return _rounded(marts.customer_features(t, marts.day_after(t)), "discount_rate")
+
+
+def _marts(spark, d):
+    t = tickets(spark, d)
+    return {
+        "fact_payment_attempts": marts.fact_payment_attempts(t),
+        "dim_customer": marts.dim_customer(t, tpch.customer(spark, d)),
+        "customer_features": marts.customer_features(t, marts.day_after(t)),
+        "campaign_summary": marts.campaign_summary(t, tpch.campaign(spark, d)),
+    }
+
+
+def _dictionary(spark, d):
+    m = _marts(spark, d)
+    return profile.data_dictionary({k: m[k] for k in ("dim_customer", "campaign_summary")})
+
+
+def _weekly_facts(spark, d):
+    t = tickets(spark, d)
+    return weekly.weekly_facts(t, _alerts(t), min_method=5)
+
+
+def _rule_groups(t: DataFrame) -> DataFrame:
+    f = features.build_features(t)
+    train, test = features.time_split(f, _ts("2000-01-01"))
+    scored = features.rule_scores(train, test)
+    return ranking.score_groups(scored, "score", "is_failed")
+
+
+def _recency_groups(t: DataFrame) -> DataFrame:
+    cut = C.plus_days(marts.day_after(t), -marketing.HORIZON_DAYS)
+    f = marketing.features_at(t, [cut], marketing.HORIZON_DAYS).withColumn("score", -F.col("recency_days").cast("double"))
+    return ranking.score_groups(f, "score", "y")
+
+
+def _kpi_table(t: DataFrame) -> DataFrame:
+    return kpis.busy_months(kpis.monthly_kpis(t), 100)
+
+
+def _gold(name):
+    return lambda spark, d: goldset.ask(spark, tickets(spark, d), name, GOLD_YEAR)
+
 
-QUERIES = {"all_tickets": tickets, "all_events": attempts}
+QUERIES = {
+    # cleaning and the fact
+    "clean_tickets": tickets,
+    "event_attempts": attempts,
+    # failure, recovery, lost customers
+    "failure_rate_by_method": _on_tickets(metrics.failure_rate_by, "paying_method"),
+    "failure_rate_by_platform": _on_tickets(metrics.failure_rate_by, "platform"),
+    "failure_rate_by_campaign": _on_tickets(metrics.failure_rate_by, "campaign_type"),
+    "first_attempts": _on_tickets(lambda t: metrics.first_attempts(t).drop("success_value")),
+    "lost_summary": _on_tickets(metrics.lost_at_payment_summary),
+    "lost_by_reason": _on_tickets(metrics.lost_by_reason),
+    "rescue_scenarios": _on_tickets(metrics.rescue_scenarios),
+    "followup_rates": _on_tickets(metrics.followup_rates),
+    "weekly_error_rates": _on_tickets(metrics.weekly_error_rates),
+    "recovery_rate_7d": _on_tickets(metrics.recovery_rate, 7),
+    "recovery_rate_events": _on_events(metrics.recovery_rate, 1),
+    "next_success_gap": _on_tickets(metrics.next_success_gaps),
+    "next_success_gap_events": _on_events(metrics.next_success_gaps),
+    "monthly_success_rate": _on_tickets(metrics.monthly_success_rate),
+    "monthly_external_rate": _on_tickets(metrics.monthly_group_rate),
+    "error_trend_group": _on_tickets(metrics.error_trend, "error_group"),
+    "error_trend_code": _on_tickets(metrics.error_trend, "description"),
+    # monthly KPIs and finance
+    "monthly_kpis": _on_tickets(kpis.monthly_kpis),
+    "kpi_changes": _on_tickets(lambda t: kpis.kpi_changes(_kpi_table(t))),
+    "kpi_snapshot": _on_tickets(lambda t: kpis.snapshot(_kpi_table(t)).drop("value_text", "previous_text")),
+    "kpi_last_finished_month": _on_tickets(lambda t: kpis.last_finished_month(
+        _kpi_table(t), C.plus_days(product.latest_full_week(t), 7))),
+    "monthly_losses": _on_tickets(finance.monthly_losses),
+    "loss_totals": _on_tickets(lambda t: finance.loss_totals(finance.monthly_losses(t))),
+    "latest_losses": _on_tickets(lambda t: finance.latest_losses(finance.monthly_losses(t))),
+    # customers and campaigns
+    "rfm_segments": _rfm,
+    "segment_summary": _segment_summary,
+    "training_set": _training_set,
+    "campaign_effectiveness": _on_tickets(marketing.campaign_effectiveness),
+    "campaign_id_effectiveness": _on_tickets(marketing.campaign_effectiveness, "campaign_id", 20),
+    "campaign_verdict": _campaign_verdict,
+    "cohort_retention": _on_tickets(cohort.cohort_retention),
+    "cohort_matrix": _on_tickets(lambda t: cohort.cohort_matrix(cohort.cohort_retention(t))),
+    "mean_retention": _on_tickets(lambda t: _rounded(cohort.mean_retention(cohort.cohort_retention(t)), "mean_retention")),
+    "customer_value": _on_tickets(behaviour.customer_value),
+    "buyer_value": _on_tickets(behaviour.buyer_value),
+    "purchase_distribution": _on_tickets(behaviour.purchase_distribution, 4),
+    "promo_usage": _on_tickets(behaviour.promo_usage),
+    "promo_mix": _on_tickets(behaviour.promo_mix),
+    "promo_vs_organic": _on_tickets(behaviour.promo_vs_organic),
+    "heavy_buyers": _on_tickets(behaviour.heavy_buyers, 5),
+    "recovered_vs_never": _on_tickets(behaviour.recovered_vs_never),
+    "low_success_profile": _on_tickets(behaviour.low_success_profile),
+    "low_success_errors": _on_tickets(behaviour.low_success_errors),
+    # volumes and shares
+    "volume_by_month": _on_tickets(behaviour.volume_by_month),
+    "volume_by_weekday": _on_tickets(behaviour.volume_by_weekday),
+    "volume_by_hour": _on_tickets(behaviour.volume_by, "hour"),
+    "volume_by_device": _on_tickets(behaviour.volume_by, "platform", "os_version"),
+    "weekend_ratio": _on_tickets(behaviour.weekend_ratio),
+    "platform_shares": _on_tickets(behaviour.shares, "platform"),
+    "method_shares_by_month": _on_tickets(behaviour.shares, "paying_method", within=("year_month",)),
+    "month_method_pivot": _on_tickets(behaviour.month_pivot, "paying_method", PAYING_METHODS),
+    "month_campaign_pivot": _on_tickets(behaviour.month_pivot, "campaign_type", ["none", *CAMPAIGN_TYPES]),
+    "movie_summary": _on_tickets(behaviour.movie_summary),
+    "movie_months": _on_tickets(behaviour.movie_months, 150),
+    # alerts and weekly reports
+    "weekly_alerts": _on_tickets(_alerts),
+    "daily_alerts": _daily_alerts,
+    "alerts_of_year": _on_tickets(lambda t: anomaly.alerts_in(_alerts(t), 2000)),
+    "alert_calendar": _on_tickets(lambda t: anomaly.recent_calendar(_alerts(t))),
+    "weekly_facts": _weekly_facts,
+    "breakdown_changes": _this_week(product.breakdown_changes, min_tickets=1),
+    "top_increases": _this_week(lambda t, w: product.top_increases(product.breakdown_changes(t, w, min_tickets=1))),
+    "recovery_list": _this_week(weekly.recovery_list),
+    "errors_by_code": _this_week(metrics.errors_by_code),
+    # marts and profiles
+    "fact_payment_attempts": _on_tickets(marts.fact_payment_attempts),
+    "dim_customer": _dim,
+    "customer_features_mart": _customer_mart,
+    "campaign_summary": _campaign_summary,
+    "lost_by_generation": lambda spark, d: marts.lost_by_generation(_dim(spark, d)),
+    "mart_keys": lambda spark, d: marts.key_violations(_marts(spark, d)),
+    "data_dictionary": _dictionary,
+    "null_profile": _on_tickets(profile.null_profile),
+    "distinct_values": _on_tickets(profile.distinct_values, ["paying_method", "platform", "usergender", "movie_name"]),
+    "gender_counts": _on_tickets(lambda t: profile.value_counts(_customers(t), "usergender")),
+    "age_histogram": _on_tickets(lambda t: profile.age_histogram(_customers(t))),
+    "unverified_profile": _on_tickets(lambda t: profile.unverified_profile(_customers(t))),
+    "score_description": _on_tickets(lambda t: _rounded(profile.describe_by(
+        marts.customer_features(t, marts.day_after(t)), "segment", "repurchase_score"), "mean")),
+    # model features and ranking metrics
+    "point_in_time_features": _on_tickets(features.build_features),
+    "repeat_labels": _on_tickets(features.repeat_labels),
+    "recovery_labels": _on_tickets(features.recovery_labels),
+    "rule_auc": _on_tickets(lambda t: ranking.auc(_rule_groups(t))),
+    "rule_capture": _on_tickets(lambda t: _rounded(ranking.top_metrics(_rule_groups(t)), "capture", "precision")),
+    "recency_auc": _on_tickets(lambda t: ranking.auc(_recency_groups(t))),
+    "recency_deciles": _on_tickets(lambda t: _rounded(ranking.deciles(_recency_groups(t)), "predicted", "actual")),
+    # gold questions
+    **{name: _gold(name) for name in goldset.QUESTIONS},
+}
