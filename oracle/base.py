@@ -34,7 +34,7 @@ customers AS (
   SELECT customer_id, CASE WHEN customer_id % 9 = 0 THEN 'Not verify' WHEN customer_id % 2 = 1 THEN 'Male'
       ELSE 'Female' END AS usergender,
     CASE WHEN customer_id % 9 = 0 THEN DATE '1970-01-01'
-      ELSE make_date(customer_id % 55 + 1955, customer_id % 12 + 1, customer_id % 28 + 1) END AS dob
+      ELSE make_date(customer_id % 69 + 1930, customer_id % 12 + 1, customer_id % 28 + 1) END AS dob
   FROM (SELECT c_custkey * 4 + i AS customer_id FROM customer, range(4) r(i))),
 devices AS (
   SELECT 'dev-' || c_custkey AS device_number,

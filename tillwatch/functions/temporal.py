@@ -12,17 +12,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
+MAX_HOT_KEYS = 100_000
 _SEG = "_segment"
 
 
 def with_segments(df: DataFrame, hot_rows: int = HOT_ROWS, key: str = "customer_id", time: str = "time",
                   grain: str = "hour") -> DataFrame:
-    """Add ``_segment``: null for ordinary keys, the truncated time for keys with more than ``hot_rows`` rows."""
-    hot = (
-        df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
-        .select(key, F.lit(True).alias("_hot"))
-    )
-    return df.join(hot, key, "left").withColumn(_SEG, F.when(F.col("_hot"), F.date_trunc(grain, time))).drop("_hot")
+    """Add ``_segment`` (null for ordinary keys, the truncated time for hot ones) and partition by (key, segment).
+
+    A key is hot above ``hot_rows`` rows and above 1/100,000 of all rows, so fewer than 100,000 keys can be hot and
+    their list is safe to broadcast at any data size. The explicit repartition is the shuffle the window needs; left to
+    itself Spark would keep an earlier partitioning by key alone and put a hot key back into one task.
+    """
+    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
+    limit = counts.agg(F.greatest(F.lit(float(hot_rows)), F.sum("_n") / MAX_HOT_KEYS)).scalar()
+    hot = counts.where(F.col("_n") > limit).select(key, F.lit(True).alias("_hot"))
+    d = df.join(F.broadcast(hot), key, "left")
+    return d.withColumn(_SEG, F.when(F.col("_hot"), F.date_trunc(grain, time))).drop("_hot").repartition(key, _SEG)
 
 
 def with_next_success(df: DataFrame, strict: bool, name: str = "next_success", hot_rows: int = HOT_ROWS) -> DataFrame:

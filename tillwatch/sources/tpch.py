@@ -75,7 +75,7 @@ def customer(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.explode(F.transform(F.sequence(F.lit(0), F.lit(ACCOUNTS - 1)),
                               lambda i: F.col("c_custkey") * ACCOUNTS + i)).alias("customer_id"))
     i = F.col("customer_id")
-    born = F.make_date((i % 55 + 1955).cast("int"), (i % 12 + 1).cast("int"), (i % 28 + 1).cast("int"))
+    born = F.make_date((i % 69 + 1930).cast("int"), (i % 12 + 1).cast("int"), (i % 28 + 1).cast("int"))
     return ids.select(
         "customer_id",
         F.when(i % 9 == 0, "Not verify").when(i % 2 == 1, "Male").otherwise("Female").alias("usergender"),
