@@ -3,18 +3,19 @@
 Folder layout below ``root``:
 
     incoming/                 CSV drops
-    warehouse/ticket_history/ loaded attempts, partitioned by file_date and file
-    warehouse/refs/<table>/   accepted reference rows, partitioned by file_date and file (newest row per key wins)
+    warehouse/ticket_history/ loaded attempts, partitioned by file_date
+    warehouse/refs/<table>/   accepted reference rows (newest row per key wins)
     quarantine/<table>/       rows of blocked files with the failed checks
     state/                    one row per decided file
     log/quality, log/checks, log/daily_ops
 
-Every write replaces exactly the partitions of the files it handles and the state is written last, so a run that died
-half way is repeated without harm.
+Every row carries the id of its load, and the state, written last, is the list of committed loads: readers see a load
+whole or not at all, and a run that died half way is simply repeated.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,7 @@ STATE = T.StructType([
     T.StructField("file", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("file_date", T.DateType()),
     T.StructField("file_size", T.LongType()), T.StructField("status", T.StringType()), T.StructField("rows", T.LongType()),
     T.StructField("errors", T.ArrayType(T.StringType())), T.StructField("warnings", T.ArrayType(T.StringType())),
-    T.StructField("decided_at", T.TimestampType()),
+    T.StructField("decided_at", T.TimestampType()), T.StructField("load_id", T.StringType()),
 ])
 
 
@@ -58,13 +59,19 @@ def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def _stored_schema(kind: str) -> T.StructType:
-    extra = [T.StructField("file_date", T.DateType()), T.StructField("file", T.StringType())]
+    extra = [T.StructField("file", T.StringType()), T.StructField("load_id", T.StringType()), T.StructField("file_date", T.DateType())]
     return T.StructType([*SCHEMAS[kind].fields, *extra])
 
 
+def _committed(spark: SparkSession, paths: Paths, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of loads that reached the state (one id per load, a small table)."""
+    loads = _read(spark, paths.at("state"), STATE).select("load_id").distinct()
+    return _read(spark, paths.at(path), schema).join(loads, "load_id", "left_semi")
+
+
 def read_warehouse(spark: SparkSession, paths: Paths) -> DataFrame:
     """All loaded attempts; filters on ``file_date`` prune folders."""
-    return _read(spark, paths.at(f"warehouse/{TICKETS}"), _stored_schema(TICKETS))
+    return _committed(spark, paths, f"warehouse/{TICKETS}", _stored_schema(TICKETS))
 
 
 def loaded_ids(spark: SparkSession, paths: Paths) -> DataFrame:
@@ -82,7 +89,7 @@ def load_refs(spark: SparkSession, paths: Paths, base: dict[str, DataFrame]) ->
     out = {}
     for kind, key in REFERENCE_KEYS.items():
         names = [f.name for f in SCHEMAS[kind]]
-        new = _read(spark, paths.at(f"warehouse/refs/{kind}"), _stored_schema(kind)).select(
+        new = _committed(spark, paths, f"warehouse/refs/{kind}", _stored_schema(kind)).select(
             *names, F.struct(F.col("file_date").cast("string"), "file").alias("_order"))
         out[kind] = upsert(base[kind].select(*names), latest_per_key(new, key, "_order").select(*names), key)
     return out
@@ -183,11 +190,24 @@ def daily_ops(tickets: DataFrame, status_table: DataFrame, by: list[str]) -> Dat
         *[F.count_if(F.col("is_failed") & (F.col("error_group") == g)).alias(f"errors_{g}") for g in ERROR_GROUPS])
 
 
-def _save(df: DataFrame, path: str, partition_by: list[str]) -> None:
-    """Replace only the partitions present in ``df``. The rebalance hint evens out file sizes: small days are packed
-    together and a day with very many rows is split over tasks."""
-    (df.hint("rebalance", *partition_by).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path))
+def _append(df: DataFrame, path: str, partition_by: list[str], rows_per_task: int = 1_000_000) -> None:
+    """Append rows that carry ``kept_rows`` of their file.
+
+    A file goes to one task, or to one per million rows when it is larger, so a day that holds a third of all rows is
+    written by many tasks and small days do not turn into many tiny files. Uncommitted loads are invisible to readers,
+    so tasks may publish their files themselves (committer version 2) instead of one rename loop on the driver.
+    """
+    parts = F.ceil(F.col("kept_rows") / rows_per_task).cast("int")
+    salt = F.when(parts > 1, F.pmod(F.xxhash64(*[c for c in df.columns if c != "kept_rows"]), parts)).otherwise(0)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartition(tasks, "file_date", salt).drop("kept_rows").write.mode("append")
+     .option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(*partition_by).parquet(path))
+
+
+def read_daily_ops(spark: SparkSession, paths: Paths) -> DataFrame:
+    """The daily operations log of committed loads."""
+    path = paths.at("log/daily_ops")
+    return _committed(spark, paths, "log/daily_ops", spark.read.parquet(path).schema).drop("load_id")
 
 
 def run(spark: SparkSession, paths: Paths, base_refs: dict[str, DataFrame], until: str | None = None) -> DataFrame:
@@ -226,19 +246,21 @@ def run(spark: SparkSession, paths: Paths, base_refs: dict[str, DataFrame], unti
 
 def _judge(spark: SparkSession, paths: Paths, base_refs: dict[str, DataFrame], listing: DataFrame, files: DataFrame,
            data: DataFrame) -> DataFrame:
-    state = read_state(spark, paths)
-    kinds = [TICKETS, *REFERENCE_KEYS]
+    state, load_id = read_state(spark, paths), uuid.uuid4().hex
+    kinds = [r["kind"] for r in files.select("kind").distinct().collect()]  # at most five
+    if not kinds:
+        return _decided(spark, paths, listing, None)
     rows = {k: fs.table_rows(data, k) for k in kinds}
     refs = load_refs(spark, paths, base_refs)
     history = state.where((F.col("status") == "loaded") & (F.col("kind") == TICKETS)).select("file_date", "rows")
     checks = write_shared(gate(rows, files, refs, loaded_ids(spark, paths), history), "checks")
     decided = _decided(spark, paths, listing, quality.summarize(checks).join(files.drop("header"), "file"))
 
-    accepted = decided.where(F.col("decision") == "accept").select("file", F.col("kind").alias("_kind"))
+    accepted = decided.where(F.col("decision") == "accept").select("file", "kept_rows", F.col("kind").alias("_kind"))
     for kind in kinds:
         target = f"warehouse/{kind}" if kind == TICKETS else f"warehouse/refs/{kind}"
-        ok = rows[kind].join(accepted.where(F.col("_kind") == kind).select("file"), "file", "left_semi")
-        _save(typed(ok, kind), paths.at(target), ["file_date", "file"])
+        ok = typed(rows[kind], kind).join(accepted.where(F.col("_kind") == kind).drop("_kind"), "file")
+        _append(ok.withColumn("load_id", F.lit(load_id)), paths.at(target), ["file_date"] if kind == TICKETS else [])
     blocked = decided.where(F.col("decision") == "quarantine").select("file", "errors")
     _quarantine(paths, data.join(blocked, "file"))
     handled = decided.where(F.col("decision") != "pending")
@@ -250,11 +272,12 @@ def _judge(spark: SparkSession, paths: Paths, base_refs: dict[str, DataFrame], l
     report = checks.join(handled.select("file", "kind", "file_date"), "file").groupBy("file", "kind", "file_date").agg(
         F.collect_list(F.struct("check", "severity", "status", "failed_rows", "detail")).alias("checks"))
     report.withColumn("checks", F.to_json("checks")).write.mode("append").parquet(paths.at("log/checks"))
-    now = read_warehouse(spark, paths).join(accepted.where(F.col("_kind") == TICKETS).select("file"), "file", "left_semi")
-    ops = daily_ops(now, load_refs(spark, paths, base_refs)["status_detail"], ["file_date", "file"])
-    _save(ops, paths.at("log/daily_ops"), ["file_date", "file"])
+    if TICKETS in kinds:
+        loaded = typed(rows[TICKETS], TICKETS).join(accepted.select("file"), "file", "left_semi")
+        ops = daily_ops(loaded, load_refs(spark, paths, base_refs)["status_detail"], ["file_date", "file"])
+        ops.withColumn("load_id", F.lit(load_id)).write.mode("append").parquet(paths.at("log/daily_ops"))
     _write_state(paths, handled.withColumn("status", F.when(F.col("decision") == "accept", "loaded").otherwise("failed"))
-                 .withColumn("rows", F.col("kept_rows")))
+                 .withColumn("rows", F.col("kept_rows")), load_id)
     return decided
 
 
@@ -274,8 +297,8 @@ def _quarantine(paths: Paths, rows: DataFrame) -> None:
     rows.select("file", "kind", "header", "values", "errors").write.mode("append").parquet(paths.at("quarantine"))
 
 
-def _write_state(paths: Paths, decided: DataFrame) -> None:
-    decided.withColumn("decided_at", F.current_timestamp()).select(*STATE.names).write.mode("append").parquet(paths.at("state"))
+def _write_state(paths: Paths, decided: DataFrame, load_id: str | None = None) -> None:
+    decided.withColumn("decided_at", F.current_timestamp()).withColumn("load_id", F.lit(load_id).cast("string")).select(*STATE.names).write.mode("append").parquet(paths.at("state"))
 
 
 class DataQualityError(RuntimeError):

@@ -31,9 +31,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
     Only where no folder is configured (a local test run) is a temporary one made.
     """
-    base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get(CHECKPOINT_KEY, None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")

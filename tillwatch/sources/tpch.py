@@ -114,7 +114,11 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def event_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchase and error events as payment attempts with microsecond times."""
-    e = _read(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "error"))
+    return as_attempts(_read(spark, sf_dir, "events"))
+
+
+def as_attempts(events: DataFrame) -> DataFrame:
+    e = events.where(F.col("event_type").isin("purchase", "error"))
     ok = F.col("event_type") == "purchase"
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(
