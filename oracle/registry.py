@@ -1,5 +1,5 @@
 """name -> DuckDB SQL for the registered queries."""
 
-from oracle import payments, reports
+from oracle import payments, reports, texts
 
-ORACLE = {**payments.SQL, **reports.SQL}
+ORACLE = {**payments.SQL, **reports.SQL, **texts.SQL}

@@ -16,15 +16,16 @@ DIGITS = 6
 
 
 def score_groups(scored: DataFrame, score: str = "score", label: str = "label", digits: int = DIGITS) -> DataFrame:
-    """One row per distinct score: rows, positives, rows with a lower score, rows with a higher score."""
+    """One row per distinct score: rows, positives, rows with a lower and with a higher score, and all positives."""
     g = scored.groupBy(F.round(score, digits).alias("score")).agg(
         F.count("*").alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos"))
     up = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     zero = F.lit(0).cast("bigint")
-    return g.select(
-        "score", "n", "pos", F.coalesce(F.sum("n").over(up), zero).alias("below"),
-        F.coalesce(F.sum("n").over(down), zero).alias("above"))
+    below = F.coalesce(F.sum("n").over(up), zero)
+    return g.select("score", "n", "pos", below.alias("below"), F.sum("n").over(everything).alias("rows"),
+                    F.sum("pos").over(everything).alias("positives")).withColumn(
+        "above", F.col("rows") - F.col("below") - F.col("n"))
 
 
 def auc(groups: DataFrame) -> DataFrame:
@@ -37,21 +38,19 @@ def auc(groups: DataFrame) -> DataFrame:
 
 def top_metrics(groups: DataFrame, fractions: tuple[float, ...] = (0.1, 0.2, 0.3)) -> DataFrame:
     """capture@k (share of positives in the top fraction), precision@k and the base rate."""
-    total = groups.agg(F.sum("n").alias("rows"), F.sum("pos").alias("positives"))
-    rows, positives = total.select("rows").scalar(), total.select("positives").scalar()
     g = groups.withColumn("fraction", F.explode(F.array(*[F.lit(f) for f in fractions])))
-    k = F.floor(rows * F.col("fraction"))
+    k = F.floor(F.col("rows") * F.col("fraction"))
     taken = F.greatest(F.least(F.col("n"), k - F.col("above")), F.lit(0))
-    hits = F.sum(F.col("pos") * taken / F.col("n"))
-    return g.groupBy("fraction").agg(hits.alias("_hits"), F.sum(taken).alias("n_top")).select(
-        "fraction", "n_top", C.ratio("_hits", positives).alias("capture"),
-        C.ratio("_hits", "n_top").alias("precision"), C.ratio(positives, rows).alias("base_rate")).orderBy("fraction")
+    return g.groupBy("fraction").agg(
+        F.sum(F.col("pos") * taken / F.col("n")).alias("_hits"), F.sum(taken).alias("n_top"),
+        F.max("positives").alias("_p"), F.max("rows").alias("_r")).select(
+        "fraction", "n_top", C.ratio("_hits", "_p").alias("capture"), C.ratio("_hits", "n_top").alias("precision"),
+        C.ratio("_p", "_r").alias("base_rate")).orderBy("fraction")
 
 
 def deciles(groups: DataFrame, buckets: int = 10) -> DataFrame:
     """Equal-count buckets by score (1 = lowest): mean prediction, actual rate, rows."""
-    total = groups.agg(F.sum("n")).scalar()
-    # bucket b covers the ranks (ceil-free) [total*(b-1)/buckets, total*b/buckets)
+    total = F.col("rows")
     lo, hi = F.col("below"), F.col("below") + F.col("n")
     first = F.floor(lo * buckets / total) + 1
     last = F.least(F.ceil(hi * buckets / total), F.lit(buckets))

@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwatch.functions import columns as C
+from tillwatch.functions.tables import union_on
+from tillwatch.session import write_shared
 
 # fixed values: they decide where passages are cut and how ranks are fused
 MAX_CHARS, MIN_CHARS, TOP_K, RRF = 1500, 40, 6, 60
-HEADING = r"^(#{1,4})\s+(.*)$"
-FENCE = "```"
+HEADING = r"(?d)\A(#{1,4})[ \t]+(.*)"
+HEADING_LINE = r"(?dm)^(?=#{1,4}[ \t])"
+FENCE_LINE = r"(?dm)^(?=[ \t]*```)"
+MASK = "\u0001"
 TITLE_SEPARATOR = " › "
 TOKEN = r"[\p{L}\p{N}_]+"
 BLANK_LINE = r"\n\s*\n"
@@ -19,37 +23,32 @@ BLANK_LINE = r"\n\s*\n"
 # ---------------------------------------------------------------- passages
 
 def sections(text: Column, label: Column) -> Column:
-    """Sections of a Markdown text as an array of (title, body).
+    """Sections of a Markdown text as an array of (title, body), within one row and without a shuffle.
 
-    A fold over the lines of one row: no shuffle, no exploded lines. Every line carries its own heading path, so
-    sections are found by comparing neighbours. Lines inside code fences are never headings.
+    The text is cut at fence lines; in every second piece, which is code, line-initial ``#`` is masked. What still looks
+    like a heading is one, so a second cut gives the sections, and only the short list of headings is folded into paths.
     """
-    lines = F.split(text, r"\r\n|\n|\r")
-    start = F.struct(
-        F.lit(False).alias("code"), F.array().cast("array<string>").alias("path"), F.lit(0).alias("section"),
-        F.array().cast("array<struct<section:int,title:string,line:string>>").alias("out"))
-
-    def step(acc, line):
-        fence = F.ltrim(line).startswith(FENCE)
-        code = acc["code"] != fence
-        heading = ~code & line.rlike(HEADING)
-        level = F.length(F.regexp_extract(line, HEADING, 1))
-        kept = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.when(i < level, F.get(acc["path"], i - 1)))
-        path = F.when(heading, F.transform(kept, lambda h, i: F.when(i + 1 == level, F.trim(F.regexp_extract(line, HEADING, 2))).otherwise(h)))
-        path = path.otherwise(acc["path"])
-        section = acc["section"] + heading.cast("int")
-        item = F.struct(section.alias("section"), _title(acc["path"], label).alias("title"), line.alias("line"))
-        out = F.when(heading, acc["out"]).otherwise(F.array_append(acc["out"], item))
-        return F.struct(code.alias("code"), path.alias("path"), section.alias("section"), out.alias("out"))
-
-    return F.aggregate(lines, start, step, lambda acc: acc["out"])
+    unix = F.regexp_replace(text, r"\r\n?", "\n")
+    pieces = F.transform(F.split(unix, FENCE_LINE), lambda p, i: F.when(i % 2 == 1, F.regexp_replace(p, r"(?dm)^#", MASK + "#")).otherwise(p))
+    parts = F.split(F.array_join(pieces, ""), HEADING_LINE)
+    start = F.struct(F.array_repeat(F.lit(None).cast("string"), 4).alias("path"), F.array().cast("array<string>").alias("titles"))
+
+    def step(acc, part):
+        level = F.length(F.regexp_extract(part, HEADING, 1))
+        name = F.trim(F.regexp_extract(part, HEADING, 2))
+        path = F.transform(acc["path"], lambda h, i: F.when(i + 1 == level, name).when(i + 1 < level, h))
+        path = F.when(level > 0, path).otherwise(acc["path"])
+        return F.struct(path.alias("path"), F.array_append(acc["titles"], _title(path, label)).alias("titles"))
+
+    titles = F.aggregate(parts, start, step, lambda acc: acc["titles"])
+    body = lambda p: _strip(F.replace(F.regexp_replace(p, HEADING, ""), F.lit(MASK), F.lit("")))
+    return F.zip_with(titles, parts, lambda t, p: F.struct(t.alias("title"), body(p).alias("body")))
 
 
 def _title(path: Column, label: Column) -> Column:
     """Headings below the first level joined; the first level alone when there is nothing below it."""
-    deep = F.filter(F.slice(path, 2, 4), lambda h: h.isNotNull())
-    top = F.filter(path, lambda h: h.isNotNull())
-    used = F.when(F.size(deep) > 0, deep).otherwise(top)
+    deep = F.filter(F.slice(path, 2, 3), lambda h: h.isNotNull())
+    used = F.when(F.size(deep) > 0, deep).otherwise(F.filter(path, lambda h: h.isNotNull()))
     return F.when(F.size(used) > 0, F.array_join(used, TITLE_SEPARATOR)).otherwise(label)
 
 
@@ -60,7 +59,7 @@ def _strip(c: Column) -> Column:
 def split_long(text: Column, separator: str = BLANK_LINE, joiner: str = "\n\n", max_chars: int = MAX_CHARS) -> Column:
     """Pack paragraphs greedily into parts of at most ``max_chars``; a longer paragraph stays whole."""
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit("").alias("cur"))
-    grow = lambda acc, p: F.length(acc["cur"]) + F.length(p) + 2 > max_chars
+    grow = lambda acc, p: F.length(acc["cur"]) + F.length(p) + len(joiner) > max_chars
 
     def step(acc, p):
         full = (acc["cur"] != "") & grow(acc, p)
@@ -75,19 +74,11 @@ def split_long(text: Column, separator: str = BLANK_LINE, joiner: str = "\n\n",
 
 def chunk_markdown(docs: DataFrame, separator: str = BLANK_LINE, joiner: str = "\n\n") -> DataFrame:
     """Passages of (source, label, text) documents: heading path as title, short bodies dropped, long ones split."""
-    lines = docs.withColumn("_lines", sections(F.col("text"), F.col("label")))
-    ids = F.array_distinct(F.transform("_lines", lambda x: x["section"]))
-    bodies = F.transform(ids, lambda s: _body(F.filter("_lines", lambda x: x["section"] == s)))
-    out = lines.select("source", "label", F.posexplode(F.filter(bodies, lambda b: F.length(b["body"]) >= MIN_CHARS)).alias("section", "_b"))
+    found = F.filter(sections(F.col("text"), F.col("label")), lambda b: F.length(b["body"]) >= MIN_CHARS)
+    out = docs.select("source", "label", F.posexplode(found).alias("section", "_b"))
     out = out.select("source", "label", "section", F.col("_b.title").alias("title"),
                      F.posexplode(split_long(F.col("_b.body"), separator, joiner)).alias("part", "text"))
-    key = F.sha1(F.concat_ws("\n", "source", "title", "text"))
-    return out.withColumn("key", key)
-
-
-def _body(lines: Column) -> Column:
-    return F.struct(F.get(lines, 0)["title"].alias("title"),
-                    _strip(F.array_join(F.transform(lines, lambda x: x["line"]), "\n")).alias("body"))
+    return out.withColumn("key", F.sha1(F.concat_ws("\n", "source", "title", "text")))
 
 
 def drop_provenance(text: Column, prefix: str = "_Nguồn:") -> Column:
@@ -95,12 +86,12 @@ def drop_provenance(text: Column, prefix: str = "_Nguồn:") -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.startswith(prefix)), "\n")
 
 
-def collect_passages(*sources: DataFrame) -> DataFrame:
+def collect_passages(*sources: DataFrame, separator: str = BLANK_LINE, joiner: str = "\n\n") -> DataFrame:
     """Passages of several document tables with the columns source, label, text."""
     docs = sources[0]
     for s in sources[1:]:
         docs = docs.unionByName(s)
-    return chunk_markdown(docs)
+    return chunk_markdown(docs.withColumn("text", drop_provenance(F.col("text"))), separator, joiner)
 
 
 def refresh(passages: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -206,8 +197,10 @@ def fuse(keyword: DataFrame, vector: DataFrame, query_key: str, doc_key: str, k:
     reach, so only the heads of the two lists can win; their rank in the other list is computed exactly.
     """
     depth = RRF + 2 * k
-    wanted = top_k(keyword, query_key, doc_key, depth).select(query_key, doc_key).unionByName(
-        top_k(vector, query_key, doc_key, depth).select(query_key, doc_key)).distinct()
+    # both lists are read several times below
+    keyword, vector = write_shared(keyword, "keyword-scores"), write_shared(vector, "vector-scores")
+    heads = [top_k(x, query_key, doc_key, depth).select(query_key, doc_key) for x in (keyword, vector)]
+    wanted = union_on(heads, query_key, doc_key).distinct()
     kw = ranks_of(keyword, wanted, query_key, doc_key).withColumnRenamed("rank", "keyword_rank")
     vec = ranks_of(vector, wanted, query_key, doc_key).withColumnRenamed("rank", "vector_rank")
     matched = keyword.groupBy(query_key).agg(F.count("*").alias("_matched"))

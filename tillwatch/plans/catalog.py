@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwatch.functions import columns as C
-from tillwatch.operators import (anomaly, behaviour, cohort, features, finance, kpis, marketing, metrics,
-                                 product, profile, ranking, weekly)
-from tillwatch.plans import goldset, marts
+from tillwatch.operators import (anomaly, behaviour, cohort, features, finance, grounding, kpis, marketing, metrics, product,
+                                 profile, quality, ranking, text, weekly)
+from tillwatch.plans import goldset, load, marts, models
 from tillwatch.plans.facts import attempts, tickets
-from tillwatch.schema import CAMPAIGN_TYPES, PAYING_METHODS
+from tillwatch.schema import CAMPAIGN_TYPES, PAYING_METHODS, TICKETS
+from tillwatch.sources import files as fs
 from tillwatch.sources import tpch
+from tillwatch.streaming import daily
 
 MIN_WEEKLY = 20          # attempts a week needs for an alert row
 GOLD_YEAR = 2000
@@ -132,6 +134,196 @@ def _kpi_table(t: DataFrame) -> DataFrame:
     return kpis.busy_months(kpis.monthly_kpis(t), 100)
 
 
+# ---------------------------------------------------------------- daily load
+
+def _delivered(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The whole ticket history as daily files, with faults planted by rule: (rows as delivered, files)."""
+    t = tpch.ticket_history(spark, d)
+    n = F.col("ticket_id").cast("bigint")
+    hit = lambda m, r: n % m == r
+    day = F.to_date("time")
+    t = t.select(
+        F.concat(F.lit("ticket_history_"), day.cast("string"), F.lit(".csv")).alias("file"), day.alias("file_date"), "ticket_id",
+        F.when(~hit(991, 5), F.col("customer_id")).alias("customer_id"),
+        F.when(hit(947, 23), "cash").otherwise(F.col("paying_method")).alias("paying_method"), "theater_name",
+        F.when(hit(941, 29), "dev-x").otherwise(F.col("device_number")).alias("device_number"), "original_price", "discount_value",
+        F.when(hit(983, 7), F.col("original_price") + 5).otherwise(F.col("final_price")).alias("final_price"),
+        F.when(hit(977, 11), "soon").otherwise(F.date_format("time", "yyyy-MM-dd HH:mm:ss.SSS")).alias("time"),
+        F.when(hit(997, 3), 99).otherwise(F.col("status_id")).alias("status_id"),
+        F.when(hit(971, 13), 999).otherwise(F.col("campaign_id")).alias("campaign_id"), "movie_name")
+    copy = lambda when, movie: F.struct(when.alias("kept"), movie.alias("movie"))
+    copies = F.array(copy(F.lit(True), F.col("movie_name")), copy(hit(967, 17), F.col("movie_name")), copy(hit(953, 19), F.lit("other cut")))
+    t = t.withColumn("_copy", F.explode(F.filter(copies, lambda c: c["kept"]))).withColumn("movie_name", F.col("_copy.movie")).drop("_copy")
+    header = F.array(*[F.lit(c) for c in fs.REQUIRED[TICKETS]])
+    return t, t.select("file", "file_date").distinct().withColumn("kind", F.lit(TICKETS)).withColumn("header", header)
+
+
+def _ticket_checks(spark, d) -> DataFrame:
+    rows, files = _delivered(spark, d)
+    refs = {k: v for k, v in tpch.raw_tables(spark, d).items() if k != TICKETS}
+    loaded = tpch.ticket_history(spark, d).select("ticket_id").where(F.col("ticket_id").cast("bigint") % 929 == 31)
+    history = spark.createDataFrame([], "file_date date, rows bigint")
+    return load.gate({TICKETS: rows}, files, refs, loaded, history)
+
+
+def _customer_updates(spark, d) -> DataFrame:
+    """The whole customer table as thirty update files, checked against the table they came from."""
+    c, i = tpch.customer(spark, d), F.col("customer_id")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (i % 30).cast("int"))
+    rows = c.select(
+        F.concat(F.lit("customer_"), day.cast("string"), F.lit(".csv")).alias("file"), day.alias("file_date"), "customer_id",
+        F.when(i % 89 == 3, "Other").when(i % 83 == 5, "Male").otherwise(F.col("usergender")).alias("usergender"),
+        F.when(i % 101 == 7, F.lit(None)).otherwise(F.col("dob")).alias("dob"))
+    files = rows.select("file", "file_date").distinct().withColumn("kind", F.lit("customer")).withColumn(
+        "header", F.array(*[F.lit(x) for x in fs.REQUIRED["customer"]]))
+    return quality.check_reference("customer", rows, files, c)
+
+
+def _checks(f):
+    return lambda spark, d: f(spark, d).drop("detail")
+
+
+def _load_decision(spark, d) -> DataFrame:
+    s = quality.summarize(_ticket_checks(spark, d))
+    s = s.withColumns(fs.name_columns("file"))
+    out = load.decide(s)
+    return out.select("file", "kind", "file_date", "rows", "kept_rows", "status", "decision",
+                      *[F.concat_ws(";", c).alias(c) for c in ("errors", "warnings")])
+
+
+def _daily_ops(spark, d) -> DataFrame:
+    t = tpch.ticket_history(spark, d).withColumn("day", F.to_date("time"))
+    return load.daily_ops(t, tpch.status_table(spark), ["day"])
+
+
+def _quality_rollup(spark, d) -> DataFrame:
+    return quality.warning_counts(_load_decision(spark, d))
+
+
+# ---------------------------------------------------------------- streams
+
+def _stream_ops(spark, d) -> DataFrame:
+    return daily.drain(daily.daily_ops_stream(daily.event_stream(spark, d), tpch.status_table(spark)), "daily-ops")
+
+
+def _stream_repeats(spark, d) -> DataFrame:
+    s = daily.event_stream(spark, d)
+    return daily.drain(daily.without_repeats(s.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")), "no-repeats")
+
+
+# ---------------------------------------------------------------- text
+
+def _table(spark, d, name):
+    return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
+
+
+def _passages(spark, d) -> DataFrame:
+    """Documents as they are, and every conversation turn as a small Markdown document."""
+    docs = _table(spark, d, "documents").select(
+        F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("source"), F.concat_ws(" ", "lang", "source").alias("label"), "text")
+    c = _table(spark, d, "conversations")
+    turns = c.select(
+        F.format_string("conversations/%d/%d", "conv_id", "turn").alias("source"), F.lit("Conversations").alias("label"),
+        F.format_string("# Conversation %d\n\n## Turn %d\n### %s\n%s", "conv_id", "turn", "role", "text").alias("text"))
+    return text.collect_passages(docs, turns, separator="\n", joiner="\n").select("source", "label", "section", "title", "part", "text", "key")
+
+
+def _tfidf(spark, d) -> DataFrame:
+    s = text.keyword_scores(_table(spark, d, "documents"), _table(spark, d, "benchmark"), "doc_id", "item_id")
+    return text.top_k(s, "item_id", "doc_id")
+
+
+def _vector_scores(spark, d) -> DataFrame:
+    """Benchmark items look for their nearest documents; both use the vector stored under their id."""
+    e = _table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    q = _table(spark, d, "benchmark").select("item_id").join(e.withColumnRenamed("doc_id", "item_id"), "item_id")
+    return text.vector_scores(e, q, "doc_id", "item_id")
+
+
+def _vector(spark, d) -> DataFrame:
+    return text.top_k(_vector_scores(spark, d), "item_id", "doc_id")
+
+
+def _fused(spark, d) -> DataFrame:
+    """Fusion over the documents that have a vector."""
+    docs = _table(spark, d, "documents").join(_table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
+    kw = text.keyword_scores(docs, _table(spark, d, "benchmark"), "doc_id", "item_id")
+    vec = _vector_scores(spark, d).join(docs.select("doc_id"), "doc_id", "left_semi")
+    return text.fuse(kw, vec, "item_id", "doc_id")
+
+
+def _hits(spark, d) -> DataFrame:
+    """Each benchmark item expects documents of two sources."""
+    i = F.col("item_id")
+    wanted = F.array(F.concat(F.lit("src"), (i % 20).cast("string")), F.concat(F.lit("src"), ((i + 7) % 20).cast("string")))
+    questions = _table(spark, d, "benchmark").select("item_id", wanted.alias("sources"))
+    return text.hits_at_k(_tfidf(spark, d), _table(spark, d, "documents"), questions, "item_id", "doc_id")
+
+
+def _ungrounded(spark, d) -> DataFrame:
+    """Numbers of each document that its neighbour does not contain."""
+    docs = _table(spark, d, "documents").select("doc_id", "text")
+    near = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("evidence"))
+    j = docs.join(near, "doc_id", "left")
+    bad = grounding.ungrounded_numbers("text", F.array(F.coalesce("evidence", F.lit(""))))
+    return j.select("doc_id", F.array_join(bad, " ").alias("ungrounded"), F.size(bad).cast("bigint").alias("n"))
+
+
+def _graded(spark, d) -> DataFrame:
+    """Assistant turns as answers to the user turn before them: cited when they name the conversation's parity, complete
+    when they contain the last word of the question."""
+    c = _table(spark, d, "conversations")
+    q = c.where(F.col("role") == "user").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
+    a = c.where(F.col("role") == "assistant").join(q, ["conv_id", "turn"])
+    word = F.element_at(F.regexp_extract_all(F.lower("question"), F.lit(text.TOKEN), F.lit(0)), -1)
+    cited = grounding.valid_citations(F.array(F.col("turn"), F.col("turn") % 3, F.lit(99)), F.lit(6))
+    bad = grounding.ungrounded_numbers("text", F.array("question"))
+    a = a.select(
+        "conv_id", "turn", F.col("text").alias("answer"), cited.alias("citations"), F.array(word).alias("must_include"),
+        F.when(F.col("conv_id") % 5 > 0, F.array(F.lit("documents"))).otherwise(F.array().cast("array<string>")).alias("sources"),
+        grounding.answer_status(F.length("text") > 100, bad).alias("status"))
+    return grounding.grade_answers(a)
+
+
+def _result_match(spark, d) -> DataFrame:
+    """A gold answer against one with further columns, and against one with other values."""
+    t = tickets(spark, d)
+    gold = goldset.ask(spark, t, "gold_q11", GOLD_YEAR)
+    wider = metrics.failure_rate_by(t, "platform").where(F.col("platform") != "Unknown")
+    wrong = wider.withColumn("failure_rate", F.col("failure_rate") + 1)
+    row = lambda name, df: grounding.results_match(gold, df).select(F.lit(name).alias("answer"), "match")
+    return row("wider", wider).unionByName(row("wrong", wrong))
+
+
+# ---------------------------------------------------------------- models
+
+def _failure_model(spark, d) -> DataFrame:
+    _, scored = models.failure_scores(tickets(spark, d), _ts("2000-01-01"))
+    groups = ranking.score_groups(scored, "score", "is_failed")
+    return ranking.top_metrics(groups).join(ranking.auc(groups).withColumn("fraction", F.explode(F.array(*[F.lit(x) for x in (0.1, 0.2, 0.3)]))), "fraction")
+
+
+def _failure_deciles(spark, d) -> DataFrame:
+    _, scored = models.failure_scores(tickets(spark, d), _ts("2000-01-01"))
+    return ranking.deciles(ranking.score_groups(scored, "score", "is_failed"))
+
+
+def _importance(spark, d) -> DataFrame:
+    model, scored = models.failure_scores(tickets(spark, d), _ts("2000-01-01"))
+    return models.feature_importance(model, features.CATEGORICAL, features.NUMERIC, scored)
+
+
+def _targets(spark, d) -> DataFrame:
+    t = tickets(spark, d)
+    return models.best_targets(models.target_list(t, marts.day_after(t)))
+
+
+def _scored_fact(spark, d) -> DataFrame:
+    t = tickets(spark, d)
+    _, scored = models.failure_scores(t, _ts("2000-01-01"), everything=True)
+    return marts.fact_payment_attempts(t, scored)
+
+
 def _gold(name):
     return lambda spark, d: goldset.ask(spark, tickets(spark, d), name, GOLD_YEAR)
 
@@ -232,6 +424,30 @@ QUERIES = {
     "rule_capture": _on_tickets(lambda t: _rounded(ranking.top_metrics(_rule_groups(t)), "capture", "precision")),
     "recency_auc": _on_tickets(lambda t: ranking.auc(_recency_groups(t))),
     "recency_deciles": _on_tickets(lambda t: _rounded(ranking.deciles(_recency_groups(t)), "predicted", "actual")),
+    "failure_model_metrics": _failure_model,
+    "failure_model_deciles": _failure_deciles,
+    "feature_importance": _importance,
+    "scored_fact": _scored_fact,
+    "marketing_targets": _targets,
+    # daily load and streams
+    "dq_ticket_checks": _checks(_ticket_checks),
+    "dq_reference_checks": _checks(_customer_updates),
+    "load_decision": _load_decision,
+    "quality_warning_counts": _quality_rollup,
+    "daily_ops": _daily_ops,
+    "stream_daily_ops": _stream_ops,
+    "stream_without_repeats": _stream_repeats,
+    # text
+    "passages": _passages,
+    "tfidf_top_k": _tfidf,
+    "vector_top_k": _vector,
+    "fused_top_k": _fused,
+    "hits_at_k": _hits,
+    "hit_rate": lambda spark, d: text.hit_rate(_hits(spark, d)),
+    "ungrounded_numbers": _ungrounded,
+    "graded_answers": lambda spark, d: _graded(spark, d).select("conv_id", "turn", "status", F.size("citations").cast("bigint").alias("cited"), "correct"),
+    "share_correct": lambda spark, d: grounding.share_correct(_graded(spark, d)),
+    "result_match": _result_match,
     # gold questions
     **{name: _gold(name) for name in goldset.QUESTIONS},
 }

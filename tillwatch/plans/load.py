@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from tillwatch.functions import columns as C
+from tillwatch.functions.tables import union_on
 from tillwatch.operators import quality
 from tillwatch.operators.clean import with_status
 from tillwatch.schema import ERROR_GROUPS, REFERENCE_KEYS, SCHEMAS, TICKETS
@@ -97,7 +98,7 @@ def load_refs(spark: SparkSession, paths: Paths, base: dict[str, DataFrame]) ->
 
 def upsert(current: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     """Rows of ``batch`` replace those with the same key, the others are added."""
-    return current.join(batch.select(key), key, "left_anti").unionByName(batch)
+    return union_on([current.join(batch.select(key), key, "left_anti"), batch], key)
 
 
 def read_state(spark: SparkSession, paths: Paths) -> DataFrame:
@@ -148,15 +149,14 @@ def known_keys(refs: dict[str, DataFrame], ids: DataFrame, updates: dict[str, Da
 def gate(rows: dict[str, DataFrame], files: DataFrame, refs: dict[str, DataFrame], ids: DataFrame, history: DataFrame) -> DataFrame:
     """Check results of all pending files. ``rows``: table -> rows as text; ``files``: file, kind, file_date, header."""
     updates = {k: v for k, v in rows.items() if k != TICKETS}
-    results = None
+    parts = []
     for kind, r in rows.items():
         f = files.where(F.col("kind") == kind)
         if kind == TICKETS:
-            part = quality.check_tickets(r, f, known_keys(refs, ids, updates), history)
+            parts.append(quality.check_tickets(r, f, known_keys(refs, ids, updates), history))
         else:
-            part = quality.check_reference(kind, r, f, refs[kind])
-        results = part if results is None else results.unionByName(part)
-    return results
+            parts.append(quality.check_reference(kind, r, f, refs[kind]))
+    return union_on(parts, "file")
 
 
 def resent(files: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -58,5 +58,5 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table read as a stream of payment attempts."""
-    path = f"{sf_dir.rstrip('/')}/events.parquet"
-    return tpch.as_attempts(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path))
+    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
+    return tpch.as_attempts(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
