@@ -113,42 +113,42 @@ def terms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return d.select(key, F.explode(F.concat("w", pairs)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
 
 
-def weights(docs: DataFrame, key: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(normalised tf-idf weights per document and term, document frequencies with idf).
-
-    tf = 1 + ln n, idf = ln((1 + N) / (1 + df)) + 1. The join on the term has one row per term on the other side, so a
-    very frequent term is a plain skewed join that adaptive execution splits.
-    """
-    t = terms(docs, key, text)
+def document_frequencies(terms_of_docs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(term, idf) with idf = ln((1 + N) / (1 + df)) + 1."""
     n_docs = docs.agg(F.count("*")).scalar()
-    df = t.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.withColumn("idf", F.ln((1 + n_docs) / (1 + F.col("df"))) + 1)
-    w = t.join(idf.select("term", "idf"), "term").withColumn("w", (1 + F.ln("n")) * F.col("idf"))
-    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w")), idf
+    df = terms_of_docs.groupBy("term").agg(F.count("*").alias("df"))
+    return df.select("term", (F.ln((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def keyword_scores(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, text: str = "text") -> DataFrame:
-    """Cosine of query and document for every pair that shares a term.
+def _tf() -> Column:
+    return 1 + F.ln("n")
 
-    Query terms meet the postings by an equi-join; postings of terms no query uses are dropped before the join by a
-    semi join Spark may broadcast. Products are summed map-side.
-    """
-    w, idf = weights(docs, doc_key, text)
-    q = terms(queries, query_key, text).join(idf.select("term", "idf"), "term")
-    q = q.withColumn("qw", (1 + F.ln("n")) * F.col("idf"))
-    qn = q.groupBy(query_key).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("norm"))
-    q = q.join(qn, query_key).select(query_key, "term", (F.col("qw") / F.col("norm")).alias("qw"))
-    return q.join(w, "term").groupBy(query_key, doc_key).agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score"))
 
+def keyword_scores(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, text: str = "text") -> DataFrame:
+    """Cosine of the tf-idf vectors (tf = 1 + ln n) for every query and document that share a term.
 
-def vector_scores(vectors: DataFrame, queries: DataFrame, doc_key: str, query_key: str, dim: int = 64, block: int = 256,
+    Only postings of query terms become pairs: the query terms are one small table that Spark may broadcast, so postings
+    need not move. Products are summed map-side, and the document's norm is joined to the finished pairs. Term joins have
+    one row per term on the other side: a very frequent term is a plain skewed join that adaptive execution splits.
+    """
+    # the postings are the index: written once, read three times below, and joined by their real size instead of an
+    # estimate from the size of the text
+    t = write_shared(terms(docs, doc_key, text), "postings")
+    idf = document_frequencies(t, docs)
+    norm = t.join(idf, "term").groupBy(doc_key).agg(F.sqrt(F.sum(F.pow(_tf() * F.col("idf"), 2))).alias("norm"))
+    q = terms(queries, query_key, text).join(idf, "term").withColumn("qw", _tf() * F.col("idf")).drop("n")
+    qn = q.groupBy(query_key).agg(F.sqrt(F.sum(F.pow("qw", 2))).alias("qn"))
+    q = q.join(qn, query_key).select(query_key, "term", (F.col("qw") / F.col("qn") * F.col("idf")).alias("qw"))
+    pairs = t.join(q, "term").groupBy(query_key, doc_key).agg(F.sum(F.col("qw") * _tf()).alias("dot"))
+    return pairs.join(norm, doc_key).select(query_key, doc_key, F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+
+
+def vector_scores(vectors: DataFrame, queries: DataFrame, doc_key: str, query_key: str, block: int = 256,
                   salts: int = 32) -> DataFrame:
     """Dot product of unit vectors for every query and document.
 
     Queries are packed into blocks of about ``block`` vectors. A document row meets each block once through an
-    equi-join on (block, salt): small query sets are broadcast by Spark, large ones are shuffled evenly. The dot product is
-    written out per dimension, which Spark compiles; a lambda over arrays would be interpreted.
+    equi-join on (block, salt): small query sets are broadcast by Spark, large ones are shuffled evenly.
     """
     n = F.greatest(F.ceil(queries.agg(F.count("*")).scalar() / block), F.lit(1)).cast("int")
     q = queries.select(F.pmod(F.xxhash64(query_key), n).cast("int").alias("_block"), F.struct(query_key, "embedding").alias("q"))
@@ -157,9 +157,8 @@ def vector_scores(vectors: DataFrame, queries: DataFrame, doc_key: str, query_ke
     d = vectors.select(doc_key, "embedding", F.pmod(F.xxhash64(doc_key), F.lit(salts)).cast("int").alias("_salt"))
     d = d.withColumn("_n", n).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     pairs = d.join(q, ["_block", "_salt"]).select(doc_key, "embedding", F.explode("_qs").alias("_q"))
-    at = lambda c, i: F.get(c, F.lit(i)).cast("double")
-    dot = sum((at(F.col("embedding"), i) * at(F.col("_q.embedding"), i) for i in range(1, dim)),
-              at(F.col("embedding"), 0) * at(F.col("_q.embedding"), 0))
+    product = F.zip_with("embedding", F.col("_q.embedding"), lambda a, b: a.cast("double") * b.cast("double"))
+    dot = F.aggregate(product, F.lit(0.0), lambda total, x: total + x)
     return pairs.select(F.col(f"_q.{query_key}").alias(query_key), doc_key, F.round(dot, 6).alias("score"))
 
 
