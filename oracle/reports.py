@@ -1,7 +1,7 @@
 """Oracle SQL for volumes, alerts, weekly reports, marts, profiles, ranking metrics and the gold questions."""
 
 from oracle.base import e, q
-from oracle.payments import (CUT, DAY, FIRST, FULL_WEEK, I, N, RFM_COLS, S, SECOND, SEG, alerts, effect, next_success, rates,
+from oracle.payments import (CUT, DAY, FIRST, FULL_WEEK, I, KPIS, N, RFM_COLS, S, SECOND, SEG, alerts, effect, next_success, rates,
                              rfm)
 from tillwatch.schema import RECOVERY_MESSAGES
 
@@ -172,6 +172,8 @@ FROM wagg a LEFT JOIN prevw USING (week) LEFT JOIN te USING (week) LEFT JOIN mw
     "unverified_profile": q(f"""SELECT count(*) AS customers, {N("usergender = 'Not verify'")} AS not_verified,
   {N("usergender = 'Not verify' AND year(dob) = 1970")} / {N("usergender = 'Not verify'")} AS not_verified_born_1970,
   {N("usergender <> 'Not verify' AND age BETWEEN 26 AND 35")} / {N("usergender <> 'Not verify'")} AS verified_aged_26_35 FROM cu""", CUST),
+    "unverified_top_ages": q("SELECT age, count(*) AS total FROM cu WHERE usergender = 'Not verify' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5", CUST),
+    "last_kpi_months": q("SELECT * FROM kpi ORDER BY year_month DESC LIMIT 12", KPIS),
     "score_description": q("SELECT segment, count(*) AS count, round(avg(repurchase_score), 6) AS mean, median(repurchase_score) AS median, max(repurchase_score) AS max FROM ms GROUP BY 1", rfm(CUT), SEG, MART_SCORE),
     "point_in_time_features": q("SELECT * FROM feat", HIST, FEATURES),
     "repeat_labels": q("SELECT customer_id, ticket_id, time, year, CASE WHEN gap <= 90 THEN 1 ELSE 0 END AS repeat_90d FROM two", SECOND),

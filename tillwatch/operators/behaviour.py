@@ -157,6 +157,11 @@ def movie_months(df: DataFrame, more_than: int = 1000) -> DataFrame:
     return cells.withColumn("_t", total).where(F.col("_t") > more_than).drop("_t").orderBy("movie_name", "year_month")
 
 
+def last_periods(df: DataFrame, period: str, n: int) -> DataFrame:
+    """The newest ``n`` rows of a table with one row per period."""
+    return df.orderBy(F.desc(period)).limit(n)
+
+
 def heavy_buyers(df: DataFrame, more_than: int = 30) -> DataFrame:
     """Monthly purchases of customers with more than ``more_than`` purchases."""
     cells = df.where("is_success").groupBy("customer_id", "year_month").agg(F.count("ticket_id").alias("tickets"))

@@ -52,6 +52,12 @@ def unverified_profile(customers: DataFrame) -> DataFrame:
         C.rate(F.when(~unverified, F.col("age").between(26, 35))).alias("verified_aged_26_35"))
 
 
+def top_ages(customers: DataFrame, gender: str = "Not verify", n: int = 5) -> DataFrame:
+    """The most frequent ages of one gender value."""
+    c = customers.where((F.col("usergender") == gender) & F.col("age").isNotNull())
+    return c.groupBy("age").agg(F.count("*").alias("total")).orderBy(F.desc("total"), "age").limit(n)
+
+
 def describe_by(df: DataFrame, by: str, value: str) -> DataFrame:
     """count, mean, median and maximum per group; the value must be rounded, so the exact median's table of
     distinct values stays small."""

@@ -414,6 +414,8 @@ QUERIES = {
     "gender_counts": _on_tickets(lambda t: profile.value_counts(_customers(t), "usergender")),
     "age_histogram": _on_tickets(lambda t: profile.age_histogram(_customers(t))),
     "unverified_profile": _on_tickets(lambda t: profile.unverified_profile(_customers(t))),
+    "unverified_top_ages": _on_tickets(lambda t: profile.top_ages(_customers(t))),
+    "last_kpi_months": _on_tickets(lambda t: behaviour.last_periods(kpis.monthly_kpis(t), "year_month", 12)),
     "score_description": _on_tickets(lambda t: _rounded(profile.describe_by(
         marts.customer_features(t, marts.day_after(t)), "segment", "repurchase_score"), "mean")),
     # model features and ranking metrics

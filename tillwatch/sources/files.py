@@ -41,6 +41,11 @@ def list_files(spark: SparkSession, directory: str) -> DataFrame:
         "is_export", F.col("kind").isNull() & F.col("file").rlike(EXPORT))
 
 
+def unrecognized(files: DataFrame) -> DataFrame:
+    """Files outside the naming convention; they are never loaded."""
+    return files.where(F.col("kind").isNull() & ~F.col("is_export")).select("file")
+
+
 def until(files: DataFrame, last: str | None) -> DataFrame:
     """Only files up to a date; unnamed ones are left as they are."""
     return files if last is None else files.where(F.col("file_date").isNull() | (F.col("file_date") <= F.lit(last).cast("date")))
@@ -58,6 +63,12 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     return as_lines(reader.load(paths), names)
 
 
+def arrivals(spark: SparkSession, directory: str, files_per_batch: int = 1000) -> DataFrame:
+    """A stream of newly arrived CSV files (the load reads their content itself)."""
+    lines = spark.readStream.format("text").option("pathGlobFilter", "*.csv").option("maxFilesPerTrigger", files_per_batch)
+    return lines.load(directory).select(F.col("_metadata.file_name").alias("file"))
+
+
 def as_lines(df: DataFrame, names: list[str]) -> DataFrame:
     values = F.transform(F.array(*names), lambda v: F.when(~F.trim(v).isin(MISSING), F.trim(v)))
     return df.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("file_size"),

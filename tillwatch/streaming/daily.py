@@ -23,7 +23,7 @@ def gated_ingest(spark: SparkSession, paths: load.Paths, base_refs: dict[str, Da
     a blocked one must be looked at again in a later batch, when the source has long moved on. Trailing volumes and ids
     of earlier loads come from the warehouse inside the load.
     """
-    arrived = fs.stream_lines(spark, paths.at("incoming"), files_per_batch).select("file")
+    arrived = fs.arrivals(spark, paths.at("incoming"), files_per_batch)
     return (
         arrived.writeStream.foreachBatch(lambda _batch, _id: load.run(spark, paths, base_refs) and None)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
