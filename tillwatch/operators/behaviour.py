@@ -36,7 +36,7 @@ def buyer_value(df: DataFrame) -> DataFrame:
         daily.groupBy("customer_id").agg(
             F.sum("s").alias("n_success"), F.sum("m").cast("double").alias("s_money"),
             F.sum("d").cast("double").alias("s_discount"), F.count_if(bought).alias("n_days"),
-            F.size(F.collect_set(F.when(bought, C.year_month("day")))).cast("bigint").alias("n_months"),
+            F.count_distinct(F.when(bought, C.year_month("day"))).alias("n_months"),
             F.sum("p").alias("n_promotions"), F.sum("t").alias("n_total"))
         .where(F.col("n_success") > 0)
         .withColumn("n_failed", F.col("n_total") - F.col("n_success"))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwatch.functions import columns as C
+from tillwatch.functions.tables import union_on
 from tillwatch.functions.temporal import array_median
 from tillwatch.schema import CAMPAIGN_TYPES, ERROR_GROUPS, GENDERS, PAYING_METHODS, PLATFORMS, REFERENCE_KEYS, TICKETS
 from tillwatch.sources.files import REQUIRED
@@ -135,7 +136,9 @@ def _key_checks(d: DataFrame, known: DataFrame) -> DataFrame:
     methods = F.array(*[F.lit(m) for m in PAYING_METHODS])
     fixed = F.when(F.col("column") == "paying_method", C.is_true(F.array_contains(methods, F.col("key"))))
     fixed = fixed.when((F.col("column") == "campaign_id") & (F.col("key") == "0"), True)
-    first = known.unionByName(pending).where(F.col("key").isNotNull()).groupBy("column", "key").agg(F.min("known").alias("known"))
+    # a day's keys meet the whole warehouse and the whole reference tables: only keys that occur in the files go on
+    known = known.join(k.select("column", "key").distinct(), ["column", "key"], "left_semi")
+    first = union_on([known, pending], "column", "key").where(F.col("key").isNotNull()).groupBy("column", "key").agg(F.min("known").alias("known"))
     j = k.join(first, ["column", "key"], "left").withColumn(
         "_seen", F.coalesce(fixed, F.col("known") < F.col("_order"), F.lit(False)))
     unknown = ~F.col("_seen")
@@ -229,8 +232,9 @@ def _changes(kind: str, per_key: DataFrame, current: DataFrame) -> DataFrame:
     new = new.select("file", "k", "n", "o", F.struct(*[form(c) for c in values]).alias("v"))
     old = current.select(F.lit(None).cast("string").alias("file"), norm.alias("k"), F.lit(1).cast("bigint").alias("n"),
                          _start().alias("o"), F.struct(*[form(c) for c in values]).alias("v"))
+    old = old.join(new.select("k").distinct(), "k", "left_semi")  # only versions of delivered keys
     w = Window.partitionBy("k").orderBy("o")
-    seen = new.unionByName(old).withColumn("_before", F.lag("v").over(w))
+    seen = union_on([new, old], "k").withColumn("_before", F.lag("v").over(w))
     changed = F.col("_before").isNotNull() & ~F.col("_before").eqNullSafe(F.col("v"))
     return seen.where(F.col("file").isNotNull()).groupBy("file").agg(F.sum(F.when(changed, F.col("n"))).alias("_changed"))
 

@@ -170,7 +170,7 @@ def top_k(scores: DataFrame, query_key: str, doc_key: str, k: int = TOP_K) -> Da
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def ranks_of(scores: DataFrame, wanted: DataFrame, query_key: str, doc_key: str) -> DataFrame:
+def ranks_of(scores: DataFrame, wanted: DataFrame, query_key: str, doc_key: str, salts: int = 32) -> DataFrame:
     """Exact ranks of a few wanted documents per query within all scored ones, without sorting a query's documents.
 
     Each scored pair is reduced to how many wanted documents come before it; counting these positions map-side and
@@ -180,7 +180,10 @@ def ranks_of(scores: DataFrame, wanted: DataFrame, query_key: str, doc_key: str)
     mine = scores.join(wanted.select(query_key, doc_key), [query_key, doc_key]).groupBy(query_key).agg(
         F.array_sort(F.collect_list(place())).alias("_mine"))  # a few wanted documents per query
     before = F.size(F.filter("_mine", lambda c: c < F.col("_p"))).alias("pos")
-    counts = scores.withColumn("_p", place()).join(mine, query_key).select(query_key, before).groupBy(query_key, "pos").agg(
+    # a query's documents are spread over salts, so few queries with very many documents still fill all tasks
+    spread = mine.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = scores.withColumn("_p", place()).withColumn("_salt", F.pmod(F.xxhash64(doc_key), F.lit(salts)).cast("int"))
+    counts = salted.join(spread, [query_key, "_salt"]).select(query_key, before).groupBy(query_key, "pos").agg(
         F.count("*").alias("n"))
     listed = mine.select(query_key, F.posexplode("_mine").alias("pos", "_m")).select(query_key, "pos", F.col("_m.d").alias(doc_key))
     w = Window.partitionBy(query_key).orderBy("pos")  # one row per wanted document
