@@ -18,6 +18,7 @@ from tillwatch.functions import columns as C
 from tillwatch.functions.tables import union_on
 from tillwatch.functions.temporal import array_median
 from tillwatch.schema import CAMPAIGN_TYPES, ERROR_GROUPS, GENDERS, PAYING_METHODS, PLATFORMS, REFERENCE_KEYS, TICKETS
+from tillwatch.session import write_shared
 from tillwatch.sources.files import REQUIRED
 
 # fixed values: the thresholds and severities decide which files are loaded
@@ -131,6 +132,7 @@ def _key_checks(d: DataFrame, known: DataFrame) -> DataFrame:
     cells = F.array(text("ticket_id"), whole("status_id"), whole("customer_id"), whole("campaign_id"), text("device_number"),
                     text("paying_method"))
     k = d.select("file", "file_date", F.inline(cells)).groupBy("file", "file_date", "column", "key").agg(F.count("*").alias("n"))
+    k = write_shared(k, "keys")  # read by every step below; its size then decides the joins
     k = k.withColumn("_order", F.struct(F.col("file_date").cast("string").alias("d"), F.lit(1).alias("t"), F.col("file").alias("f")))
     pending = k.where(F.col("column") == "ticket_id").select("column", "key", F.col("_order").alias("known"))
     methods = F.array(*[F.lit(m) for m in PAYING_METHODS])

@@ -11,6 +11,7 @@ from tillwatch.operators import (anomaly, behaviour, cohort, features, finance,
 from tillwatch.plans import goldset, load, marts, models
 from tillwatch.plans.facts import attempts, tickets
 from tillwatch.schema import CAMPAIGN_TYPES, PAYING_METHODS, TICKETS
+from tillwatch.session import write_shared
 from tillwatch.sources import files as fs
 from tillwatch.sources import tpch
 from tillwatch.streaming import daily
@@ -155,6 +156,7 @@ def _delivered(spark, d) -> tuple[DataFrame, DataFrame]:
     copies = F.array(copy(F.lit(True), F.col("movie_name")), copy(hit(967, 17), F.col("movie_name")), copy(hit(953, 19), F.lit("other cut")))
     t = t.withColumn("_copy", F.explode(F.filter(copies, lambda c: c["kept"]))).withColumn("movie_name", F.col("_copy.movie")).drop("_copy")
     header = F.array(*[F.lit(c) for c in fs.REQUIRED[TICKETS]])
+    t = write_shared(t, "delivered")  # files lie on disk before they are judged
     return t, t.select("file", "file_date").distinct().withColumn("kind", F.lit(TICKETS)).withColumn("header", header)
 
 
