@@ -1,6 +1,6 @@
 """Oracle SQL for retrieval, grounding, daily-load checks and streams."""
 
-from oracle.base import EVENTS, RAW, STATUS, q
+from oracle.base import EVENTS, STATUS, q
 
 WORD = r"[\p{L}\p{N}_]+"
 

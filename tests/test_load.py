@@ -1,7 +1,6 @@
 """Quality checks by planted faults, and load scenarios with files on disk."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from tillwatch.plans import load
 from tillwatch.schema import STATUS_ROWS

@@ -86,6 +86,15 @@ def test_whole_days_and_open_windows(fact):
     assert c == {"voucher": (2, 0.5, 0.5), "none": (2, 0.0, 1.0)}  # the last buyer is not observed for 90 days
 
 
+def test_attempts_without_customer_form_no_group(fact):
+    lost = fact.where("ticket_id = 't001'").withColumn("customer_id", F.lit(None).cast("bigint")).withColumn("ticket_id", F.lit("x"))
+    more = fact.unionByName(lost)
+    assert metrics.first_attempts(more).count() == 6
+    a, b = (by(kpis.monthly_kpis(f), "year_month", "tickets", "conversion", "frequency")["2022-01"] for f in (fact, more))
+    assert b[0] == a[0] + 1 and a[1:] == b[1:]
+    assert marketing.customer_features(more, F.to_timestamp(F.lit("2023-01-01"))).count() == 5
+
+
 def test_losses(fact):
     m = by(finance.monthly_losses(fact), "year_month", "failed_value", "unrecovered_failed_value", "discount_total", "discount_one_time")
     # in t004 the strict match ignores the purchase at the same instant; 90 d 23 h is more than 90 days here

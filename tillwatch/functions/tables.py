@@ -7,6 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 
+def keyed(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows with all keys present: rows without a key belong to no group."""
+    return df.na.drop(subset=list(keys))
+
+
 def union_on(parts: list[DataFrame], *keys: str) -> DataFrame:
     """Union of tables that are grouped or joined on ``keys`` afterwards.
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillwatch.functions.tables import keyed
+
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 100_000
 _SEG = "_segment"
@@ -100,7 +102,7 @@ def first_two(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     ``row_number() <= 2`` lets Spark prune every key to two rows before the shuffle, so a hot key costs nothing.
     """
     w = Window.partitionBy(key).orderBy("time", "ticket_id")
-    top = df.select(key, "time", "ticket_id", *cols).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 2)
+    top = keyed(df, key).select(key, "time", "ticket_id", *cols).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 2)
     first = [F.max(F.when(F.col("_rn") == 1, F.col(c))).alias(c) for c in ["time", "ticket_id", *cols]]
     return top.groupBy(key).agg(*first, F.max(F.when(F.col("_rn") == 2, F.col("time"))).alias("second_time"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwatch.functions import columns as C
+from tillwatch.functions.tables import keyed
 from tillwatch.functions.temporal import month_spine
 from tillwatch.operators.metrics import with_share
 from tillwatch.schema import CAMPAIGN_TYPES
@@ -16,7 +17,7 @@ PROMO = "promotion"
 def customer_value(df: DataFrame) -> DataFrame:
     """Every customer with an attempt, also those who never bought."""
     ok = F.col("is_success")
-    return df.groupBy("customer_id").agg(
+    return keyed(df, "customer_id").groupBy("customer_id").agg(
         F.count("ticket_id").alias("n_total"), F.count_if(ok).alias("n_success"),
         F.sum(F.when(ok, C.money("original_price")).otherwise(0)).cast("double").alias("s_money"),
         F.sum(F.when(ok, C.money("discount_value")).otherwise(0)).cast("double").alias("s_discount"),
@@ -28,7 +29,7 @@ def buyer_value(df: DataFrame) -> DataFrame:
     ok = F.col("is_success")
     day = F.to_date("time")
     # distinct days per customer first, then one row per customer: no unbounded set in one aggregation buffer
-    daily = df.groupBy("customer_id", day.alias("day")).agg(
+    daily = keyed(df, "customer_id").groupBy("customer_id", day.alias("day")).agg(
         F.count("ticket_id").alias("t"), F.count_if(ok).alias("s"), F.count_if(ok & (F.col("type") == PROMO)).alias("p"),
         F.sum(F.when(ok, C.money("original_price"))).alias("m"), F.sum(F.when(ok, C.money("discount_value"))).alias("d"))
     bought = F.col("s") > 0
@@ -49,7 +50,7 @@ def buyer_value(df: DataFrame) -> DataFrame:
 def purchase_distribution(df: DataFrame, top: int = 10) -> DataFrame:
     """Number of customers by number of purchases and by number of promotion purchases."""
     ok = F.col("is_success")
-    per = df.groupBy("customer_id").agg(
+    per = keyed(df, "customer_id").groupBy("customer_id").agg(
         F.count_if(ok).alias("purchases"), F.count_if(ok & (F.col("type") == PROMO)).alias("promo_purchases"))
     measures = F.array(*[F.struct(F.lit(m).alias("measure"), C.count_bucket(m, top).alias("bucket"))
                          for m in ("purchases", "promo_purchases")])
@@ -60,7 +61,7 @@ def promo_usage(df: DataFrame) -> DataFrame:
     """Promotion share of sales, of buyers, and of promotion buyers with exactly one."""
     ok = F.col("is_success")
     promo = ok & (F.col("type") == PROMO)
-    per = df.groupBy("customer_id").agg(
+    per = keyed(df, "customer_id").groupBy("customer_id").agg(
         F.count_if(ok).alias("s"), F.count_if(promo).alias("p"),
         F.count_if(promo & (F.col("campaign_type") == "direct discount")).alias("d"))
     return per.agg(
@@ -74,7 +75,7 @@ def promo_mix(df: DataFrame) -> DataFrame:
     """Campaign-type mix by how many promotion purchases a customer made."""
     promo = df.where(F.col("is_success") & (F.col("type") == PROMO))
     names = {t: f"n_{t.replace(' ', '_')}" for t in CAMPAIGN_TYPES}
-    per = promo.groupBy("customer_id").agg(
+    per = keyed(promo, "customer_id").groupBy("customer_id").agg(
         F.count("ticket_id").alias("n_promotions"),
         *[F.count_if(F.col("campaign_type") == t).alias(n) for t, n in names.items()])
     out = per.groupBy("n_promotions").agg(
@@ -88,7 +89,7 @@ def promo_vs_organic(df: DataFrame, since: Column | None = None) -> DataFrame:
     ok = df.where("is_success")
     if since is not None:
         ok = ok.where(F.col("time") > since)
-    per = ok.groupBy("customer_id").agg(
+    per = keyed(ok, "customer_id").groupBy("customer_id").agg(
         F.min(F.struct("time", "ticket_id", "type")).alias("f"), F.count("*").alias("n"))
     return per.groupBy(F.col("f.type").alias("first_type")).agg(
         F.count("*").alias("customers"), F.count_if(F.col("n") >= 2).alias("returned"),
@@ -164,7 +165,7 @@ def last_periods(df: DataFrame, period: str, n: int) -> DataFrame:
 
 def heavy_buyers(df: DataFrame, more_than: int = 30) -> DataFrame:
     """Monthly purchases of customers with more than ``more_than`` purchases."""
-    cells = df.where("is_success").groupBy("customer_id", "year_month").agg(F.count("ticket_id").alias("tickets"))
+    cells = keyed(df.where("is_success"), "customer_id").groupBy("customer_id", "year_month").agg(F.count("ticket_id").alias("tickets"))
     total = F.sum("tickets").over(Window.partitionBy("customer_id"))  # one row per month
     return cells.withColumn("_t", total).where(F.col("_t") > more_than).drop("_t")
 
@@ -172,7 +173,7 @@ def heavy_buyers(df: DataFrame, more_than: int = 30) -> DataFrame:
 def recovered_vs_never(df: DataFrame) -> DataFrame:
     """Error-group and method mix of failures: customers who never bought beside those who did."""
     failed = F.col("is_failed")
-    cells = df.groupBy("customer_id", "error_group", "paying_method").agg(
+    cells = keyed(df, "customer_id").groupBy("customer_id", "error_group", "paying_method").agg(
         F.count_if(failed).alias("f"), F.count_if("is_success").alias("s"))
     # classes come from one row per customer and code; the class of a customer joins back on the reduced table
     bought = cells.groupBy("customer_id").agg(F.sum("s").alias("bought"))
@@ -190,7 +191,7 @@ def recovered_vs_never(df: DataFrame) -> DataFrame:
 def low_success_profile(df: DataFrame) -> DataFrame:
     """Orders, money and promotion use of buyers with at least one failure."""
     ok = F.col("is_success")
-    per = df.groupBy("customer_id").agg(
+    per = keyed(df, "customer_id").groupBy("customer_id").agg(
         F.count("ticket_id").alias("n_orders"), F.count_if(ok).alias("_s"),
         F.sum(C.money("original_price")).cast("double").alias("s_money"),
         F.sum(C.money("discount_value")).cast("double").alias("s_discount"),

@@ -14,7 +14,7 @@ def cohort_retention(df: DataFrame) -> DataFrame:
     The first month is the first one *within the year*. Purchases are first reduced to distinct
     (year, customer, month), so a window never sees more than twelve rows per customer.
     """
-    months = df.where("is_success").select("year", "customer_id", F.trunc("time", "month").alias("month")).distinct()
+    months = df.where("is_success AND customer_id IS NOT NULL").select("year", "customer_id", F.trunc("time", "month").alias("month")).distinct()
     first = F.min("month").over(Window.partitionBy("year", "customer_id"))
     k = (F.month("month") - F.month("first_month")).cast("bigint")
     cells = (

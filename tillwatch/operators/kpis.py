@@ -29,13 +29,14 @@ def monthly_kpis(df: DataFrame) -> DataFrame:
         F.count_if(ok & ~promo).alias("n_ok_plain"),
         F.sum(F.when(ok, C.money("final_price"))).alias("revenue"),
     )
+    named = F.col("customer_id").isNotNull()  # attempts without a customer count as attempts only
     months = customer_month.groupBy("year_month").agg(
         F.sum("n").alias("tickets"), F.sum("n_ok").alias("ok"), F.sum("n_ok_plain").alias("ok_plain"),
         F.sum("revenue").cast("double").alias("revenue"),
-        C.rate(F.col("n_ok") > 0).alias("conversion"),
-        C.rate(F.when(F.col("m") > 0, F.col("m_ok") > 0)).alias("mobile_conversion"),
+        C.rate(F.when(named, F.col("n_ok") > 0)).alias("conversion"),
+        C.rate(F.when(named & (F.col("m") > 0), F.col("m_ok") > 0)).alias("mobile_conversion"),
         C.ratio(F.sum("m_ok"), F.sum("m")).alias("app_completion_rate"),
-        F.count_if(F.col("n_ok") > 0).alias("active"),
+        F.count_if(named & (F.col("n_ok") > 0)).alias("active"),
     )
     first = first_two(df.where(ok), "customer_id", ["year_month", "type", "discount_value"])
     gap = C.whole_days("time", "second_time")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwatch.functions import columns as C
+from tillwatch.functions.tables import keyed
 from tillwatch.functions.temporal import first_two
 from tillwatch.schema import SEGMENT_ACTIONS
 
@@ -30,7 +31,7 @@ def features_at(df: DataFrame, cuts: list[Column], horizon: int | None = None) -
     d = df.select("customer_id", "time", "is_success", "is_failed", "year_month", "final_price", "type", "discount_rate",
                   "paying_method", "platform", *[c.alias(n) for c, n in zip(cuts, names)])
     d = d.withColumn("cut", F.explode(F.array(*[F.when(reach(F.col(n)), F.col(n)) for n in names])))
-    d = d.where(F.col("cut").isNotNull())
+    d = keyed(d, "cut", "customer_id")
     past = t < F.col("cut")
     ok = past & F.col("is_success")
     share = lambda flag: C.rate(F.when(ok, C.is_true(flag)))

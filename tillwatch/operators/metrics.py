@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwatch.functions import columns as C
+from tillwatch.functions.tables import keyed
 from tillwatch.functions.temporal import HOT_ROWS, with_next_success
 from tillwatch.schema import ERROR_GROUPS
 
@@ -18,7 +19,7 @@ def first_attempts(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     The minimum of a struct is combined map-side, so a customer with very many rows sends one row per task.
     """
     columns = FIRST_COLUMNS if columns is None else columns
-    per_customer = df.groupBy("customer_id").agg(
+    per_customer = keyed(df, "customer_id").groupBy("customer_id").agg(
         F.min(F.struct("time", "ticket_id", *columns)).alias("_first"),
         F.min(F.when(F.col("is_success"), F.col("time"))).alias("first_success_time"),
         F.count_if("is_success").alias("n_success"),
@@ -81,7 +82,6 @@ def lost_by_reason(df: DataFrame, label_length: int = 32) -> DataFrame:
 
 def with_share(counts: DataFrame, n: str, by: list[str], name: str = "share") -> DataFrame:
     """Share of the group's total, over already counted rows."""
-    from pyspark.sql import Window
     w = Window.partitionBy(*(by or [F.lit(0)]))
     return counts.withColumn(name, C.ratio(n, F.sum(n).over(w)))
 

@@ -95,7 +95,7 @@ def campaign_summary(df: DataFrame, campaigns: DataFrame) -> DataFrame:
         F.count("*").alias("t"), F.count_if(ok).alias("s"), F.count_if("is_failed").alias("f"),
         F.sum(F.when(ok, C.money("final_price"))).alias("r"), F.sum(F.when(ok, C.money("discount_value"))).alias("d"))
     base = pairs.groupBy("campaign_id").agg(
-        F.sum("t").alias("tickets"), F.sum("s").alias("success_tickets"), F.count_if(F.col("s") > 0).alias("customers"),
+        F.sum("t").alias("tickets"), F.sum("s").alias("success_tickets"), F.count_if((F.col("s") > 0) & F.col("customer_id").isNotNull()).alias("customers"),
         F.sum("r").alias("revenue"), F.sum("d").alias("discount_spend"),
         C.ratio(F.sum("f"), F.sum("t")).alias("failure_rate"))
     money = lambda c: F.coalesce(F.round(c, 2).cast("double"), F.lit(0.0))
