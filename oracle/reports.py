@@ -111,9 +111,11 @@ TICKET_COLS = ["ticket_id", "customer_id", "paying_method", "theater_name", "dev
                "time", "status_id", "campaign_id", "movie_name", "usergender", "dob", "campaign_type", "model", "platform", "description",
                "error_group", "is_success", "is_failed", "type", "os_version", "age", "age_generation", "discount_rate", "year", "year_month",
                "week", "hour", "day_name"]
-MART_KEYS = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", n AS rows, n AS keys, true AS \"unique\" FROM (SELECT count(*) AS n FROM {src})" for t, src in [
-    ("fact_payment_attempts", "tickets"), ("dim_customer", "customers"),
-    ("customer_features", "(SELECT DISTINCT customer_id FROM tickets WHERE is_success)"), ("campaign_summary", "(SELECT DISTINCT campaign_id FROM tickets)")])
+MART_KEYS = " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", count(*) AS rows, count(DISTINCT {key}) AS keys, count(*) = count(DISTINCT {key}) AS \"unique\" FROM {src}"
+    for t, key, src in [
+        ("fact_payment_attempts", "ticket_id", "hist"), ("dim_customer", "customer_id", "dim"),
+        ("customer_features", "customer_id", "seg"), ("campaign_summary", "campaign_id", "camp")])
 
 
 SQL = {
@@ -163,7 +165,7 @@ FROM wagg a LEFT JOIN prevw USING (week) LEFT JOIN te USING (week) LEFT JOIN mw
     "customer_features_mart": q(f"SELECT cut AS as_of, {RFM_COLS}, segment, action, repurchase_score, 'rule: recency' AS score_source FROM ms", rfm(CUT), SEG, MART_SCORE),
     "campaign_summary": q("SELECT * FROM camp", CAMP),
     "lost_by_generation": q(f"SELECT age_generation, count(*) AS customers, {N('lost_at_first_payment')} / count(*) AS lost_rate FROM dim WHERE has_activity AND is_verified_profile GROUP BY 1", DIM),
-    "mart_keys": q(MART_KEYS),
+    "mart_keys": q(MART_KEYS, HIST, DIM, rfm(CUT), SEG, CAMP),
     "null_profile": q(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", {N(f'{c} IS NULL')} AS null_count, {N(f'{c} IS NULL')} / count(*) AS null_rate FROM tickets" for c in TICKET_COLS)),
     "distinct_values": q(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_unique, array_to_string(list_slice(list_sort(list(DISTINCT {c})), 1, 20), ', ') AS values FROM tickets WHERE {c} IS NOT NULL"
                                             for c in ("paying_method", "platform", "usergender", "movie_name"))),

@@ -143,6 +143,18 @@ OPS = """count(*) AS tickets, count(*) FILTER (WHERE status_id = 1) AS success,
   CAST(round(coalesce(sum(CAST(final_price AS DECIMAL(18,4))) FILTER (WHERE status_id = 1), 0), 2) AS DOUBLE) AS revenue,
   count(*) FILTER (WHERE error_group = 'customer') AS errors_customer, count(*) FILTER (WHERE error_group = 'external') AS errors_external,
   count(*) FILTER (WHERE error_group = 'internal') AS errors_internal"""
+MATCH = """
+gold AS (SELECT platform, 1 - avg(CAST(is_success AS INT)) AS f FROM tickets WHERE platform IN ('mobile', 'website') GROUP BY 1),
+wide AS (SELECT platform, count(*) AS n_tickets, count(*) FILTER (WHERE is_failed) AS n_failed, count(*) FILTER (WHERE is_failed) / count(*) AS failure_rate
+  FROM tickets WHERE platform <> 'Unknown' GROUP BY 1)
+"""
+
+
+def match_sql(rate):
+    return ("((SELECT count(*) FROM gold) = (SELECT count(*) FROM wide) AND NOT EXISTS (SELECT 1 FROM gold g WHERE NOT EXISTS (SELECT 1 FROM wide w "
+            f"WHERE w.platform = g.platform AND round(g.f, 3) IN (n_tickets, n_failed, round({rate}, 3)))))")
+
+
 TERMS = term_ctes("documents", "benchmark")
 SQL = {
     "tfidf_top_k": w(top("kw"), TERMS),
@@ -156,7 +168,7 @@ SQL = {
                             + " AS u FROM documents d LEFT JOIN documents e ON d.doc_id = e.doc_id + 1)", "one AS (SELECT 1)"),
     "graded_answers": w("SELECT * FROM graded", GRADED),
     "share_correct": w("SELECT count(*) AS answers, count(*) FILTER (WHERE correct) AS correct, count(*) FILTER (WHERE correct) / count(*) AS share FROM graded", GRADED),
-    "result_match": "SELECT 'wider' AS answer, true AS match UNION ALL SELECT 'wrong', false",
+    "result_match": q(f"SELECT 'wider' AS answer, {match_sql('failure_rate')} AS match UNION ALL SELECT 'wrong', {match_sql('failure_rate + 1')}", MATCH),
     "dq_ticket_checks": q("SELECT * FROM res", DELIVERED),
     "dq_reference_checks": q("""SELECT file, rows, rows AS kept_rows, "check", severity, CASE WHEN failed_rows > 0 THEN 'fail' ELSE 'pass' END AS status, failed_rows FROM rc""", REFS),
     "load_decision": q("SELECT * FROM dec", DELIVERED, DECISION),
