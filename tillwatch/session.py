@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,7 +34,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get(CHECKPOINT_KEY, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="run-")
         spark.conf.set(CHECKPOINT_KEY, base)
