@@ -2,25 +2,63 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwatch.llm import substring
+from tillwatch.llm import bpe, fingerprints, pseudonyms, setsketch, substring, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_pseudonyms(spark, sf_dir):
+    out = pseudonyms.pseudonymise(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", F.size("pii_found").cast("long").alias("n_pii"))
+
+
 def op2_substring_dedup(spark, sf_dir):
     out = substring.remove_repeats(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup}
+def op5_warc(spark, sf_dir):
+    out = warc.round_trip(_read(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_fingerprints(spark, sf_dir):
+    out = fingerprints.edited_likeness(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"),
+                      fingerprints.digest("fingerprint").alias("fingerprint"),
+                      fingerprints.digest("edited").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+def op7_near_duplicates(spark, sf_dir):
+    out = setsketch.near_duplicates(_read(spark, sf_dir, "documents"), shingle=2)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op9_top_k(spark, sf_dir):
+    vectors = topk.whole_vectors(_read(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op10_bpe(spark, sf_dir):
+    out = bpe.round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
-_OP2 = r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+
+QUERIES = {f.__name__: f for f in (
+    op1_pseudonyms, op2_substring_dedup, op5_warc, op6_fingerprints, op7_near_duplicates, op9_top_k, op10_bpe)}
+
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP2 = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
 p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35),
 k AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h FROM p),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM k) WHERE n > 1),
@@ -32,4 +70,35 @@ SELECT w.doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed,
 FROM w LEFT JOIN g USING (doc_id)
 """
 
-SQL = {"op2_substring_dedup": _OP2}
+_OP5 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first != page_id THEN first END AS refers_to
+FROM f
+"""
+
+_OP7 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_FOLDED)} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 2 THEN [ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))] ELSE ws END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT x AS node, x AS low FROM e UNION SELECT e.y, r.low FROM r JOIN e ON e.x = r.node WHERE r.low < e.y),
+m AS (SELECT node, min(low) AS low FROM r GROUP BY node)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.low, w.doc_id)) AS component_id,
+  least(w.doc_id, coalesce(m.low, w.doc_id)) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.node = w.doc_id
+"""
+
+_OP9 = """
+WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id != b.vec_id WHERE a.vec_id % 100 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM
+  (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 10
+"""
+
+SQL = {"op2_substring_dedup": _OP2, "op5_warc": _OP5, "op7_near_duplicates": _OP7, "op9_top_k": _OP9}
