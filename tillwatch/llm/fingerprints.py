@@ -35,7 +35,7 @@ def winnow(df: DataFrame, text: Column, out: str, gram: int = GRAM, window: int
     df = df.withColumn(c("g"), F.transform(upto(n), lambda i: F.xxhash64(*[F.get(c("w"), i + k) for k in range(gram)])))
     n = F.size(c("g"))
     starts = upto(F.when(n >= window, n - window + 1).otherwise(F.least(n, F.lit(1))))
-    df = df.withColumn(c("m"), F.transform(starts, lambda i: F.least(*[F.get(c("g"), i + k) for k in range(window)])))
+    df = df.withColumn(c("m"), F.transform(starts, lambda i: F.least(*[F.get(c("g"), i + k) for k in (0, *range(window))])))
 
     def rightmost(m, i):
         pick = F.when(F.get(c("g"), i + window - 1) == m, i + window - 1)

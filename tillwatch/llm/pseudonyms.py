@@ -6,7 +6,7 @@ documents, different ones stay different, and the result is valid again:
 
 * cards: the first digit stays, the others are permuted, the check digit is computed anew;
 * dates from 1900 to 2099: the day number, as a pair modulo 17 and 4297; IPv4: two 16-bit halves; social security numbers: area and rest;
-* phones: digits after the country code; e-mail: letters and digits of the part before the @, each within its kind.
+* phones: digits after the country code; e-mail: letters and digits before the last dot, each within its kind.
 
 The round function is SHA-256 over key, kind, round and the other half.
 """
@@ -92,7 +92,7 @@ def _expressions(key: str) -> dict[str, tuple[str, str]]:
     card = f"concat(substr(m, 1, 1), {_shape(key, 'card', body)})"
     check = _luhn("regexp_replace(b, '[^0-9]', '')", 1)
     card = f"transform(array({card}), b -> concat(b, CAST((10 - ({check}) % 10) % 10 AS STRING)))[0]"
-    local = "substring_index(m, '@', 1)"
+    local = "substr(m, 1, length(m) - length(substring_index(m, '.', -1)) - 1)"
     return {
         "email": ("contains(m, '@')", f"concat({_shape(key, 'email', local)}, substr(m, length({local}) + 1))"),
         "ipv4": (r"m RLIKE '^([0-9]{1,3}\\.){3}[0-9]{1,3}$' AND greatest(" + ", ".join(octet) + ") < 256", ip),

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwatch.llm import bpe, fingerprints, pseudonyms, setsketch, substring, topk, warc
+from tillwatch.llm import bpe, fingerprints, language, lm, packing, pseudonyms, setsketch, substring, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,16 @@ def op2_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_language(spark, sf_dir):
+    out = language.identify(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op4_lm_scores(spark, sf_dir):
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return lm.score_texts(_read(spark, sf_dir, "documents"), held_out)
+
+
 def op5_warc(spark, sf_dir):
     out = warc.round_trip(_read(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -40,6 +50,10 @@ def op7_near_duplicates(spark, sf_dir):
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_packing(spark, sf_dir):
+    return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_top_k(spark, sf_dir):
     vectors = topk.whole_vectors(_read(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
@@ -52,7 +66,8 @@ def op10_bpe(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_pseudonyms, op2_substring_dedup, op5_warc, op6_fingerprints, op7_near_duplicates, op9_top_k, op10_bpe)}
+    op1_pseudonyms, op2_substring_dedup, op3_language, op4_lm_scores, op5_warc, op6_fingerprints, op7_near_duplicates, op8_packing, op9_top_k,
+    op10_bpe)}
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
