@@ -43,3 +43,20 @@ def test_registers_are_mergeable_and_estimate_similarity():
     true = 2400 / len(both)
     got = setsketch.joint_estimate(k[0], k[1], np.array([float(len(x))]), np.array([float(len(y))]))[0]
     assert abs(got - true) < 0.04
+
+
+def test_large_components_are_compared_in_blocks(spark, monkeypatch):
+    for name, value in (("LARGE", 3), ("HOST_BLOCK", 4), ("ASK_BLOCK", 5)):
+        monkeypatch.setattr(setsketch, name, value)
+    rnd = random.Random(11)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(70):
+        w = list(base)
+        for _ in range(rnd.choice([0, 2, 4, 5, 6, 7, 8, 9])):
+            w[rnd.randrange(80)] = f"x{rnd.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = setsketch.near_duplicates(table, 2).select("doc_id", "n_shingles", "component_id", "kept").toPandas().sort_values("doc_id")
+    want = setsketch.brute_force(rows, 2).sort_values("doc_id")
+    assert got.values.tolist() == want.values.tolist() and 1 < want.component_id.nunique() < 60

@@ -6,8 +6,8 @@ A document is the set of its distinct shingles (runs of ``shingle`` words, A-Z f
   x as floor(1 - log_b(x)): exponentially spaced minima, truncated to 16 bits. Registers of a union are register-wise maxima, and
   two sets agree in a register with a probability of (nearly) their Jaccard similarity. Only points before a time that fills all registers are drawn.
 * **Bands.** Texts with equal sets are one class. Classes that agree in all registers of a band meet: every member with the smallest
-  of the bucket (linear in its size), and, once those links are known, members of other components than the bucket's first with
-  the members they are not yet joined to. At a similarity of 0.8, 45 bands of 6 registers miss a pair with probability 1e-6.
+  of the bucket (linear in its size). Once those links are known, only what is still apart meets: members of small components pair by
+  pair, and members of smaller components with a large one as a whole, in blocks. At a similarity of 0.8, 45 bands of 6 registers miss a pair with probability 1e-6.
 * **Joint estimate.** The likelihood of (greater, smaller, equal) register counts and both sizes gives the similarity in closed
   form; pairs far below the threshold (7 standard errors) go no further.
 * **Verification** counts the elements of both full sets; only that makes a link.
@@ -30,6 +30,8 @@ from tillwatch.llm.tables import row_key, store
 BANDS, ROWS = 45, 6
 BASE, RATE = 1.001, 20.0
 SPARE = 6.0
+#: Components above LARGE members are compared in blocks of HOST_BLOCK of them and ASK_BLOCK others.
+LARGE, HOST_BLOCK, ASK_BLOCK = 64, 256, 1024
 _STEP, _SEED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x2545F4914F6CDD1D)
 _SHIFT = np.uint64(12)
 MAX_DOCS = 1 << 12
@@ -175,24 +177,84 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int,
     least = max(0.0, j - 7.0 * np.sqrt(j * (1.0 - j) / m) - 0.01)
     pairs = pairs.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     close = store(pairs.mapInArrow(_estimates(m, least), "a long, b long"), "close")
-    needed = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = needed.join(classes.select("node", "rep.*"), "node").join(docs, ["key_id", "key_text"]).select("node", "text")
-    texts = store(texts.dropDuplicates(["node"]), "texts")
+    texts = _texts(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, docs)
     for side in ("a", "b"):
         close = close.join(texts.toDF(side, f"text_{side}"), side)
     return store(close.mapInArrow(_verified(shingle, percent), "a long, b long"), "verified")
 
 
-def _other_pairs(bands: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs that share a bucket, lie in different components and have not been compared."""
-    labelled = bands.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-    members = store(labelled.join(mixed.select("band", "low"), "band"), "mixed")
-    rest = members.where("label != low").select("band", F.col("node").alias("one"), F.col("label").alias("own"))
-    met = members.join(rest, "band").where("label != own").select(F.least("node", "one").alias("a"), F.greatest("node", "one").alias("b"))
+def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, text of the distinct ``nodes``. Stored."""
+    found = nodes.join(classes.select("node", "rep.*"), "node").join(docs, ["key_id", "key_text"]).select("node", "text")
+    return store(found.dropDuplicates(["node"]), "texts")
+
+
+def _labelled(bands: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components: band, node, n, label, size (of the component). Stored."""
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    about = classes.select("node", "n").join(labels.join(sizes, "label"), "node", "left").select(
+        "node", "n", F.coalesce("label", "node").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
+    members = bands.join(about, "node")
+    mixed = members.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    return store(members.join(mixed.select("band", "low"), "band"), "mixed")
+
+
+def _other_pairs(members: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share a bucket, lie in different components of up to LARGE members and have not been compared."""
+    small = members.where(F.col("size") <= LARGE)
+    rest = small.where("label != low").select("band", F.col("node").alias("one"), F.col("label").alias("own"), F.col("n").alias("n_one"))
+    fits = F.least("n", "n_one") * 100 >= F.greatest("n", "n_one") * percent
+    met = small.join(rest, "band").where((F.col("label") != F.col("own")) & fits).select(
+        F.least("node", "one").alias("a"), F.greatest("node", "one").alias("b"))
     return met.distinct().join(tried, ["a", "b"], "left_anti")
 
 
+def _block_links(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links into components of more than LARGE members: a document that shares a bucket with such a component is compared with all of it, block
+    by block, on full sets; a block returns one link for a document at most. Pairs are never written down."""
+    into = members.where(F.col("size") > LARGE).select("band", F.col("label").alias("host"), F.col("size").alias("host_size")).distinct()
+    smaller = F.struct("size", "label") < F.struct(F.col("host_size").alias("size"), F.col("host").alias("label"))
+    asks = store(members.join(into, "band").where((F.col("label") != F.col("host")) & smaller).select("node", "host", "host_size").distinct(), "asks")
+    if asks.isEmpty():
+        return asks.select(F.col("node").alias("a"), F.col("host").alias("b"))
+    hosts = asks.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / ASK_BLOCK).cast("int").alias("chunks"),
+                                     F.ceil(F.first("host_size") / HOST_BLOCK).cast("int").alias("blocks"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    left = asks.select("node", "host").join(hosts, "host").select("node", "host", part("chunks").alias("chunk"), every("blocks").alias("block"))
+    right = labels.withColumnRenamed("label", "host").join(hosts, "host").select("node", "host", part("blocks").alias("block"), every("chunks").alias("chunk"))
+    texts = _texts(left.select("node").unionByName(right.select("node")).distinct(), classes, docs)
+    keys = ["host", "block", "chunk"]
+    left, right = (x.join(texts.toDF("node", "text"), "node").select(*keys, "node", "text").toDF(*keys, "node", "text").groupBy(*keys) for x in (left, right))
+    return store(left.cogroup(right).applyInPandas(_block(shingle, percent), "a long, b long"), "block-links")
+
+
+def _block(shingle: int, percent: int):
+    def sets(rows: pd.DataFrame):
+        for begin in range(0, len(rows), MAX_DOCS - 1):
+            for w in W.slices(pa.array(rows["text"].iloc[begin:begin + MAX_DOCS - 1]), fold=True):
+                elements, first = shingle_sets(w, shingle)
+                for i in range(len(first) - 1):
+                    yield elements[first[i]:first[i + 1]]
+
+    def run(asking: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        own = list(sets(members))
+        size = np.array([len(s) for s in own], np.int64)
+        owner = np.repeat(np.arange(len(own)), size)
+        flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        found = []
+        for node, s in zip(asking["node"], sets(asking)):
+            low = np.searchsorted(flat, s)
+            shared = np.bincount(owner[W.ragged(low, np.searchsorted(flat, s, "right") - low)], minlength=len(own))
+            hit = np.flatnonzero(100 * shared >= percent * (size + len(s) - shared))
+            if len(hit):
+                found.append((int(node), int(members["node"].iloc[hit[0]])))
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+    return run
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
                     text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """key_id, key_text (see ``row_key``), doc_id, n_shingles, root, component_id, kept for every row of ``docs``.
@@ -214,7 +276,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     texts = keyed.select("key_id", "key_text", "text")
     links = _links(tried, classes, texts, shingle, percent, m)
     labels = components(links)
-    more = _links(_other_pairs(banded, labels, tried), classes, texts, shingle, percent, m)
+    members = _labelled(banded, classes, labels)
+    more = _links(_other_pairs(members, tried, percent), classes, texts, shingle, percent, m).unionByName(
+        _block_links(members, labels, classes, texts, shingle, percent))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     roots = classes.select("node", "doc_id").join(labels, "node", "left").withColumn("root", F.coalesce("label", "node"))
