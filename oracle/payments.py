@@ -201,10 +201,11 @@ SQL = {
     "first_attempts": q(f"SELECT {FIRST_COLS} FROM first", FIRST),
     "lost_summary": q("SELECT * FROM summary", FIRST, SUMMARY),
     "lost_by_reason": q("""
-SELECT *, customers / sum(customers) OVER (PARTITION BY dimension) AS share FROM (
+SELECT dimension, CASE WHEN dimension = 'description' THEN substring(value, 1, 32) ELSE value END AS value, customers,
+  customers / sum(customers) OVER (PARTITION BY dimension) AS share FROM (
   SELECT dimension, value, count(*) AS customers FROM (
     SELECT unnest(['description', 'paying_method', 'year', 'error_group']) AS dimension,
-           unnest([substring(description, 1, 32), paying_method, CAST(year AS VARCHAR), error_group]) AS value
+           unnest([description, paying_method, CAST(year AS VARCHAR), error_group]) AS value
     FROM first WHERE first_failed AND NOT ever_converted) WHERE value IS NOT NULL GROUP BY 1, 2)""", FIRST),
     "rescue_scenarios": q("""
 SELECT r.rate AS rescue_rate, CAST(round_even(r.rate * never_converted, 0) AS BIGINT) AS customers_rescued,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 MONEY = "decimal(18,4)"
 DAY_US = 86_400_000_000
+STARTS_WITH_YEAR = r"^\d{4}(-|$)"
 
 
 def col(c: str | Column) -> Column:
@@ -28,10 +29,6 @@ def rate(flag: str | Column) -> Column:
     return F.avg(col(flag).cast("double"))
 
 
-def rate_where(when: Column, flag: Column) -> Column:
-    return F.avg(F.when(when, F.coalesce(flag, F.lit(False)).cast("double")))
-
-
 def ratio(a: str | Column, b: str | Column) -> Column:
     """a / b as double, null when b is 0 or null (ANSI mode would raise)."""
     return F.try_divide(col(a).cast("double"), col(b).cast("double"))
@@ -110,20 +107,23 @@ def count_bucket(c: str | Column, top: int = 10) -> Column:
 def parse_date(c: str | Column) -> Column:
     """A date written in one of several layouts; null when none fits."""
     v = F.trim(col(c).cast("string"))
-    iso = F.try_to_timestamp(v).cast("date")
+    iso = F.when(v.rlike(STARTS_WITH_YEAR), F.try_to_timestamp(v)).cast("date")
     other = [F.try_to_timestamp(v, F.lit(f)).cast("date") for f in ("M/d/yyyy", "d-M-yyyy", "yyyy/M/d", "d MMM yyyy")]
     return F.coalesce(iso, *other)
 
 
 def parse_time(c: str | Column) -> Column:
-    """An ISO-8601 timestamp; null when the text is not one."""
-    return F.try_to_timestamp(F.trim(col(c).cast("string")))
+    """An ISO-8601 timestamp; null when the text is not one. A time without a date is none: it would mean another day in every run."""
+    v = F.trim(col(c).cast("string"))
+    return F.when(v.rlike(STARTS_WITH_YEAR), F.try_to_timestamp(v))
 
 
 def parse_whole(c: str | Column) -> Column:
-    """A whole number that may have been written as ``12.0``."""
+    """A whole number that may have been written as ``12.0``; null for a fraction, which is never cut off."""
     v = F.trim(col(c).cast("string"))
-    return F.coalesce(v.try_cast("bigint"), v.try_cast("double").try_cast("bigint"))
+    number = v.try_cast("double")
+    whole = F.when(number == F.floor(number), number.try_cast("bigint"))
+    return F.coalesce(F.when(v.rlike("^[+-]?[0-9]+$"), v.try_cast("bigint")), whole)
 
 
 def parse_number(c: str | Column) -> Column:

@@ -30,17 +30,19 @@ def with_segments(df: DataFrame, hot_rows: int = HOT_ROWS, key: str = "customer_
     limit = counts.agg(F.greatest(F.lit(float(hot_rows)), F.sum("_n") / MAX_HOT_KEYS)).scalar()
     hot = counts.where(F.col("_n") > limit).select(key, F.lit(True).alias("_hot"))
     d = df.join(F.broadcast(hot), key, "left")
-    return d.withColumn(_SEG, F.when(F.col("_hot"), F.date_trunc(grain, time))).drop("_hot").repartition(key, _SEG)
+    split = F.coalesce("_hot", F.lit(False)) | F.col(key).isNull()  # rows without a key belong to no group and are only spread
+    return d.withColumn(_SEG, F.when(split, F.date_trunc(grain, time))).drop("_hot").repartition(key, _SEG)
 
 
 def with_next_success(df: DataFrame, strict: bool, name: str = "next_success", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Forward as-of match: the time of the same customer's next success.
 
     ``strict=False`` accepts a success at the very same time, ``strict=True`` only a later one. One shuffle and
-    one sort, no self-join: a growing range frame over the negated time sees exactly the rows that follow.
+    one sort, no self-join: a growing range frame over the negated time sees exactly the rows that follow. Rows without a
+    customer match nothing.
     """
     d = with_segments(df, hot_rows)
-    success_time = F.when(F.col("is_success"), F.col("time"))
+    success_time = F.when(F.col("is_success") & F.col("customer_id").isNotNull(), F.col("time"))
     w = (
         Window.partitionBy("customer_id", _SEG).orderBy(-F.unix_micros("time"))
         .rangeBetween(Window.unboundedPreceding, -1 if strict else 0)
@@ -62,9 +64,10 @@ def with_history(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Point-in-time history of the same customer, the current row excluded.
 
     Adds ``n_prev_attempts``, ``n_prev_failed``, ``prev_failed`` (boolean) and ``prev_time``; rows are ordered by
-    (time, ticket_id).
+    (time, ticket_id). Rows without a customer have no history.
     """
     d = with_segments(df, hot_rows)
+    named = F.col("customer_id").isNotNull()
     order = ["time", "ticket_id"]
     w = Window.partitionBy("customer_id", _SEG).orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -88,10 +91,10 @@ def with_history(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     return (
         rows.join(carry, ["customer_id", _SEG], "left")
-        .withColumn("n_prev_attempts", F.col("_n") + F.coalesce("_bn", zero))
-        .withColumn("n_prev_failed", F.col("_f") + F.coalesce("_bf", zero))
-        .withColumn("prev_failed", F.coalesce("_pf", F.col("_bl.is_failed")))
-        .withColumn("prev_time", F.coalesce("_pt", F.col("_bl.time")))
+        .withColumn("n_prev_attempts", F.when(named, F.col("_n") + F.coalesce("_bn", zero)).otherwise(zero))
+        .withColumn("n_prev_failed", F.when(named, F.col("_f") + F.coalesce("_bf", zero)).otherwise(zero))
+        .withColumn("prev_failed", F.when(named, F.coalesce("_pf", F.col("_bl.is_failed"))))
+        .withColumn("prev_time", F.when(named, F.coalesce("_pt", F.col("_bl.time"))))
         .drop("_n", "_f", "_pf", "_pt", "_bn", "_bf", "_bl", _SEG)
     )
 

@@ -32,7 +32,7 @@ def monthly_kpis(df: DataFrame) -> DataFrame:
     named = F.col("customer_id").isNotNull()  # attempts without a customer count as attempts only
     months = customer_month.groupBy("year_month").agg(
         F.sum("n").alias("tickets"), F.sum("n_ok").alias("ok"), F.sum("n_ok_plain").alias("ok_plain"),
-        F.sum("revenue").cast("double").alias("revenue"),
+        F.sum("revenue").cast("decimal(38,4)").alias("revenue"),
         C.rate(F.when(named, F.col("n_ok") > 0)).alias("conversion"),
         C.rate(F.when(named & (F.col("m") > 0), F.col("m_ok") > 0)).alias("mobile_conversion"),
         C.ratio(F.sum("m_ok"), F.sum("m")).alias("app_completion_rate"),
@@ -56,14 +56,14 @@ def monthly_kpis(df: DataFrame) -> DataFrame:
         "year_month", "tickets",
         C.ratio("ok", "tickets").alias("payment_success_rate"),
         (F.lit(1.0) - C.ratio("ok", "tickets")).alias("payment_failure_rate"),
-        nullable_ok.alias("success_tickets"), "revenue", "conversion", "mobile_conversion", "app_completion_rate",
+        nullable_ok.alias("success_tickets"), F.col("revenue").cast("double").alias("revenue"), "conversion", "mobile_conversion", "app_completion_rate",
         closed(90, F.col("repeat_90d")).alias("repeat_90d"),
         closed(30, F.col("retention_30d")).alias("retention_30d"),
         C.ratio(F.col("ok_plain") - F.coalesce("new_plain", F.lit(0)), repeats).alias("repeat_no_promo_share"),
         closed(90, C.ratio("promo_discount", "promo_retained")).alias("discount_per_retained"),
         C.ratio(nullable_ok, "active").alias("frequency"),
         C.ratio("revenue", "active").alias("spend_per_customer"),
-        C.ratio(F.sum(F.coalesce(C.money("revenue"), F.lit(0))).over(to_date),
+        C.ratio(F.sum(F.coalesce("revenue", F.lit(0))).over(to_date),
                 F.sum(F.coalesce("new", F.lit(0))).over(to_date)).alias("ltv_to_date"),
     ).orderBy("year_month")
 

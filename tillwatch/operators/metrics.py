@@ -70,14 +70,16 @@ def lost_by_reason(df: DataFrame, label_length: int = 32) -> DataFrame:
     views = F.array(*[
         F.struct(F.lit(name).alias("dimension"), value.cast("string").alias("value"))
         for name, value in [
-            ("description", F.substring("description", 1, label_length)), ("paying_method", F.col("paying_method")),
+            ("description", F.col("description")), ("paying_method", F.col("paying_method")),
             ("year", F.col("year")), ("error_group", F.col("error_group"))]
     ])
     counts = (
         lost.select(F.inline(views)).where(F.col("value").isNotNull())
         .groupBy("dimension", "value").agg(F.count("*").alias("customers"))
     )
-    return with_share(counts, "customers", ["dimension"])
+    out = with_share(counts, "customers", ["dimension"])
+    short = F.when(F.col("dimension") == "description", F.substring("value", 1, label_length)).otherwise(F.col("value"))
+    return out.withColumn("value", short)
 
 
 def with_share(counts: DataFrame, n: str, by: list[str], name: str = "share") -> DataFrame:

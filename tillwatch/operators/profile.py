@@ -22,14 +22,10 @@ def _values(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.inline(cells)).groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
-def distinct_values(df: DataFrame, columns: list[str], keep: int = 20) -> DataFrame:
-    """Distinct count and, in order, the first ``keep`` values of each column."""
+def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, n, n_unique): every distinct value of each column with its count, and how many there are."""
     v = _values(df, columns).where(F.col("value").isNotNull())
-    counts = v.groupBy("column").agg(F.count("*").alias("n_unique"))
-    w = Window.partitionBy("column").orderBy("value")
-    firsts = v.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep)
-    firsts = firsts.groupBy("column").agg(F.concat_ws(", ", F.array_sort(F.collect_list("value"))).alias("values"))
-    return counts.join(firsts, "column", "left")
+    return v.join(v.groupBy("column").agg(F.count("*").alias("n_unique")), "column")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

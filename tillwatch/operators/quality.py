@@ -39,7 +39,6 @@ DATES = {"customer": ["dob"], "campaign": [], "device_detail": [], "status_detai
 KEY_CHECKS = [("unknown_status", ERROR, "status_id"), ("unknown_customer", ERROR, "customer_id"),
               ("unknown_campaign", ERROR, "campaign_id"), ("unknown_device", WARNING, "device_number"),
               ("unknown_paying_method", WARNING, "paying_method")]
-SHOWN_VALUES = 20
 CHECK_ORDER = ["schema", "not_empty", "parse_types", "key_nulls", "exact_duplicates", "ticket_id_conflict", "already_loaded",
                *[c for c, _, _ in KEY_CHECKS], "price_rules", "date_matches_file", "volume", "key_conflict",
                *[f"invalid_{c}" for c, _, _ in DOMAINS.values()], "updates_existing"]
@@ -128,7 +127,8 @@ def _row_checks(d: DataFrame) -> DataFrame:
 def _key_checks(d: DataFrame, known: DataFrame) -> DataFrame:
     """Conflicts, repeated loads and unknown keys per file, from one reduction to (file, column, key)."""
     text = lambda c: F.struct(F.lit(c).alias("column"), F.col(c).alias("key"))
-    whole = lambda c: F.struct(F.lit(c).alias("column"), C.parse_whole(c).cast("string").alias("key"))
+    # what is no whole number keeps its text and so is unknown
+    whole = lambda c: F.struct(F.lit(c).alias("column"), F.coalesce(C.parse_whole(c).cast("string"), F.col(c)).alias("key"))
     cells = F.array(text("ticket_id"), whole("status_id"), whole("customer_id"), whole("campaign_id"), text("device_number"),
                     text("paying_method"))
     k = d.select("file", "file_date", F.inline(cells)).groupBy("file", "file_date", "column", "key").agg(F.count("*").alias("n"))
@@ -149,10 +149,8 @@ def _key_checks(d: DataFrame, known: DataFrame) -> DataFrame:
         F.sum(F.when(ticket & (F.col("n") > 1), F.col("n"))).alias("_conflict"),
         F.sum(F.when(ticket & F.col("_seen"), F.col("n"))).alias("_loaded"),
         *[F.sum(F.when((F.col("column") == c) & unknown, F.col("n"))).alias(f"_unknown_{c}") for _, _, c in KEY_CHECKS])
-    w = Window.partitionBy("file", "column").orderBy("key")
-    shown = (
+    shown = (  # distinct values of one file
         j.where(F.col("column").isin("status_id", "paying_method") & unknown & F.col("key").isNotNull())
-        .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= SHOWN_VALUES)
         .groupBy("file").agg(*[F.array_sort(F.collect_list(F.when(F.col("column") == c, F.col("key")))).alias(f"_values_{c}")
                                for c in ("status_id", "paying_method")]))
     return sums.join(shown, "file", "left")

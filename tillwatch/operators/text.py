@@ -86,12 +86,13 @@ def drop_provenance(text: Column, prefix: str = "_Nguồn:") -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.startswith(prefix)), "\n")
 
 
-def collect_passages(*sources: DataFrame, separator: str = BLANK_LINE, joiner: str = "\n\n") -> DataFrame:
-    """Passages of several document tables with the columns source, label, text."""
-    docs = sources[0]
-    for s in sources[1:]:
+def collect_passages(*sources: DataFrame, separator: str = BLANK_LINE, joiner: str = "\n\n", briefs: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """Passages of several document tables with the columns source, label, text. Only ``briefs`` lose their provenance lines."""
+    tables = [*sources, *(b.withColumn("text", drop_provenance(F.col("text"))) for b in briefs)]
+    docs = tables[0]
+    for s in tables[1:]:
         docs = docs.unionByName(s)
-    return chunk_markdown(docs.withColumn("text", drop_provenance(F.col("text"))), separator, joiner)
+    return chunk_markdown(docs, separator, joiner)
 
 
 def refresh(passages: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:

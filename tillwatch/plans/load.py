@@ -174,7 +174,7 @@ def resent(files: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def typed(rows: DataFrame, kind: str) -> DataFrame:
     """Text rows of an accepted file with the table's types; exact duplicates removed within the file."""
-    cast = {T.LongType(): C.parse_whole, T.IntegerType(): lambda c: C.parse_whole(c).cast("int"), T.DoubleType(): C.parse_number,
+    cast = {T.LongType(): C.parse_whole, T.IntegerType(): lambda c: C.parse_whole(c).try_cast("int"), T.DoubleType(): C.parse_number,
             T.TimestampType(): C.parse_time, T.StringType(): F.col}
     cols = [cast[f.dataType](f.name).alias(f.name) for f in SCHEMAS[kind]]
     return rows.dropDuplicates().select(*cols, "file_date", "file")
@@ -219,8 +219,9 @@ def run(spark: SparkSession, paths: Paths, base_refs: dict[str, DataFrame], unti
     names = [r["file"] for r in fresh.select("file").collect()]  # file names only, as in any file scan
     if not names:
         return _decided(spark, paths, listing, None)
-    headers, data = fs.split_header(fs.read_lines(spark, [paths.at(f"incoming/{n}") for n in names]))
-    # text is parsed once; all later steps read this table
+    # text is parsed once; all later steps read stored tables
+    lines = write_shared(fs.read_lines(spark, [paths.at(f"incoming/{n}") for n in names]), "raw-lines")
+    headers, data = fs.split_header(lines)
     data = write_shared(data.join(fresh.select("file", "kind", "file_date", "is_export"), "file"), "lines")
     headers = write_shared(headers, "headers")
 

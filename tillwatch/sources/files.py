@@ -12,11 +12,10 @@ from tillwatch.schema import REFERENCE_KEYS, SCHEMAS, TICKETS
 # fixed values: file naming and the texts that stand for a missing value
 NAME = rf"^({'|'.join([TICKETS, *REFERENCE_KEYS])})_(\d{{4}}-\d{{2}}-\d{{2}})(__.+)?\.csv$"
 EXPORT = rf"^{TICKETS}_(.+)\.csv$"
-MISSING = ["", "NA", "N/A", "NULL", "NaN", "n/a", "nan", "null", "None", "<NA>", "#N/A"]
+MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
+           "n/a", "nan", "null"]
 
-MAX_COLUMNS = 32
 REQUIRED = {name: [f.name for f in schema] for name, schema in SCHEMAS.items()}
-_KNOWN = sorted({c for cols in REQUIRED.values() for c in cols})
 
 
 def name_columns(file: str | Column) -> dict[str, Column]:
@@ -51,16 +50,19 @@ def until(files: DataFrame, last: str | None) -> DataFrame:
     return files if last is None else files.where(F.col("file_date").isNull() | (F.col("file_date") <= F.lit(last).cast("date")))
 
 
-def raw_lines(reader):
-    """A batch or streaming reader of CSV files as untyped columns, and the column names."""
-    names = [f"c{i}" for i in range(MAX_COLUMNS)]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return reader.schema(schema).option("header", False).option("escape", '"').option("pathGlobFilter", "*.csv").format("csv"), names
+def widest(spark: SparkSession, paths: list[str]) -> int:
+    """No line of the files has more cells than this; quoted commas only make it larger."""
+    cells = F.length("value") - F.length(F.translate("value", ",", "")) + 1
+    return spark.read.text(paths).agg(F.max(cells)).first()[0] or 1
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    reader, names = raw_lines(spark.read)
-    return as_lines(reader.load(paths), names)
+    """file, file_size, line, values: the untyped cells of every record. ``line`` grows within a file. Quoted cells may hold commas and line
+    breaks, so a file is read by one task; nothing is trimmed."""
+    names = [f"c{i}" for i in range(widest(spark, paths))]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    reader = spark.read.schema(schema).option("header", False).option("escape", '"').option("multiLine", True).option("pathGlobFilter", "*.csv")
+    return as_lines(reader.csv(paths), names)
 
 
 def arrivals(spark: SparkSession, directory: str, files_per_batch: int = 1000) -> DataFrame:
@@ -70,24 +72,22 @@ def arrivals(spark: SparkSession, directory: str, files_per_batch: int = 1000) -
 
 
 def as_lines(df: DataFrame, names: list[str]) -> DataFrame:
-    values = F.transform(F.array(*names), lambda v: F.when(~F.trim(v).isin(MISSING), F.trim(v)))
+    values = F.transform(F.array(*names), lambda v: F.when(~v.isin(MISSING), v))
     return df.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("file_size"),
-                     values.alias("values"))
-
-
-def _is_header() -> Column:
-    return F.size(F.array_intersect("values", F.array(*[F.lit(c) for c in _KNOWN]))) >= 2
+                     F.monotonically_increasing_id().alias("line"), values.alias("values"))
 
 
 def split_header(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(headers, rows): one header per file, and data rows beside the header of their file.
 
-    The header row of a file is the one that holds column names, so files may list their columns in any order and a
-    missing column is noticed per file. Headers are one small row per file.
+    The header is the first record of a file, whatever it holds, so files may list their columns in any order, a missing column is
+    noticed per file, and a data row that happens to hold column names stays a data row. Headers are one small row per file.
     """
-    headers = lines.where(_is_header()).groupBy("file").agg(F.first("values").alias("header"), F.first("file_size").alias("file_size"))
-    data = lines.where(~_is_header() & F.exists("values", lambda v: v.isNotNull()))
-    return headers, data.drop("file_size").join(headers.drop("file_size"), "file")
+    first = F.min(F.struct("line", "values", "file_size")).alias("first")
+    headers = lines.groupBy("file").agg(first).select("file", F.col("first.values").alias("header"), F.col("first.file_size").alias("file_size"),
+                                                      F.col("first.line").alias("head"))
+    data = lines.where(F.exists("values", lambda v: v.isNotNull())).drop("file_size").join(headers.drop("file_size"), "file")
+    return headers.drop("head"), data.where("line > head").drop("line", "head")
 
 
 def cell(name: str) -> Column:

@@ -14,7 +14,7 @@ from tillwatch.schema import SCHEMAS, TICKETS
 def read_table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     """One CSV table: columns found by their header names, read as text and cast to the table's types."""
     text = spark.read.option("header", True).option("escape", '"').csv(f"{data_dir.rstrip('/')}/{name}.csv")
-    cast = {T.LongType: C.parse_whole, T.IntegerType: lambda c: C.parse_whole(c).cast("int"), T.DoubleType: C.parse_number,
+    cast = {T.LongType: C.parse_whole, T.IntegerType: lambda c: C.parse_whole(c).try_cast("int"), T.DoubleType: C.parse_number,
             T.TimestampType: C.parse_time, T.StringType: F.col}
     return text.select(*[cast[type(f.dataType)](f.name).alias(f.name) for f in SCHEMAS[name]])
 
