@@ -32,7 +32,7 @@ def check(spark, rows, capacity=2048):
 
 def test_pieces_cover_every_document(spark):
     rnd = random.Random(4)
-    vocabulary = ["Hello", "it's", "naïve", "中文", "12345", "x-y", "tokenisation", "<|endoftext|>", "é", " ", "a b"]
+    vocabulary = ["Hello", "it's", "naïve", "中文", "12345", "x-y", "tokenisation", "<|endoftext|>", "é", " ", "a b", "end.", "ÉTÉ,", "e\u0301t", "İx", "'s", "it's.", "...", "ǅ", "ﬁn", "don't!?", "x<|y"]
     rows = [(i, "\n".join(rnd.choice(vocabulary) for _ in range(rnd.choice([0, 3, 40, 300])))) for i in range(120)]
     rows += [(500, None), (501, ""), (502, "word " * 5000), (503, "same"), (504, "same"), (505, "x<|startoftext|>y z"), (7, rows[7][1])]
     check(spark, rows)

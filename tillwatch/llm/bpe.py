@@ -183,6 +183,12 @@ class Encoder:
         return self.pool[0], self.of[slot], self.size[slot]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
+
+
 def odd_texts(data: np.ndarray, offsets: np.ndarray, special: dict[str, int]) -> set[int]:
     """Documents that may hold special tokens or white space other than ASCII; they are cut as a whole."""
     nxt = np.append(data[1:], np.uint8(0))
@@ -221,7 +227,7 @@ def _joined(table: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarra
 
 def _round_trip(path: str):
     def run(batches):
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         v = encoder.v
         for batch in batches:
             for rows, data, offsets in W.text_slices(batch.column("text")):

@@ -10,7 +10,10 @@ equal length, which is counted in buckets, never in one task.
 from __future__ import annotations
 
 import os
+import string
+import unicodedata
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,8 @@ from tillwatch.llm.tables import store
 
 CAPACITY = 2048
 END_ID = 1
-MEMORY = 500_000
+MEMORY = 1_200_000
+_TAIL = string.punctuation
 #: The shortest of three lengths is a multiple of this: few combinations get counts that survive rounding.
 THREE_STEP = 64
 BUCKET_ROWS = 50_000
@@ -30,8 +34,20 @@ _TOKENS = "doc_id long, doc_tokens long, salt long, crcs array<long>"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def plain_parts(word: str) -> int:
+    """In how many pre-tokens a word falls if it is letters and then punctuation; 0 for any other word."""
+    body = word.rstrip(_TAIL)
+    if body and not (body.isalpha() if body.isascii() else body.isalpha() and body.lower().isalpha() and unicodedata.is_normalized("NFC", word)):
+        return 0
+    return (len(body) > 0) + (len(body) < len(word))
+
+
 class WordIds:
-    """Ids of words by the tokenizers library, remembered within a task. Words are encoded many at a time, parted by a special token."""
+    """Ids of words by the tokenizers library, remembered within a worker.
+
+    Words are encoded many at a time. Those of letters and punctuation are joined by line ends and told apart by the ids that end a
+    pre-token; others are joined by a special token, and those that hold such a token are encoded one by one.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,6 +56,9 @@ class WordIds:
         self.t.no_truncation()
         self.t.no_padding()
         self.mark = min(self.t.get_added_tokens_decoder().items())
+        vocabulary = self.t.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 2, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.forget()
 
     def forget(self):
@@ -47,16 +66,37 @@ class WordIds:
         self.pool = np.array([END_ID], np.uint32)
         self.of, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
 
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.t.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _encode(self, words: list[str]) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
+        """(order in which the words were encoded, ids, number of ids of each word in that order)."""
         mark_id, mark = self.mark[0], self.mark[1].content
-        if any(mark in w for w in words):
-            return [np.array(e.ids, np.uint32) for e in self.t.encode_batch(words, add_special_tokens=False)]
-        out = []
-        for i in range(0, len(words), 2000):
-            ids = np.array(self.t.encode(mark.join(words[i:i + 2000]), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(ids == mark_id)
-            out += [p[1:] if k else p for k, p in enumerate(np.split(ids, cuts))]
-        return out
+        parts = [plain_parts(w) for w in words]
+        groups = [[k for k, n in enumerate(parts) if n], [k for k, n in enumerate(parts) if not n]]
+        order, ids, sizes = [], [], []
+        for plain, group in zip((True, False), groups):
+            for i in range(0, len(group), 2000):
+                some = group[i:i + 2000]
+                texts = [words[k] for k in some]
+                size = None
+                if plain:
+                    found = self._ids("\n".join(texts))
+                    ends = np.flatnonzero(self.ends[found]) + 1
+                    last = np.cumsum([parts[k] for k in some])
+                    if len(ends) == last[-1] and ends[-1] == len(found):
+                        size = np.diff(ends[last - 1], prepend=0)
+                elif not any("<|" in x for x in texts):
+                    found = self._ids(mark.join(texts))
+                    size = np.diff(np.flatnonzero(np.append(found, mark_id) == mark_id), prepend=-1) - 1
+                    found = found[found != mark_id]
+                if size is None:
+                    each = [self._ids(x) for x in texts]
+                    found, size = np.concatenate(each), np.array([len(x) for x in each])
+                order += some
+                ids.append(found.astype(np.uint32))
+                sizes.append(size.astype(np.int64))
+        return order, ids, sizes
 
     def slots(self, w: W.Words) -> np.ndarray:
         """A slot of ``of`` and ``size`` for each word; slot 0 is the end id."""
@@ -67,19 +107,24 @@ class WordIds:
         new = [k for k, h in enumerate(listed) if h not in known]
         if new:
             raw = w.data.tobytes()
-            made = self._encode([raw[w.start[where[k]]:w.end[where[k]]].decode() for k in new])
-            sizes = np.array([len(m) for m in made], np.int64)
-            begin = len(self.of)
-            self.of = np.concatenate((self.of, len(self.pool) + np.concatenate(([0], np.cumsum(sizes)[:-1]))))
+            order, made, sizes = self._encode([raw[a:b].decode() for a, b in zip(w.start[where[new]].tolist(), w.end[where[new]].tolist())])
+            sizes, begin = np.concatenate(sizes), len(self.of)
+            self.of = np.concatenate((self.of, len(self.pool) + np.cumsum(sizes) - sizes))
             self.size = np.concatenate((self.size, sizes))
             self.pool = np.concatenate((self.pool, *made))
-            known.update((listed[k], begin + j) for j, k in enumerate(new))
-        return np.fromiter((known[h] for h in listed), np.int64, len(listed))[back]
+            known.update(zip([listed[new[k]] for k in order], range(begin, len(self.of))))
+        return np.fromiter(map(known.__getitem__, listed), np.int64, len(listed))[back]
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One for all tasks of a worker."""
+    return WordIds(path)
 
 
 def _tokens(path: str, capacity: int):
     def run(batches):
-        ids_of = WordIds(path)
+        ids_of = word_ids(path)
         for batch in batches:
             for w in W.slices(batch.column("text")):
                 slots = np.insert(ids_of.slots(w), w.first[1:], 0)
