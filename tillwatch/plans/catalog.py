@@ -205,7 +205,7 @@ def _quality_rollup(spark, d) -> DataFrame:
 # ---------------------------------------------------------------- streams
 
 def _stream_ops(spark, d) -> DataFrame:
-    return daily.drain(daily.daily_ops_stream(daily.event_stream(spark, d), tpch.status_table(spark)), "daily-ops")
+    return daily.drain_updates(daily.daily_ops_stream(daily.event_stream(spark, d), tpch.status_table(spark)), "daily-ops", "day")
 
 
 def _stream_repeats(spark, d) -> DataFrame:

@@ -23,10 +23,11 @@ QUESTIONS = {
                 "WHERE platform IN ('mobile', 'website') GROUP BY platform",
     "gold_q12": "SELECT day_name FROM tickets WHERE is_success GROUP BY day_name ORDER BY COUNT(*) DESC, day_name LIMIT 1",
 }
-MAX_ROWS = 1000  # size of a shown answer
 
 
-def ask(spark: SparkSession, tickets: DataFrame, name: str, year: int, max_rows: int = MAX_ROWS) -> DataFrame:
+def ask(spark: SparkSession, tickets: DataFrame, name: str, year: int, max_rows: int | None = None) -> DataFrame:
+    """The answer to a question, whole unless ``max_rows`` asks for a short one to show."""
     tickets.createOrReplaceTempView("tickets")
     sql = QUESTIONS[name].format(year=year, previous=year - 1)
-    return spark.sql(f"SELECT * FROM ({sql}) LIMIT {max_rows}")
+    answer = spark.sql(sql)
+    return answer if max_rows is None else answer.limit(max_rows)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tillwatch.functions import columns as C
@@ -31,7 +32,8 @@ def gated_ingest(spark: SparkSession, paths: load.Paths, base_refs: dict[str, Da
 
 
 def daily_ops_stream(attempts: DataFrame, status_table: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Operations metrics per day from a stream of attempts; a day is emitted once the watermark has passed its end."""
+    """Operations metrics per day from a stream of attempts. In update mode every day is out as soon as it has rows, in append mode once the
+    watermark has passed its end."""
     d = with_status(attempts, status_table).withWatermark("time", delay)
     return d.groupBy(F.window("time", "1 day").alias("w")).agg(
         F.count("*").alias("tickets"), F.count_if("is_success").alias("success"),
@@ -56,6 +58,21 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def drain_updates(stream: DataFrame, name: str, key: str) -> DataFrame:
+    """Process everything available in update mode; one row per ``key``, the newest. A batch that is repeated writes the same folder again."""
+    spark = stream.sparkSession
+    out, checkpoint = shared_dir(spark, name), shared_dir(spark, f"{name}-checkpoint")
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    q = (stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    columns = stream.columns
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+    newest = F.max_by(F.struct(*columns), "batch").alias("row")
+    return rows.groupBy(key).agg(newest).select("row.*")
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table read as a stream of payment attempts."""
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
