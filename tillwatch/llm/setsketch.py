@@ -199,33 +199,42 @@ def _labelled(bands: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFr
     return store(members.join(mixed.select("band", "low"), "band"), "mixed")
 
 
-def _other_pairs(members: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a bucket, lie in different components of up to LARGE members and have not been compared."""
-    small = members.where(F.col("size") <= LARGE)
-    rest = small.where("label != low").select("band", F.col("node").alias("one"), F.col("label").alias("own"), F.col("n").alias("n_one"))
+def _asks(members: DataFrame) -> DataFrame:
+    """node, host, host_size: documents that share a bucket with a larger component ``host`` of more than LARGE members. Stored."""
+    into = members.where(F.col("size") > LARGE).select("band", F.col("label").alias("host"), F.col("size").alias("host_size")).distinct()
+    smaller = F.struct("size", "label") < F.struct(F.col("host_size").alias("size"), F.col("host").alias("label"))
+    return store(members.join(into, "band").where((F.col("label") != F.col("host")) & smaller).select("node", "host", "host_size").distinct(), "asks")
+
+
+def _other_pairs(members: DataFrame, asks: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share a bucket, lie in different components of up to LARGE members and have not been compared. Two documents that both ask the
+    same host meet in its blocks and are left out here."""
+    small = members.where(F.col("size") <= LARGE).join(asks.groupBy("node").agg(F.min("host").alias("host")), "node", "left")
+    rest = small.where("label != low").select("band", F.col("node").alias("one"), F.col("label").alias("own"), F.col("n").alias("n_one"),
+                                              F.col("host").alias("host_one"))
     fits = F.least("n", "n_one") * 100 >= F.greatest("n", "n_one") * percent
-    met = small.join(rest, "band").where((F.col("label") != F.col("own")) & fits).select(
+    apart = ~F.coalesce(F.col("host") == F.col("host_one"), F.lit(False))
+    met = small.join(rest, "band").where((F.col("label") != F.col("own")) & fits & apart).select(
         F.least("node", "one").alias("a"), F.greatest("node", "one").alias("b"))
     return met.distinct().join(tried, ["a", "b"], "left_anti")
 
 
-def _block_links(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links into components of more than LARGE members: a document that shares a bucket with such a component is compared with all of it, block
-    by block, on full sets; a block returns one link for a document at most. Pairs are never written down."""
-    into = members.where(F.col("size") > LARGE).select("band", F.col("label").alias("host"), F.col("size").alias("host_size")).distinct()
-    smaller = F.struct("size", "label") < F.struct(F.col("host_size").alias("size"), F.col("host").alias("label"))
-    asks = store(members.join(into, "band").where((F.col("label") != F.col("host")) & smaller).select("node", "host", "host_size").distinct(), "asks")
+def _block_links(asks: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links of documents with the large components they ask, and among those that ask the same: compared with all of them, block by block, on
+    full sets. A block returns a spanning forest of its links, so pairs are never written down."""
     if asks.isEmpty():
         return asks.select(F.col("node").alias("a"), F.col("host").alias("b"))
     hosts = asks.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / ASK_BLOCK).cast("int").alias("chunks"),
-                                     F.ceil(F.first("host_size") / HOST_BLOCK).cast("int").alias("blocks"))
+                                     F.ceil((F.first("host_size") + F.count(F.lit(1))) / HOST_BLOCK).cast("int").alias("blocks"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     left = asks.select("node", "host").join(hosts, "host").select("node", "host", part("chunks").alias("chunk"), every("blocks").alias("block"))
-    right = labels.withColumnRenamed("label", "host").join(hosts, "host").select("node", "host", part("blocks").alias("block"), every("chunks").alias("chunk"))
+    hosted = labels.select("node", F.col("label").alias("host"), F.lit(True).alias("inside")).unionByName(
+        asks.select("node", "host", F.lit(False).alias("inside"))).repartition("host", "node")
+    right = hosted.join(hosts, "host").select("node", "host", "inside", part("blocks").alias("block"), every("chunks").alias("chunk"))
     texts = _texts(left.select("node").unionByName(right.select("node")).distinct(), classes, docs)
     keys = ["host", "block", "chunk"]
-    left, right = (x.join(texts.toDF("node", "text"), "node").select(*keys, "node", "text").toDF(*keys, "node", "text").groupBy(*keys) for x in (left, right))
+    left, right = (x.join(texts.toDF("node", "text"), "node").toDF("node", *x.columns[1:], "text").groupBy(*keys) for x in (left, right))
     return store(left.cogroup(right).applyInPandas(_block(shingle, percent), "a long, b long"), "block-links")
 
 
@@ -244,13 +253,21 @@ def _block(shingle: int, percent: int):
         flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
-        found = []
-        for node, s in zip(asking["node"], sets(asking)):
+        found, above = [], {}
+        ids, inside = members["node"].to_numpy(), members["inside"].to_numpy(bool)
+
+        def top(x):
+            while above.setdefault(x, x) != x:
+                above[x] = x = above[above[x]]
+            return x
+        for node, s in zip(asking["node"].tolist(), sets(asking)):
             low = np.searchsorted(flat, s)
             shared = np.bincount(owner[W.ragged(low, np.searchsorted(flat, s, "right") - low)], minlength=len(own))
-            hit = np.flatnonzero(100 * shared >= percent * (size + len(s) - shared))
-            if len(hit):
-                found.append((int(node), int(members["node"].iloc[hit[0]])))
+            hit = np.flatnonzero((100 * shared >= percent * (size + len(s) - shared)) & (ids != node))
+            for other in ids[hit[inside[hit]][:1]].tolist() + ids[hit[~inside[hit]]].tolist():
+                if top(node) != top(other):
+                    above[top(node)] = top(other)
+                    found.append((node, other))
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
     return run
 
@@ -277,8 +294,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     links = _links(tried, classes, texts, shingle, percent, m)
     labels = components(links)
     members = _labelled(banded, classes, labels)
-    more = _links(_other_pairs(members, tried, percent), classes, texts, shingle, percent, m).unionByName(
-        _block_links(members, labels, classes, texts, shingle, percent))
+    asks = _asks(members)
+    more = _links(_other_pairs(members, asks, tried, percent), classes, texts, shingle, percent, m).unionByName(
+        _block_links(asks, labels, classes, texts, shingle, percent))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     roots = classes.select("node", "doc_id").join(labels, "node", "left").withColumn("root", F.coalesce("label", "node"))
