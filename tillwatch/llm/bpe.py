@@ -236,9 +236,7 @@ def _round_trip(path: str):
                 start = piece_bounds(w)
                 end = np.append(start[1:], len(data))
                 if len(start):
-                    up, down = W.powers(len(data), W._BASES[0])
-                    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(W._BYTE[data] * up, dtype=np.uint64)))
-                    pool, of, size = encoder.pieces(W.mix((sums[end] - sums[start]) * down[start]), start, end, data)
+                    pool, of, size = encoder.pieces(W.byte_hashes(data, start, end), start, end, data)
                     ids = _joined(pool, of, size)
                     done = np.concatenate(([0], np.cumsum(size)))
                     bounds = done[np.searchsorted(start, offsets)]

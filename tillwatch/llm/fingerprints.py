@@ -109,11 +109,3 @@ def edited_likeness(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     return rows.select("doc_id", n.cast("long").alias("n_chars"), "edited_text", "fingerprint", "edited",
                        likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"),
                        likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"))
-
-
-def brute_force(text: str | None, gram: int = GRAM, window: int = WINDOW) -> list[tuple[int, tuple]]:
-    """(place, words) that winnowing with an order-free choice may keep: all grams; for tests of the match guarantee."""
-    w = (text or "").encode().split()
-    if not w:
-        return []
-    return [(i, tuple(w[i:i + gram])) for i in range(max(1, len(w) - gram + 1))]

@@ -16,7 +16,6 @@ sends a row per batch, not per document. Nothing forms pairs.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -215,20 +214,3 @@ def with_repeats_removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return cut.select(
         "doc_id", F.when(changed, F.col("kept")).otherwise(F.col("text")).alias("text"), "lang", "source",
         F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
-
-
-def brute_force(texts: list[str | None], window: int = WINDOW) -> pd.DataFrame:
-    """The same rule on a few texts, by counting every window."""
-    split = [(t or "").encode().split() for t in texts]
-    seen: dict = {}
-    for ws in split:
-        for i in range(len(ws) - window + 1):
-            seen[tuple(ws[i:i + window])] = seen.get(tuple(ws[i:i + window]), 0) + 1
-    rows = []
-    for ws in split:
-        gone = set()
-        for i in range(len(ws) - window + 1):
-            if seen[tuple(ws[i:i + window])] > 1:
-                gone.update(range(i, i + window))
-        rows.append((len(ws), len(gone), b" ".join(x for i, x in enumerate(ws) if i not in gone).decode()))
-    return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])

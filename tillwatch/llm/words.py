@@ -96,6 +96,14 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[sli
         row = upto
 
 
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = False) -> np.ndarray:
+    """Hashes of the byte runs from start to end."""
+    up, down = powers(len(data), _BASES[0])
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((_FOLDED if fold else _BYTE)[data] * up, out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start])
+
+
 def find_words(rows: slice, data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> Words:
     n = len(data)
     if not n:
@@ -110,11 +118,7 @@ def find_words(rows: slice, data: np.ndarray, offsets: np.ndarray, fold: bool =
     after[offsets[offsets > 0] - 1] = True
     start = np.flatnonzero(before & ~space)
     end = np.flatnonzero(after & ~space) + 1
-    up, down = powers(n, _BASES[0])
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_FOLDED if fold else _BYTE)[data] * up, out=sums[1:])
-    hashes = mix((sums[end] - sums[start]) * down[start])
-    return Words(rows, data, offsets, start, end, hashes, np.searchsorted(start, offsets))
+    return Words(rows, data, offsets, start, end, byte_hashes(data, start, end, fold), np.searchsorted(start, offsets))
 
 
 def slices(texts: pa.Array, fold: bool = False, limit: int = SLICE_BYTES) -> Iterator[Words]:
