@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 
 from tillwatch.llm import words as W
 
-PER_LANGUAGE, SAMPLE_CHARS, LANGUAGES = 1200, 20_000, 256
+PER_LANGUAGE, SAMPLE_CHARS, LANGUAGES = 400, 20_000, 256
 BUCKETS, WIDTH, EPOCHS, RATE = 1 << 15, 16, 3, 0.5
 GRAMS = (1, 2, 3, 4)
+#: Words of the runs that a training text gives.
+RUNS = (1, 4, 12, 40, 120)
 REJECTED = 0.001
 UNKNOWN = "und"
 
@@ -70,18 +72,16 @@ class Model:
 
 
 def _examples(texts: list[str], labels: np.ndarray, rng) -> list[tuple[np.ndarray, int]]:
-    """Whole texts and short runs of their words as n-gram buckets."""
+    """Runs of the words of each text as n-gram buckets."""
     out = []
     for text, label in zip(texts, labels):
         words = text.encode().split()
         if not words:
             continue
         grams, first = word_grams(words)
-        out.append((grams, int(label)))
-        for size in (1, 4, 12, 40):
-            if len(words) > size:
-                at = int(rng.integers(0, len(words) - size))
-                out.append((grams[first[at]:first[at + size]], int(label)))
+        for size in RUNS:
+            at = int(rng.integers(0, max(1, len(words) - size + 1)))
+            out.append((grams[first[at]:first[min(at + size, len(words))]], int(label)))
     return [(g, y) for g, y in out if len(g)]
 
 
