@@ -84,6 +84,24 @@ def test_fusion_equals_brute_force(spark):
     assert [r["keyword_rank"] for r in got] == [rk.get(d, len(kw) + 1) for d in want]
 
 
+def test_fusion_keeps_documents_and_queries_without_vector(spark):
+    """Query 1 has a vector, 2 has none, 3 has neither vector nor words; 146 documents have no vector, 20 no words."""
+    n = 150
+    kw = {1: {d: (d * 37 % 101) / 101 for d in range(n - 20)}, 2: {d: (d * 41 % 103) / 103 for d in (7, 90, 120)}, 3: {}}
+    vec = {1: {d: (d * 53 % 149) / 149 for d in range(n) if d >= 146}, 2: {}, 3: {}}
+    order = lambda s: {d: i for i, d in enumerate(sorted(s, key=lambda d: (-s[d], d)), 1)}
+    want = {}
+    for q in kw:
+        rk, rv = order(kw[q]), order(vec[q])
+        full = {d: round(1 / (rk.get(d, len(rk) + 1) + 60) + (1 / (rv[d] + 60) if d in rv else 0), 9) for d in range(n)}
+        want[q] = [(d, full[d], rv.get(d)) for d in sorted(full, key=lambda d: (-full[d], d))[:6]]
+    frame = lambda s: spark.createDataFrame([(q, d, x) for q in s for d, x in s[q].items()], "q bigint, d bigint, score double")
+    queries, every = spark.createDataFrame([(q,) for q in kw], "q bigint"), spark.createDataFrame([(d,) for d in range(n)], "d bigint")
+    got = text.fuse(frame(kw), frame(vec), "q", "d", queries=queries, docs=every).orderBy("q", "rank").collect()
+    assert {q: [(r["d"], r["score"], r["vector_rank"]) for r in got if r["q"] == q] for q in kw} == want
+    assert any(v is None for _, _, v in want[1])
+
+
 def test_vector_blocks(spark):
     v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "d bigint, embedding array<float>")
     q = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(7)], "q bigint, embedding array<float>")

@@ -192,25 +192,31 @@ def ranks_of(scores: DataFrame, wanted: DataFrame, query_key: str, doc_key: str,
     return joined.select(query_key, doc_key, F.sum(F.coalesce("n", F.lit(0))).over(w).alias("rank"))
 
 
-def fuse(keyword: DataFrame, vector: DataFrame, query_key: str, doc_key: str, k: int = TOP_K) -> DataFrame:
+def fuse(keyword: DataFrame, vector: DataFrame, query_key: str, doc_key: str, k: int = TOP_K, queries: DataFrame | None = None,
+         docs: DataFrame | None = None) -> DataFrame:
     """Top k by reciprocal rank fusion, sum of 1 / (60 + rank).
 
     Ranks are by (score descending, document); documents that share no term with the query have the rank behind all
-    that do. A document below rank 60 + 2k in both lists scores less than 2 / (120 + 2k) = 1 / (60 + k), which k documents
-    reach, so only the heads of the two lists can win; their rank in the other list is computed exactly.
+    that do. A document or query without a vector gets nothing from the vector list (vector_rank null). A document below rank
+    60 + 2k in both lists scores less than 2 / (120 + 2k) = 1 / (60 + k), which k documents reach, so only the heads of the two
+    lists can win; their rank in the other list is computed exactly. Documents in neither list come after all others: the k
+    smallest of ``docs`` stand for them, for every one of ``queries``. Without these two only the documents of the lists are ranked.
     """
     depth = RRF + 2 * k
     # both lists are read several times below
     keyword, vector = write_shared(keyword, "keyword-scores"), write_shared(vector, "vector-scores")
     heads = [top_k(x, query_key, doc_key, depth).select(query_key, doc_key) for x in (keyword, vector)]
+    if queries is not None and docs is not None:
+        first = [r[0] for r in docs.select(doc_key).where(F.col(doc_key).isNotNull()).distinct().orderBy(doc_key).limit(k).collect()]
+        heads.append(queries.select(query_key, F.explode(F.array(*map(F.lit, first)).cast(f"array<{docs.schema[doc_key].dataType.simpleString()}>")).alias(doc_key)))
     wanted = union_on(heads, query_key, doc_key).distinct()
     kw = ranks_of(keyword, wanted, query_key, doc_key).withColumnRenamed("rank", "keyword_rank")
     vec = ranks_of(vector, wanted, query_key, doc_key).withColumnRenamed("rank", "vector_rank")
     matched = keyword.groupBy(query_key).agg(F.count("*").alias("_matched"))
-    j = wanted.join(vec, [query_key, doc_key]).join(kw, [query_key, doc_key], "left").join(matched, query_key, "left")
+    j = wanted.join(vec, [query_key, doc_key], "left").join(kw, [query_key, doc_key], "left").join(matched, query_key, "left")
     j = j.withColumn("keyword_rank", F.coalesce("keyword_rank", F.coalesce("_matched", F.lit(0)) + 1)).drop("_matched")
-    score = F.lit(1.0) / (F.col("keyword_rank") + RRF) + F.lit(1.0) / (F.col("vector_rank") + RRF)
-    return top_k(j.withColumn("score", F.round(score, 9)), query_key, doc_key, k)
+    score = F.lit(1.0) / (F.col("keyword_rank") + RRF) + F.coalesce(F.lit(1.0) / (F.col("vector_rank") + RRF), F.lit(0.0))
+    return top_k(j.withColumn("score", F.round(score, 9)).select(query_key, doc_key, "vector_rank", "keyword_rank", "score"), query_key, doc_key, k)
 
 
 def hits_at_k(ranked: DataFrame, sources: DataFrame, questions: DataFrame, query_key: str, doc_key: str) -> DataFrame:

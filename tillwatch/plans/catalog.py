@@ -247,11 +247,11 @@ def _vector(spark, d) -> DataFrame:
 
 
 def _fused(spark, d) -> DataFrame:
-    """Fusion over the documents that have a vector."""
-    docs = _table(spark, d, "documents").join(_table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
-    kw = text.keyword_scores(docs, _table(spark, d, "benchmark"), "doc_id", "item_id")
+    """Fusion over all documents and benchmark items; those without a vector are ranked by their words alone."""
+    docs, items = _table(spark, d, "documents"), _table(spark, d, "benchmark")
+    kw = text.keyword_scores(docs, items, "doc_id", "item_id")
     vec = _vector_scores(spark, d).join(docs.select("doc_id"), "doc_id", "left_semi")
-    return text.fuse(kw, vec, "item_id", "doc_id")
+    return text.fuse(kw, vec, "item_id", "doc_id", queries=items, docs=docs)
 
 
 def _hits(spark, d) -> DataFrame:
