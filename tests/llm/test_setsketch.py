@@ -81,3 +81,11 @@ def test_large_components_are_compared_in_blocks(spark, monkeypatch):
     got = setsketch.near_duplicates(table, 2).select("doc_id", "n_shingles", "component_id", "kept").toPandas().sort_values("doc_id")
     want = brute_force(rows, 2).sort_values("doc_id")
     assert got.values.tolist() == want.values.tolist() and 1 < want.component_id.nunique() < 60
+
+
+def test_rows_without_id_whose_texts_share_a_32_bit_hash(spark):
+    """Two unrelated texts with the same Spark hash are two documents; blank texts are told apart too."""
+    one, two = (" ".join(f"w{i}x{j}" for j in range(40)) for i in (23147, 205656))
+    table = spark.createDataFrame([(None, one), (None, two), (None, ""), (None, " ")], "doc_id long, text string")
+    assert table.where("length(text) > 9").selectExpr("hash(text) as h").distinct().count() == 1
+    assert {r.text for r in setsketch.without_near_duplicates(table).collect()} == {one, two, "", " "}

@@ -60,3 +60,12 @@ def test_empty_table_and_repeated_rows(spark):
 def test_cover_reaches_every_difference():
     for period, cover in substring.COVERS.items():
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))
+
+
+def test_rows_without_id_whose_texts_share_a_32_bit_hash(spark):
+    """Two unrelated texts with the same Spark hash: the repeat in one takes no words from the other."""
+    one, two = (" ".join(f"w{i}x{j}" for j in range(40)) for i in (23147, 205656))
+    table = spark.createDataFrame([(None, one), (None, two), (9, one + " end")], "doc_id long, text string")
+    assert table.where("doc_id is null").selectExpr("hash(text) as h").distinct().count() == 1
+    got = {r.text: (r.n_removed, r.kept) for r in substring.remove_repeats(table).collect()}
+    assert got == {one: (40, ""), two: (0, two), one + " end": (40, "end")}

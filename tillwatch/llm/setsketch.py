@@ -107,9 +107,9 @@ def _sets(shingle: int, m: int):
                     one.append(key)
                     sketch.append(pa.array(cells, pa.binary()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key_id"), batch.column("key_text"), batch.column("doc_id"), pa.array(np.concatenate(size)),
+                    [batch.column("key_high"), batch.column("key_low"), batch.column("doc_id"), pa.array(np.concatenate(size)),
                      pa.array(np.concatenate(one).view(np.int64)), pa.concat_arrays(sketch)],
-                    names=["key_id", "key_text", "doc_id", "n", "node", "sketch"])
+                    names=["key_high", "key_low", "doc_id", "n", "node", "sketch"])
     return run
 
 
@@ -185,7 +185,7 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int,
 
 def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """node, text of the distinct ``nodes``. Stored."""
-    found = nodes.join(classes.select("node", "rep.*"), "node").join(docs, ["key_id", "key_text"]).select("node", "text")
+    found = nodes.join(classes.select("node", "rep.*"), "node").join(docs, ["key_high", "key_low"]).select("node", "text")
     return store(found.dropDuplicates(["node"]), "texts")
 
 
@@ -274,7 +274,7 @@ def _block(shingle: int, percent: int):
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
                     text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """key_id, key_text (see ``row_key``), doc_id, n_shingles, root, component_id, kept for every row of ``docs``.
+    """key_high, key_low (see ``row_key``), doc_id, n_shingles, root, component_id, kept for every row of ``docs``.
 
     Rows are linked if 100 * intersection >= percent * union. ``component_id`` is the smallest doc_id reachable. Null, empty and
     blank texts have no shingles and are linked with nothing (root null). Rows without doc_id take part; they are kept only where no row
@@ -283,14 +283,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     m = bands * rows
     keyed = docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = store(keyed.mapInArrow(
-        _sets(shingle, m), "key_id long, key_text int, doc_id long, n long, node long, sketch binary"), "sets")
+        _sets(shingle, m), "key_high long, key_low long, doc_id long, n long, node long, sketch binary"), "sets")
     classes = store(sets.where("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch"),
-        F.min(F.struct("key_id", "key_text")).alias("rep")), "classes")
+        F.min(F.struct("key_high", "key_low")).alias("rep")), "classes")
     banded = store(classes.select("node", "sketch").mapInArrow(_bands(bands, rows), "band long, node long"), "bands")
     hubs = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")).where("size > 1")
     tried = store(banded.join(hubs, "band").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "tried")
-    texts = keyed.select("key_id", "key_text", "text")
+    texts = keyed.select("key_high", "key_low", "text")
     links = _links(tried, classes, texts, shingle, percent, m)
     labels = components(links)
     members = _labelled(banded, classes, labels)
@@ -302,18 +302,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     roots = classes.select("node", "doc_id").join(labels, "node", "left").withColumn("root", F.coalesce("label", "node"))
     lowest = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = roots.select("node", "root").join(lowest, "root")
-    out = sets.select("key_id", "key_text", "doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, "node", "left")
+    out = sets.select("key_high", "key_low", "doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, "node", "left")
     component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("key_id", "key_text", "doc_id", F.col("n").alias("n_shingles"), "root", component.alias("component_id"),
+    return out.select("key_high", "key_low", "doc_id", F.col("n").alias("n_shingles"), "root", component.alias("component_id"),
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, that with the smallest doc_id; of repeated rows one stays. Texts
     without words stay."""
-    found = near_duplicates(docs, shingle, percent).where("kept").select(
-        "key_id", "key_text", F.coalesce("root", F.xxhash64("key_id", "key_text", F.lit("blank"))).alias("group"))
-    one = found.dropDuplicates(["group"]).drop("group")
-    keyed = docs.withColumns(dict(zip(("key_id", "key_text"), row_key())))
-    rank = F.row_number().over(Window.partitionBy("key_id", "key_text").orderBy("key_id"))
-    return keyed.join(one, ["key_id", "key_text"]).withColumn("row_rank", rank).where("row_rank = 1").select(*docs.columns)
+    blank = F.when(F.col("root").isNull(), F.struct("key_high", "key_low"))
+    found = near_duplicates(docs, shingle, percent).where("kept").select("key_high", "key_low", "root", blank.alias("blank"))
+    one = found.dropDuplicates(["root", "blank"]).select("key_high", "key_low")
+    keyed = docs.withColumns(dict(zip(("key_high", "key_low"), row_key())))
+    rank = F.row_number().over(Window.partitionBy("key_high", "key_low").orderBy("key_high"))
+    return keyed.join(one, ["key_high", "key_low"]).withColumn("row_rank", rank).where("row_rank = 1").select(*docs.columns)

@@ -26,8 +26,8 @@ from tillwatch.llm.tables import row_key, store
 WINDOW = 35
 # Perfect difference sets by period; every difference modulo the period is one of two members'.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
-_ANCHOR = "key_id long, key_text int, place int, anchor long, context long, times int, settled boolean"
-_WINDOW = "key_id long, key_text int, place int, one long, two long, times int, settled boolean"
+_ANCHOR = "key_high long, key_low long, place int, anchor long, context long, times int, settled boolean"
+_WINDOW = "key_high long, key_low long, place int, one long, two long, times int, settled boolean"
 
 
 def cover_of(window: int) -> tuple[int, tuple[int, ...], int]:
@@ -65,7 +65,7 @@ def _anchors(window: int):
 
     def run(batches):
         for batch in batches:
-            ids, texts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key_id", "key_text"))
+            high, low = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key_high", "key_low"))
             parts = []
             for w in W.slices(batch.column("text")):
                 doc = w.doc
@@ -79,7 +79,7 @@ def _anchors(window: int):
                 sides = (left.astype(np.uint64) << np.uint64(32)) + right.astype(np.uint64)
                 context = W.mix(W.Spans(w.hash, 2).of(at - left, at + right) + sides * np.uint64(0x9E3779B97F4A7C15))
                 own = doc[at] + w.rows.start
-                parts.append({"key_id": ids[own], "key_text": texts[own], "place": place[at].astype(np.int32), "anchor": anchor,
+                parts.append({"key_high": high[own], "key_low": low[own], "place": place[at].astype(np.int32), "anchor": anchor,
                               "context": context})
             if parts:
                 yield _gathered(parts, ("anchor", "context"))
@@ -91,7 +91,7 @@ def _windows(window: int):
 
     def run(batches):
         for batch in batches:
-            ids, texts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key_id", "key_text"))
+            high, low = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key_high", "key_low"))
             lists = batch.column("unsettled")
             parts = []
             for w in W.slices(batch.column("text")):
@@ -108,7 +108,7 @@ def _windows(window: int):
                 if not len(starts):
                     continue
                 own = of + w.rows.start
-                parts.append({"key_id": ids[own], "key_text": texts[own], "place": (starts - w.first[of]).astype(np.int32),
+                parts.append({"key_high": high[own], "key_low": low[own], "place": (starts - w.first[of]).astype(np.int32),
                               "one": W.Spans(w.hash, 1).of(starts, starts + window),
                               "two": W.Spans(w.hash, 2).of(starts, starts + window)})
             if parts:
@@ -129,28 +129,28 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, text_col: str = "text"
         anchors.withColumn("n", F.sum("times").over(whole)).withColumn("row", F.row_number().over(same))
         .where("n > 1 or settled")
         .withColumn("n_context", F.sum("times").over(alike)).withColumn("first", F.min("row").over(alike))
-        .select("key_id", "key_text", "place", (F.col("settled") | (F.col("n_context") > 1)).alias("proven"),
+        .select("key_high", "key_low", "place", (F.col("settled") | (F.col("n_context") > 1)).alias("proven"),
                 ((F.col("n_context") < F.col("n")) & (F.col("row") == F.col("first")) & ~F.col("settled")).alias("ask"))
-        .groupBy("key_id", "key_text")
+        .groupBy("key_high", "key_low")
         .agg(F.collect_list(F.when(F.col("proven"), F.col("place"))).alias("proven"),
              F.collect_list(F.when(F.col("ask"), F.col("place"))).alias("unsettled"))
     )
     seen = store(seen, "anchors")
-    asking = seen.where("size(unsettled) > 0").select("key_id", "key_text", "unsettled")
-    windows = keyed.join(asking, ["key_id", "key_text"]).mapInArrow(_windows(window), _WINDOW)
+    asking = seen.where("size(unsettled) > 0").select("key_high", "key_low", "unsettled")
+    windows = keyed.join(asking, ["key_high", "key_low"]).mapInArrow(_windows(window), _WINDOW)
     found = (
         windows.withColumn("n", F.sum("times").over(Window.partitionBy("one", "two"))).where("n > 1 or settled")
-        .groupBy("key_id", "key_text").agg(F.collect_list("place").alias("places"))
+        .groupBy("key_high", "key_low").agg(F.collect_list("place").alias("places"))
     )
     spans = (
         seen.where("size(proven) > 0")
-        .select("key_id", "key_text",
+        .select("key_high", "key_low",
                 F.transform("proven", lambda p: F.greatest(p - (period - 1), F.lit(0))).alias("starts"),
                 F.transform("proven", lambda p: p + window).alias("ends"))
-        .unionByName(found.select("key_id", "key_text", F.col("places").alias("starts"),
+        .unionByName(found.select("key_high", "key_low", F.col("places").alias("starts"),
                                   F.transform("places", lambda p: p + window).alias("ends")))
-        .repartition("key_id", "key_text")
-        .groupBy("key_id", "key_text")
+        .repartition("key_high", "key_low")
+        .groupBy("key_high", "key_low")
         .agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     )
     return store(spans, "spans")
@@ -198,17 +198,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text_col: str = "text"
     """
     spans = repeated_spans(docs, window, text_col, id_col)
     keyed = docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return keyed.join(spans, ["key_id", "key_text"], "left").mapInArrow(
-        _cut, "key_id long, key_text int, doc_id long, text string, n_words long, n_removed long, kept string").drop("key_id", "key_text")
+    return keyed.join(spans, ["key_high", "key_low"], "left").mapInArrow(
+        _cut, "key_high long, key_low long, doc_id long, text string, n_words long, n_removed long, kept string").drop("key_high", "key_low")
 
 
 def with_repeats_removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the same columns: text and n_chars are new where words were removed, every other row is left as it is."""
     spans = repeated_spans(docs, window)
-    keys = dict(zip(("key_id", "key_text"), row_key()))
+    keys = dict(zip(("key_high", "key_low"), row_key()))
     fields = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumns(keys)
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields.schema.fields)
-    cut = fields.join(spans, ["key_id", "key_text"], "left").select(*fields.columns, "starts", "ends").mapInArrow(
+    cut = fields.join(spans, ["key_high", "key_low"], "left").select(*fields.columns, "starts", "ends").mapInArrow(
         _cut, f"{types}, n_words long, n_removed long, kept string")
     changed = F.col("n_removed") > 0
     return cut.select(

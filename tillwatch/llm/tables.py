@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from tillwatch.session import write_shared
 
-#: Stands for a missing identifier where rows are matched with themselves.
-NO_ID = -(2**63)
-
-
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write below the shared checkpoint folder and read back: survives lost executors and is computed once.
 
@@ -23,5 +19,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
-    """(key_id, key_text): names a row even where identifiers repeat or are missing; equal rows share a key and a result."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key_id"), F.hash(F.col(text_col)).alias("key_text")]
+    """(key_high, key_low): 128 bits of identifier and text, which name a row even where identifiers repeat or are missing; equal rows
+    share a key and a result."""
+    row = (F.col(id_col).isNull(), F.col(id_col).cast("long"), F.col(text_col).isNull(), F.col(text_col))
+    return [F.xxhash64(F.lit(seed), *row).alias(name) for seed, name in enumerate(("key_high", "key_low"))]
