@@ -5,7 +5,8 @@ import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
-SF = "/root/testdata/sf0.001"
+
+from paths import SF  # noqa: E402
 
 
 @pytest.fixture(scope="session")

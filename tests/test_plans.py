@@ -2,7 +2,7 @@
 
 import pandas as pd
 import pytest
-from conftest import SF
+from paths import SF
 from pyspark.sql import functions as F
 from test_load import COLUMNS, refs, row, write  # noqa: F401
 
