@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwatch.llm import bpe, fingerprints, language, lm, packing, pseudonyms, setsketch, substring, topk, warc
+from tillwatch.llm import bpe, fingerprints, language, lm, negatives, packing, pseudonyms, setsketch, substring, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,9 +65,15 @@ def op10_bpe(spark, sf_dir):
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = negatives.scaled_vectors(_read(spark, sf_dir, "embeddings"), label=label)
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pseudonyms, op2_substring_dedup, op3_language, op4_lm_scores, op5_warc, op6_fingerprints, op7_near_duplicates, op8_packing, op9_top_k,
-    op10_bpe)}
+    op10_bpe, op11_hard_negatives)}
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -116,4 +122,18 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM
   (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 10
 """
 
-SQL = {"op2_substring_dedup": _OP2, "op5_warc": _OP5, "op7_near_duplicates": _OP7, "op9_top_k": _OP9}
+_OP11 = """
+WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id != b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM
+  (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE same) WHERE n <= 5),
+r AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, s.vec_id)::INTEGER AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 3
+"""
+
+SQL = {"op2_substring_dedup": _OP2, "op5_warc": _OP5, "op7_near_duplicates": _OP7, "op9_top_k": _OP9,
+       "op11_hard_negatives": _OP11}
