@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwatch.llm import bpe, fingerprints, language, lm, negatives, packing, pseudonyms, setsketch, substring, topk, warc
+from tillwatch.llm import bpe, fingerprints, language, lm, negatives, packing, phrases, pseudonyms, rules, setsketch, substring, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -71,9 +71,19 @@ def op11_hard_negatives(spark, sf_dir):
     return negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op12_quality_rules(spark, sf_dir):
+    out = rules.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                      F.concat_ws(",", "reasons").alias("reasons"), "kept")
+
+
+def op13_collocations(spark, sf_dir):
+    return phrases.collocations(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pseudonyms, op2_substring_dedup, op3_language, op4_lm_scores, op5_warc, op6_fingerprints, op7_near_duplicates, op8_packing, op9_top_k,
-    op10_bpe, op11_hard_negatives)}
+    op10_bpe, op11_hard_negatives, op12_quality_rules, op13_collocations)}
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -135,5 +145,48 @@ r AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 3
 """
 
+_OP12_RULES = " UNION ALL ".join(f"SELECT '{r}' AS rule, doc_id, stratum, {a} AS a, {b} AS b FROM c WHERE NOT base_failed" for r, (a, b) in rules.RULES.items())
+_OP12 = f"""
+WITH w AS MATERIALIZED (SELECT doc_id, coalesce(lang, 'und') AS stratum, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM w)
+  WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY 1),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 3)) AS j FROM
+  (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1) GROUP BY 1),
+c0 AS (SELECT doc_id, stratum, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_capitals, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+c AS MATERIALIZED (SELECT *, n_words < {rules.MIN_WORDS} OR n_repeat_words * 100 > n_words * {rules.MAX_REPEATS} AS base_failed FROM c0),
+m AS MATERIALIZED ({_OP12_RULES}),
+y AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY 1),
+cut AS (SELECT unnest(range(1, {len(rules.CUTOFFS) + 1})) AS place, unnest({list(rules.CUTOFFS)}) AS cutoff),
+t AS (SELECT stratum, rule, place, cutoff, count(*) FILTER (WHERE quality = 1) AS n, count(*) FILTER (WHERE quality = 1 AND b > 0 AND a * 1000 >= cutoff * b) AS k,
+    count(*) FILTER (WHERE quality = 0 AND b > 0 AND a * 1000 >= cutoff * b) AS bad FROM m JOIN y USING (doc_id), cut GROUP BY 1, 2, 3, 4),
+p AS (SELECT *, CASE WHEN k >= n THEN 1 ELSE list_sum([exp(CASE WHEN i = 0 THEN 0 ELSE lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) END
+    + i * ln({rules.RISK / len(rules.RULES)}) + (n - i) * ln(1 - {rules.RISK / len(rules.RULES)})) FOR i IN range(0, k + 1)]) END AS p FROM t),
+z AS (SELECT *, max(p) OVER (PARTITION BY stratum, rule ORDER BY place) AS worst FROM p),
+best AS (SELECT stratum, rule, arg_min(cutoff, place - 100.0 * (bad - {rules.COST} * k)) AS cutoff FROM z
+  WHERE worst <= {rules.ERROR} / ((SELECT count(DISTINCT stratum) FROM t) * {len(rules.RULES)}) AND bad > {rules.COST} * k GROUP BY 1, 2),
+out AS (SELECT doc_id, string_agg(rule, ',' ORDER BY rule) AS reasons FROM m JOIN best USING (stratum, rule) WHERE a * 1000 >= cutoff * b GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(reasons, '') AS reasons,
+  NOT base_failed AND reasons IS NULL AS kept FROM c LEFT JOIN out USING (doc_id)
+"""
+
+_OP13 = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_FOLDED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY 1),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 6) x(k))),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.phrase, c.k, a, x.f AS l, y.f AS r, n, cut, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[cut + 1:], ' ') JOIN n ON n.lang = c.lang),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS i FROM s) WHERE i = 1),
+d AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM f z WHERE z.lang = b.lang AND z.k > b.k AND 100 * z.f >= 100 * b.a
+  AND contains(' ' || z.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM d) WHERE rank <= 2000
+"""
+
 SQL = {"op2_substring_dedup": _OP2, "op5_warc": _OP5, "op7_near_duplicates": _OP7, "op9_top_k": _OP9,
-       "op11_hard_negatives": _OP11}
+       "op11_hard_negatives": _OP11, "op12_quality_rules": _OP12, "op13_collocations": _OP13}
