@@ -1,5 +1,7 @@
 import random
+import tracemalloc
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tillwatch.llm import language
@@ -46,3 +48,35 @@ def test_grams_of_a_word():
     grams, first = language.word_grams([b"ab", b"c"])
     assert first.tolist() == [0, 2 + 3 + 2 + 1, 8 + 1 + 2 + 1]
     assert grams[:8].tolist() == language.word_grams([b"AB"])[0].tolist()
+
+
+def test_many_labels_take_little_memory():
+    rnd = random.Random(3)
+    languages = [f"l{i}" for i in range(200)]
+    model = language.Model(languages, np.random.default_rng(1).normal(size=(language.BUCKETS, 200)).astype(np.float32), np.zeros(200))
+    words = list({bytes(rnd.choice(b"abcdefghijklmnop") for _ in range(8)) for _ in range(50_000)})
+    tracemalloc.start()
+    sums, sizes = model.word_logits(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250 << 20 and sums.nbytes > 35 << 20
+    grams, _ = language.word_grams(words[41_000:41_001])
+    assert np.allclose(sums[41_000], model.logits[grams].sum(axis=0), atol=1e-3) and sizes[41_000] == len(grams)
+
+
+def test_unlearned_languages_are_rejected_and_clean_texts_stay(spark):
+    strange = ["Добежать до конца страницы и вернуться обратно, чтобы прочитать все снова. " * 5, "日本語のテキストはここにあります。" * 10,
+               "def f(x):\n    return x[1:] if len(x) > 3 else None\nfor i in range(10): print(f(i))\n" * 3, "xqzt vbnk qwrt zzkj pqxv " * 20]
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 3 != 2").withColumn("__has", F.lit("x"))
+    more = spark.createDataFrame([(10**9 + i, t, "x") for i, t in enumerate(strange)], "doc_id long, text string, __has string")
+    found = language.identify(docs.unionByName(more, True), ("doc_id", "lang", "score", "__has")).withColumn("held", language.held_out()).toPandas()
+    assert "__has" in found and found["score"].between(0, 1).all()
+    assert found[found["doc_id"] >= 10**9]["rejected"].all()
+    clean = found[found["held"] & found["lang"].notna() & (found["lang_pred"] != "und")]
+    assert clean["rejected"].mean() < 0.005 and (clean["lang"] == clean["lang_pred"]).mean() > 0.99
+
+
+def test_rows_without_or_with_the_same_id_are_learned_from(spark):
+    rows = [(None, t, m) for _, t, m in corpus(90)] + [(5, "ab ba abab", "aa")] * 500
+    texts, langs = language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert len(texts) == len(set(zip(texts, langs))) == len({(t, m) for _, t, m in rows})
