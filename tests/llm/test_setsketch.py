@@ -89,3 +89,25 @@ def test_rows_without_id_whose_texts_share_a_32_bit_hash(spark):
     table = spark.createDataFrame([(None, one), (None, two), (None, ""), (None, " ")], "doc_id long, text string")
     assert table.where("length(text) > 9").selectExpr("hash(text) as h").distinct().count() == 1
     assert {r.text for r in setsketch.without_near_duplicates(table).collect()} == {one, two, "", " "}
+
+
+def test_a_crowd_alike_below_the_threshold_is_compared_in_blocks(spark, monkeypatch):
+    """Form letters alike at about 0.7: no links but the two planted ones, and no table of their pairs."""
+    rnd = random.Random(4)
+    form = [f"f{i}" for i in range(60)]
+    texts = [" ".join(form + [f"x{i}y{j}" for j in range(12)]) for i in range(600)]
+    texts += [texts[17] + " more", texts[400] + " words here"]
+    rows = list(enumerate(texts))
+    rnd.shuffle(rows)
+    made = []
+    links = setsketch._links
+    monkeypatch.setattr(setsketch, "_links", lambda pairs, *a: (made.append(pairs.count()), links(pairs, *a))[1])
+    got = {r.doc_id: r.component_id for r in setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 2).collect()}
+    assert {i for i, c in got.items() if i != c} == {600, 601} and got[600] == 17 and got[601] == 400
+    assert sum(made) < 600 * 45 + setsketch.SMALL * 600 * 4
+
+
+def test_further_columns_come_back(spark):
+    rows = [(1, "a b c d e f", 5, 6, 7), (2, "a b c d e f", 8, 9, 10)]
+    got = setsketch.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, key_high int, key_low int, row_rank int")).collect()
+    assert [tuple(r) for r in got] == [rows[0]]

@@ -12,8 +12,8 @@ MAX_ROUNDS = 60
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node with the smallest node near it."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).repartition("a")
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
+    both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+    low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))  # a hub's edges are reduced before they travel
     return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a != b").distinct()
 
 

@@ -6,8 +6,10 @@ A document is the set of its distinct shingles (runs of ``shingle`` words, A-Z f
   x as floor(1 - log_b(x)): exponentially spaced minima, truncated to 16 bits. Registers of a union are register-wise maxima, and
   two sets agree in a register with a probability of (nearly) their Jaccard similarity. Only points before a time that fills all registers are drawn.
 * **Bands.** Texts with equal sets are one class. Classes that agree in all registers of a band meet: every member with the smallest
-  of the bucket (linear in its size). Once those links are known, only what is still apart meets: members of small components pair by
-  pair, and members of smaller components with a large one as a whole, in blocks. At a similarity of 0.8, 45 bands of 6 registers miss a pair with probability 1e-6.
+  of the bucket (linear in its size). Once those links are known, only what is still apart meets: in buckets of up to SMALL members pair by pair
+  (so rows stay within SMALL / 2 of the members), in larger buckets block by block, where a task compares full sets and hands on a spanning
+  forest of the links it found, never the pairs. Members of smaller components meet a component of more than LARGE as a whole, in blocks too.
+  At a similarity of 0.8, 45 bands of 6 registers miss a pair with probability 1e-6.
 * **Joint estimate.** The likelihood of (greater, smaller, equal) register counts and both sizes gives the similarity in closed
   form; pairs far below the threshold (7 standard errors) go no further.
 * **Verification** counts the elements of both full sets; only that makes a link.
@@ -20,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwatch.llm import words as W
@@ -30,8 +32,8 @@ from tillwatch.llm.tables import row_key, store
 BANDS, ROWS = 45, 6
 BASE, RATE = 1.001, 20.0
 SPARE = 6.0
-#: Components above LARGE members are compared in blocks of HOST_BLOCK of them and ASK_BLOCK others.
-LARGE, HOST_BLOCK, ASK_BLOCK = 64, 256, 1024
+#: Components above LARGE members, and buckets above SMALL, are compared in blocks of HOST_BLOCK of them and ASK_BLOCK others.
+LARGE, SMALL, HOST_BLOCK, ASK_BLOCK = 64, 16, 256, 1024
 _STEP, _SEED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x2545F4914F6CDD1D)
 _SHIFT = np.uint64(12)
 MAX_DOCS = 1 << 12
@@ -206,22 +208,38 @@ def _asks(members: DataFrame) -> DataFrame:
     return store(members.join(into, "band").where((F.col("label") != F.col("host")) & smaller).select("node", "host", "host_size").distinct(), "asks")
 
 
-def _other_pairs(members: DataFrame, asks: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a bucket, lie in different components of up to LARGE members and have not been compared. Two documents that both ask the
+def _unmet(members: DataFrame, asks: DataFrame) -> DataFrame:
+    """Members of components of up to LARGE, with the count of them in the bucket (crowd) and the host that they ask, if any. Stored."""
+    small = members.where(F.col("size") <= LARGE)
+    crowd = small.groupBy("band").agg(F.count(F.lit(1)).alias("crowd"))
+    return store(small.join(crowd.where("crowd > 1"), "band").join(asks.groupBy("node").agg(F.min("host").alias("host")), "node", "left"), "unmet")
+
+
+def _other_pairs(unmet: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share a bucket of up to SMALL members, lie in different components and have not been compared. Two documents that both ask the
     same host meet in its blocks and are left out here."""
-    small = members.where(F.col("size") <= LARGE).join(asks.groupBy("node").agg(F.min("host").alias("host")), "node", "left")
-    rest = small.where("label != low").select("band", F.col("node").alias("one"), F.col("label").alias("own"), F.col("n").alias("n_one"),
-                                              F.col("host").alias("host_one"))
+    few = unmet.where(F.col("crowd") <= SMALL)
+    rest = few.where("label != low").select("band", F.col("node").alias("one"), F.col("label").alias("own"), F.col("n").alias("n_one"),
+                                            F.col("host").alias("host_one"))
     fits = F.least("n", "n_one") * 100 >= F.greatest("n", "n_one") * percent
     apart = ~F.coalesce(F.col("host") == F.col("host_one"), F.lit(False))
-    met = small.join(rest, "band").where((F.col("label") != F.col("own")) & fits & apart).select(
+    met = few.join(rest, "band").where((F.col("label") != F.col("own")) & fits & apart).select(
         F.least("node", "one").alias("a"), F.greatest("node", "one").alias("b"))
     return met.distinct().join(tried, ["a", "b"], "left_anti")
 
 
-def _block_links(asks: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links of documents with the large components they ask, and among those that ask the same: compared with all of them, block by block, on
-    full sets. A block returns a spanning forest of its links, so pairs are never written down."""
+def _crowds(unmet: DataFrame) -> DataFrame:
+    """node, host, host_size: members of buckets of more than SMALL, the bucket as host; of buckets with the same members one. Stored."""
+    many = unmet.where(F.col("crowd") > SMALL)
+    sign = many.groupBy("band").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sign"), F.max("crowd").alias("crowd"),
+                                    F.min("label").alias("least"), F.max("label").alias("most"))
+    one = sign.where("least != most").groupBy("sign", "crowd").agg(F.min("band").alias("band"))
+    return store(many.join(one.select("band"), "band").select("node", F.col("band").alias("host"), F.lit(0).cast("long").alias("host_size")), "crowds")
+
+
+def _block_links(asks: DataFrame, hosts_of: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links of documents with the large components or crowds they ask, and among those that ask the same: compared with all of them, block by
+    block, on full sets. ``hosts_of`` has the members (node, host) that do not ask. A block returns a spanning forest of its links, so pairs are never written down."""
     if asks.isEmpty():
         return asks.select(F.col("node").alias("a"), F.col("host").alias("b"))
     hosts = asks.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / ASK_BLOCK).cast("int").alias("chunks"),
@@ -229,7 +247,7 @@ def _block_links(asks: DataFrame, labels: DataFrame, classes: DataFrame, docs: D
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     left = asks.select("node", "host").join(hosts, "host").select("node", "host", part("chunks").alias("chunk"), every("blocks").alias("block"))
-    hosted = labels.select("node", F.col("label").alias("host"), F.lit(True).alias("inside")).unionByName(
+    hosted = hosts_of.select("node", "host", F.lit(True).alias("inside")).unionByName(
         asks.select("node", "host", F.lit(False).alias("inside"))).repartition("host", "node")
     right = hosted.join(hosts, "host").select("node", "host", "inside", part("blocks").alias("block"), every("chunks").alias("chunk"))
     texts = _texts(left.select("node").unionByName(right.select("node")).distinct(), classes, docs)
@@ -295,8 +313,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     labels = components(links)
     members = _labelled(banded, classes, labels)
     asks = _asks(members)
-    more = _links(_other_pairs(members, asks, tried, percent), classes, texts, shingle, percent, m).unionByName(
-        _block_links(asks, labels, classes, texts, shingle, percent))
+    unmet = _unmet(members, asks)
+    crowds = _crowds(unmet)
+    inside = labels.select("node", F.col("label").alias("host"))
+    more = _links(_other_pairs(unmet, tried, percent), classes, texts, shingle, percent, m).unionByName(
+        _block_links(asks, inside, classes, texts, shingle, percent)).unionByName(
+        _block_links(crowds, inside.where("false"), classes, texts, shingle, percent))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     roots = classes.select("node", "doc_id").join(labels, "node", "left").withColumn("root", F.coalesce("label", "node"))
@@ -310,10 +332,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, that with the smallest doc_id; of repeated rows one stays. Texts
-    without words stay."""
+    without words stay. Columns may have any names; besides doc_id and text they are handed on as they are."""
     blank = F.when(F.col("root").isNull(), F.struct("key_high", "key_low"))
     found = near_duplicates(docs, shingle, percent).where("kept").select("key_high", "key_low", "root", blank.alias("blank"))
     one = found.dropDuplicates(["root", "blank"]).select("key_high", "key_low")
-    keyed = docs.withColumns(dict(zip(("key_high", "key_low"), row_key())))
-    rank = F.row_number().over(Window.partitionBy("key_high", "key_low").orderBy("key_high"))
-    return keyed.join(one, ["key_high", "key_low"]).withColumn("row_rank", rank).where("row_rank = 1").select(*docs.columns)
+    keyed = docs.select(*row_key(), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return keyed.join(one, ["key_high", "key_low"]).dropDuplicates(["key_high", "key_low"]).select("row.*")
