@@ -5,12 +5,13 @@ places whose remainder modulo ``period`` lies in a difference cover start an anc
 two places there is a shift below the period at which both are in the cover, so two equal windows share at least one aligned anchor
 inside them; anchors that occur once rule out their windows. Anchors that recur are extended:
 
-1. The context of an anchor is all words any window around it can hold. Two anchors with equal contexts (or a group of anchors
-   which all have the same one) prove every window in the context repeated, at once.
-2. Where contexts differ, one anchor of each distinct context compares its windows by a 128-bit hash.
+1. Anchors are counted by their hash alone. Those that recur are marked in a bit table of fixed size, and only they travel on, with their places.
+2. The context of an anchor is all words any window around it can hold. Two anchors with equal contexts
+   prove every window in the context repeated, at once.
+3. Where contexts differ, one anchor of each distinct context compares its windows by a 128-bit hash.
 
-Copies within one Arrow batch are settled there and only one of them travels on, so a passage that a third of all documents hold
-sends a row per batch, not per document. Nothing forms pairs.
+Copies within one Arrow batch are settled there and only one of them travels on. Contexts are counted by combinable aggregations, so a passage that a third of
+all documents hold is reduced before it is shuffled. Only texts that a bit table lets through are shuffled. Nothing forms pairs.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwatch.llm import words as W
+from tillwatch.llm.sieve import may_hold, sieve
 from tillwatch.llm.tables import row_key, store
 
 WINDOW = 35
@@ -57,30 +59,45 @@ def _gathered(parts: list[dict], pair: tuple[str, str]) -> pa.RecordBatch:
     return _table(joined)
 
 
-def _anchors(window: int):
+def _at_cover(w: W.Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word, document, place in it, words of it, hash) of every anchor."""
     period, cover, length = cover_of(window)
-    reach = period - 1
     in_cover = np.zeros(period, bool)
     in_cover[list(cover)] = True
+    doc = w.doc
+    place, size = w.place(doc), w.counts[doc]
+    at = np.flatnonzero(in_cover[place % period] & (place + length <= size) & (size >= window))
+    return at, doc[at], place[at], size[at], W.Spans(w.hash, 1).of(at, at + length)
+
+
+def _anchor_counts(window: int):
+    def run(batches):
+        for batch in batches:
+            for w in W.slices(batch.column("text")):
+                anchor, n = np.unique(_at_cover(w, window)[4], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(n)], names=["anchor", "n"])
+    return run
+
+
+def _anchors(window: int, often):
+    period, _, length = cover_of(window)
+    reach = period - 1
 
     def run(batches):
         for batch in batches:
             high, low = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key_high", "key_low"))
             parts = []
             for w in W.slices(batch.column("text")):
-                doc = w.doc
-                place, size = w.place(doc), w.counts[doc]
-                at = np.flatnonzero(in_cover[place % period] & (place + length <= size) & (size >= window))
+                found = _at_cover(w, window)
+                at, doc, place, size, anchor = (x[may_hold(often.value, found[4])] for x in found)
                 if not len(at):
                     continue
-                left = np.minimum(place[at], reach)
-                right = np.minimum(size[at] - place[at], length + reach)
-                anchor = W.Spans(w.hash, 1).of(at, at + length)
+                left = np.minimum(place, reach)
+                right = np.minimum(size - place, length + reach)
                 sides = (left.astype(np.uint64) << np.uint64(32)) + right.astype(np.uint64)
                 context = W.mix(W.Spans(w.hash, 2).of(at - left, at + right) + sides * np.uint64(0x9E3779B97F4A7C15))
-                own = doc[at] + w.rows.start
-                parts.append({"key_high": high[own], "key_low": low[own], "place": place[at].astype(np.int32), "anchor": anchor,
-                              "context": context})
+                own = doc + w.rows.start
+                parts.append({"key_high": high[own], "key_low": low[own], "place": place.astype(np.int32), "anchor": anchor, "context": context})
             if parts:
                 yield _gathered(parts, ("anchor", "context"))
     return run
@@ -116,101 +133,122 @@ def _windows(window: int):
     return run
 
 
+def _let_through(table, keep: bool = True):
+    """Rows whose key may be in the set, or else those that are certainly not."""
+    def run(batches):
+        for batch in batches:
+            held = may_hold(table.value, batch.column("key_high").to_numpy(zero_copy_only=False))
+            yield batch.filter(pa.array(held if keep else ~held))
+    return run
+
+
+def _asked(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` whose key is in ``keys``, with its further columns; only rows that may have one are shuffled."""
+    table = keyed.sparkSession.sparkContext.broadcast(sieve(keys, "key_high"))
+    return keyed.mapInArrow(_let_through(table), keyed.schema).join(keys, ["key_high", "key_low"])
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Key of each row (see ``row_key``) with ``starts`` and ``ends``: spans of words, partly overlapping, that repeated windows
-    cover. Rows without any are missing. Stored."""
+    cover. Rows without any are missing; equal rows have one key and one row here. Stored."""
     period, _, length = cover_of(window)
-    keyed = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
-    anchors = keyed.where(F.length("text") >= 2 * window - 1).mapInArrow(_anchors(window), _ANCHOR)
-    same = Window.partitionBy("anchor").orderBy("context")
-    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    alike = Window.partitionBy("anchor", "context")
-    seen = (
-        anchors.withColumn("n", F.sum("times").over(whole)).withColumn("row", F.row_number().over(same))
-        .where("n > 1 or settled")
-        .withColumn("n_context", F.sum("times").over(alike)).withColumn("first", F.min("row").over(alike))
-        .select("key_high", "key_low", "place", (F.col("settled") | (F.col("n_context") > 1)).alias("proven"),
-                ((F.col("n_context") < F.col("n")) & (F.col("row") == F.col("first")) & ~F.col("settled")).alias("ask"))
-        .groupBy("key_high", "key_low")
-        .agg(F.collect_list(F.when(F.col("proven"), F.col("place"))).alias("proven"),
-             F.collect_list(F.when(F.col("ask"), F.col("place"))).alias("unsettled"))
-    )
-    seen = store(seen, "anchors")
-    asking = seen.where("size(unsettled) > 0").select("key_high", "key_low", "unsettled")
-    windows = keyed.join(asking, ["key_high", "key_low"]).mapInArrow(_windows(window), _WINDOW)
-    found = (
-        windows.withColumn("n", F.sum("times").over(Window.partitionBy("one", "two"))).where("n > 1 or settled")
-        .groupBy("key_high", "key_low").agg(F.collect_list("place").alias("places"))
-    )
-    spans = (
-        seen.where("size(proven) > 0")
-        .select("key_high", "key_low",
-                F.transform("proven", lambda p: F.greatest(p - (period - 1), F.lit(0))).alias("starts"),
-                F.transform("proven", lambda p: p + window).alias("ends"))
-        .unionByName(found.select("key_high", "key_low", F.col("places").alias("starts"),
-                                  F.transform("places", lambda p: p + window).alias("ends")))
-        .repartition("key_high", "key_low")
-        .groupBy("key_high", "key_low")
-        .agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
-    )
-    return store(spans, "spans")
+    sent = docs.sparkSession.sparkContext.broadcast
+    keyed = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text")).where(F.length("text") >= 2 * window - 1)
+    key = ["key_high", "key_low"]
+    counts = keyed.select("text").mapInArrow(_anchor_counts(window), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    often = sent(sieve(counts.where("n > 1"), "anchor"))
+    anchors = store(keyed.mapInArrow(_anchors(window, often), _ANCHOR), "anchors")
+    contexts = anchors.where("not settled").groupBy("anchor", "context").agg(F.sum("times").alias("n_context"), F.min(F.struct(*key, "place")).alias("first"))
+    contexts = store(contexts, "contexts")
+    recurring = contexts.groupBy("anchor").agg(F.sum("n_context").alias("n")).where("n > 1")
+    shared = contexts.where("n_context > 1").select("anchor", "context")
+    proven = anchors.where("not settled").join(shared, ["anchor", "context"]).select(*key, "place").unionByName(
+        anchors.where("settled").select(*key, "place"))
+    asking = contexts.join(recurring, "anchor").where("n_context < n").select("first.*")
+    asking = store(asking.groupBy(*key).agg(F.collect_set("place").alias("unsettled")), "asking")
+    windows = _asked(keyed, asking).mapInArrow(_windows(window), _WINDOW)
+    found = windows.withColumn("n", F.sum("times").over(Window.partitionBy("one", "two"))).where("n > 1 or settled")
+    span = lambda df, before: df.select(*key, F.struct(F.greatest(F.col("place") - before, F.lit(0)).alias("start"), (F.col("place") + window).alias("end")).alias("span"))
+    spans = span(proven, period - 1).unionByName(span(found, 0)).groupBy(*key).agg(F.collect_set("span").alias("spans"))
+    return store(spans.select(*key, F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends")), "spans")
+
+
+def _kept(batch: pa.RecordBatch, starts: pa.Array, ends: pa.Array) -> dict:
+    """n_words, n_removed and the words outside the spans, joined by one space."""
+    out = {"n_words": [], "n_removed": [], "kept": []}
+    for w in W.slices(batch.column("text")):
+        n = len(w.hash)
+        marks = np.zeros(n + 1, np.int64)
+        for lists, step in ((starts, 1), (ends, -1)):
+            rows = lists.slice(w.rows.start, w.rows.stop - w.rows.start)
+            doc = np.repeat(np.arange(len(rows)), rows.fill_null([]).value_lengths().to_numpy(zero_copy_only=False))
+            at = rows.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            np.add.at(marks, np.minimum(at + w.first[doc], w.first[doc + 1]), step)
+        keep = np.flatnonzero(np.cumsum(marks[:-1]) == 0)
+        size = w.end[keep] - w.start[keep]
+        doc = np.searchsorted(w.first, keep, "right") - 1
+        last = np.ones(len(keep), bool)
+        last[:-1] = doc[1:] != doc[:-1]
+        room = size + ~last
+        to = np.concatenate(([0], np.cumsum(room)))
+        text = np.full(int(to[-1]), 32, np.uint8)
+        text[W.ragged(to[:-1], size)] = w.data[W.ragged(w.start[keep], size)]
+        kept = np.bincount(doc, minlength=len(w.first) - 1)
+        bounds = to[np.concatenate(([0], np.cumsum(kept)))]
+        out["kept"].append(pa.LargeStringArray.from_buffers(len(kept), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(text)))
+        out["n_words"].append(w.counts)
+        out["n_removed"].append(w.counts - kept)
+    return {"n_words": pa.array(np.concatenate(out["n_words"])), "n_removed": pa.array(np.concatenate(out["n_removed"])),
+            "kept": pa.concat_arrays(out["kept"]).cast(pa.string())}
 
 
 def _cut(batches):
-    """Words outside the spans, joined by one space."""
+    """Rows without their key and spans, but with the counts and ``kept``."""
     for batch in batches:
-        out = {"n_words": [], "n_removed": [], "kept": []}
-        starts, ends = batch.column("starts"), batch.column("ends")
-        for w in W.slices(batch.column("text")):
-            n = len(w.hash)
-            marks = np.zeros(n + 1, np.int64)
-            for lists, step in ((starts, 1), (ends, -1)):
-                rows = lists.slice(w.rows.start, w.rows.stop - w.rows.start)
-                doc = np.repeat(np.arange(len(rows)), rows.fill_null([]).value_lengths().to_numpy(zero_copy_only=False))
-                at = rows.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                np.add.at(marks, np.minimum(at + w.first[doc], w.first[doc + 1]), step)
-            keep = np.flatnonzero(np.cumsum(marks[:-1]) == 0)
-            size = w.end[keep] - w.start[keep]
-            doc = np.searchsorted(w.first, keep, "right") - 1
-            last = np.ones(len(keep), bool)
-            last[:-1] = doc[1:] != doc[:-1]
-            room = size + ~last
-            to = np.concatenate(([0], np.cumsum(room)))
-            text = np.full(int(to[-1]), 32, np.uint8)
-            text[W.ragged(to[:-1], size)] = w.data[W.ragged(w.start[keep], size)]
-            kept = np.bincount(doc, minlength=len(w.first) - 1)
-            bounds = to[np.concatenate(([0], np.cumsum(kept)))]
-            out["kept"].append(pa.LargeStringArray.from_buffers(len(kept), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(text)))
-            out["n_words"].append(w.counts)
-            out["n_removed"].append(w.counts - kept)
         if batch.num_rows:
-            data = {"n_words": pa.array(np.concatenate(out["n_words"])), "n_removed": pa.array(np.concatenate(out["n_removed"])),
-                    "kept": pa.concat_arrays(out["kept"]).cast(pa.string())}
-            rest = [c for c in batch.schema.names if c not in ("starts", "ends")]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + list(data.values()), names=rest + list(data))
+            data = _kept(batch, batch.column("starts"), batch.column("ends"))
+            rest = [c for c in batch.schema.names if c not in ("key_high", "key_low", "starts", "ends")]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, rest), *data.values()], names=[*rest, *data])
+
+
+def _uncut(table):
+    """As ``_cut``, for the rows that certainly have no span."""
+    without = _let_through(table, False)
+
+    def run(batches):
+        for batch in without(batches):
+            none = pa.nulls(batch.num_rows, pa.list_(pa.int32()))
+            yield from _cut([batch.append_column("starts", none).append_column("ends", none)])
+    return run
+
+
+def _with_kept(docs: DataFrame, further: list[str], window: int, text_col: str, id_col: str) -> DataFrame:
+    """text, c0, c1, ... (the ``further`` columns), n_words, n_removed, kept; only rows that may have a span are shuffled."""
+    spans = repeated_spans(docs, window, text_col, id_col)
+    keyed = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(further)])
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema.fields[2:]) + ", n_words long, n_removed long, kept string"
+    table = docs.sparkSession.sparkContext.broadcast(sieve(spans, "key_high"))
+    held = keyed.mapInArrow(_let_through(table), keyed.schema).join(spans, ["key_high", "key_low"], "left")
+    return held.mapInArrow(_cut, types).unionByName(keyed.mapInArrow(_uncut(table), types))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, text, n_words, n_removed, kept: ``kept`` has the words that no repeated window covers, joined by one space.
 
     Null or empty text has no words and an empty ``kept``. Rows that repeat another row whole are repeats of each other. Texts
-    shorter than the window keep all words. Other columns of ``docs`` are not read, whatever their names.
+    shorter than the window keep all words; long ones are worked on whole. An empty table gives no rows. Other columns of ``docs`` are not
+    read, whatever their names.
     """
-    spans = repeated_spans(docs, window, text_col, id_col)
-    keyed = docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return keyed.join(spans, ["key_high", "key_low"], "left").mapInArrow(
-        _cut, "key_high long, key_low long, doc_id long, text string, n_words long, n_removed long, kept string").drop("key_high", "key_low")
+    cut = _with_kept(docs, [id_col], window, text_col, id_col)
+    return cut.select(F.col("c0").cast("long").alias("doc_id"), "text", "n_words", "n_removed", "kept")
 
 
 def with_repeats_removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with the same columns: text and n_chars are new where words were removed, every other row is left as it is."""
-    spans = repeated_spans(docs, window)
-    keys = dict(zip(("key_high", "key_low"), row_key()))
-    fields = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumns(keys)
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields.schema.fields)
-    cut = fields.join(spans, ["key_high", "key_low"], "left").select(*fields.columns, "starts", "ends").mapInArrow(
-        _cut, f"{types}, n_words long, n_removed long, kept string")
-    changed = F.col("n_removed") > 0
-    return cut.select(
-        "doc_id", F.when(changed, F.col("kept")).otherwise(F.col("text")).alias("text"), "lang", "source",
-        F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    """``docs`` with the same columns: text, and n_chars if there is one, are new where words were removed; every other row and column is left as it is,
+    whatever its name. Nulls, short and long texts and repeated rows: see ``remove_repeats``."""
+    further = [c for c in docs.columns if c != "text"]
+    cut, changed = _with_kept(docs, further, window, "text", "doc_id"), F.col("n_removed") > 0
+    back = {c: F.col(f"c{i}") for i, c in enumerate(further)} | {"text": F.when(changed, F.col("kept")).otherwise(F.col("text"))}
+    if "n_chars" in back:
+        back["n_chars"] = F.when(changed, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(back["n_chars"])
+    return cut.select(*[back[c].alias(c) for c in docs.columns])
