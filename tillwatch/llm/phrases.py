@@ -26,8 +26,8 @@ from tillwatch.llm import words as W
 from tillwatch.llm.tables import store
 
 TILE = 1024
-#: Pairs that make a tile dense; bytes of text in a chunk and of an Arrow batch of chunks' rows.
-DENSE, CHUNK_BYTES = TILE * TILE // 32, 8 << 20
+#: Pairs that make a tile dense; bytes of text in a chunk.
+DENSE, CHUNK_BYTES = TILE * TILE // 32, 2 << 20
 #: Phrases of one length that may be sent to all tasks (about 50 bytes each); more are joined by a shuffle.
 MAX_SENT = 400_000
 _KIND = np.zeros(256, np.uint8)
