@@ -40,20 +40,20 @@ def w(body, *ctes):
     return "WITH RECURSIVE " + ",\n".join(c.strip() for c in ctes) + "\n" + body.strip()
 
 
-BOTH = "dv AS (SELECT doc_id, text FROM documents JOIN embeddings ON doc_id = vec_id)"
 FUSED = """
-vs2 AS MATERIALIZED (SELECT * FROM vs WHERE doc_id IN (SELECT doc_id FROM dv)),
+vs2 AS MATERIALIZED (SELECT * FROM vs WHERE doc_id IN (SELECT doc_id FROM documents)),
 kr AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM kw),
 vr AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM vs2),
 m AS (SELECT item_id, count(*) AS m FROM kw GROUP BY 1),
 f AS (SELECT item_id, doc_id, coalesce(kr.r, coalesce(m, 0) + 1) AS keyword_rank, vr.r AS vector_rank,
-    round(1.0::DOUBLE / (coalesce(kr.r, coalesce(m, 0) + 1) + 60) + 1.0::DOUBLE / (vr.r + 60), 9) AS score
-  FROM vr LEFT JOIN kr USING (item_id, doc_id) LEFT JOIN m USING (item_id))
+    round(1.0::DOUBLE / (coalesce(kr.r, coalesce(m, 0) + 1) + 60) + coalesce(1.0::DOUBLE / (vr.r + 60), 0), 9) AS score
+  FROM (SELECT item_id, doc_id FROM (SELECT DISTINCT item_id FROM benchmark), documents) LEFT JOIN kr USING (item_id, doc_id)
+    LEFT JOIN vr USING (item_id, doc_id) LEFT JOIN m USING (item_id))
 """
 HITS = """
 top6 AS (""" + top("kw") + """),
 h AS (SELECT b.item_id, min(CASE WHEN d.source IN ('src' || (b.item_id % 20), 'src' || ((b.item_id + 7) % 20)) THEN t.rank END) AS rank
-  FROM benchmark b LEFT JOIN top6 t USING (item_id) LEFT JOIN documents d USING (doc_id) GROUP BY 1)
+  FROM benchmark b LEFT JOIN top6 t USING (item_id) LEFT JOIN searched d USING (doc_id) GROUP BY 1)
 """
 # sections of these texts: documents have no headings; a turn has its path in the text built around it
 PASSAGES = r"""
@@ -139,6 +139,36 @@ fc AS (SELECT file, count(*) AS rows, count(*) FILTER (WHERE g = 'Other') AS inv
 rc AS (SELECT file, rows, unnest(['schema', 'not_empty', 'parse_types', 'key_nulls', 'exact_duplicates', 'key_conflict', 'invalid_usergender', 'updates_existing']) AS "check",
   unnest(['error', 'error', 'error', 'error', 'warning', 'error', 'warning', 'warning']) AS severity, unnest([0, 0, 0, 0, 0, 0, inv, ch]) AS failed_rows FROM fc)
 """
+
+
+def all_references():
+    """Update files of the four reference tables with one fault a file, and the checks that find it."""
+    tables = {"customer": ("customers", "customer_id", "usergender", "dob", "'Male', 'Female', 'Not verify'", "warning"),
+              "campaign": ("campaigns", "campaign_id", "campaign_type", "campaign_id", "'direct discount', 'voucher', 'reward point'", "warning"),
+              "device_detail": ("devices", "device_number", "platform", "model", "'mobile', 'website'", "warning"),
+              "status_detail": ("status", "status_id", "error_group", "description", "'customer', 'external', 'internal'", "error")}
+    out = []
+    for kind, (table, key, other, rest, allowed, severity) in tables.items():
+        exempt = "AND k IS DISTINCT FROM '1'" if kind == "status_detail" else ""
+        out.append(f"""
+SELECT '{kind}' AS "table", * FROM (
+  WITH n AS (SELECT CAST({key} AS VARCHAR) AS k0, {other} AS o0, CAST({rest} AS VARCHAR) AS r, CAST(regexp_extract(CAST({key} AS VARCHAR), '(\\d+)', 1) AS BIGINT) AS i FROM {table}),
+  b AS (SELECT i % 30 AS f, i // 30 AS j, CASE WHEN i % 30 <> 7 OR (i // 30) % 5 <> 0 THEN k0 END AS k, CASE WHEN i % 30 = 17 THEN 'Other' ELSE o0 END AS o, r FROM n),
+  u AS (SELECT f, k, o, r FROM b UNION ALL SELECT f, k, o, r FROM b WHERE f = 11 AND j % 3 = 0 UNION ALL SELECT f, k, 'x' || coalesce(o, ''), r FROM b WHERE f = 13 AND j % 4 = 0),
+  v AS (SELECT DISTINCT * FROM u),
+  kv AS (SELECT f, k, count(*) AS n FROM v GROUP BY 1, 2),
+  s AS (SELECT f, count(*) AS rows, count(*) FILTER (WHERE k IS NULL) AS nulls FROM u GROUP BY 1),
+  t AS (SELECT f, count(*) AS kept_rows, count(*) FILTER (WHERE (o IS NULL OR o NOT IN ({allowed})) {exempt}) AS invalid FROM v GROUP BY 1),
+  c AS (SELECT f, coalesce(sum(n) FILTER (WHERE n > 1), 0) AS conflict, count(*) AS keys FROM kv GROUP BY 1),
+  x AS (SELECT f, rows, kept_rows, unnest(['schema', 'not_empty', 'parse_types', 'key_nulls', 'exact_duplicates', 'key_conflict', 'invalid_{other}', 'updates_existing']) AS "check",
+      unnest(['error', 'error', 'error', 'error', 'warning', 'error', '{severity}', 'warning']) AS severity, unnest(range(1, 9)) AS i,
+      unnest([CASE WHEN f = 29 THEN 1 ELSE 0 END, 0, 0, nulls, rows - kept_rows, conflict, invalid, CASE WHEN f = 17 THEN keys ELSE 0 END]) AS failed_rows, nulls
+    FROM s JOIN t USING (f) JOIN c USING (f))
+  SELECT '{kind}_' || (DATE '2024-02-01' + CAST(f AS INT)) || '.csv' AS file, rows, kept_rows, "check", severity, CASE WHEN failed_rows > 0 THEN 'fail' ELSE 'pass' END AS status, failed_rows
+  FROM x WHERE (f <> 29 OR i = 1) AND (nulls = 0 OR i <= 4))""")
+    return " UNION ALL ".join(out)
+
+
 OPS = """count(*) AS tickets, count(*) FILTER (WHERE status_id = 1) AS success, round(avg(CASE WHEN status_id = 1 THEN 1.0::DOUBLE ELSE 0 END), 4) AS success_rate,
   CAST(round(coalesce(sum(CAST(final_price AS DECIMAL(18,4))) FILTER (WHERE status_id = 1), 0), 2) AS DOUBLE) AS revenue,
   count(*) FILTER (WHERE error_group = 'customer') AS errors_customer, count(*) FILTER (WHERE error_group = 'external') AS errors_external,
@@ -150,27 +180,37 @@ wide AS (SELECT platform, count(*) AS n_tickets, count(*) FILTER (WHERE is_faile
 """
 
 
+# both ways to give two gold rows (one name each) the two answer rows (all names; two sums)
+CROSSED = """
+SELECT 'crossed', (SELECT count(*) FROM wide) = 2 AND ((list_contains(a, g) AND list_contains(b, h)) OR (list_contains(b, g) AND list_contains(a, h))) FROM
+  (SELECT min(platform) AS g, max(platform) AS h, [min(platform), max(platform)] AS a, [CAST(sum(n_tickets) AS VARCHAR), CAST(sum(n_failed) AS VARCHAR)] AS b FROM wide)"""
+
+
 def match_sql(rate):
     return ("((SELECT count(*) FROM gold) = (SELECT count(*) FROM wide) AND NOT EXISTS (SELECT 1 FROM gold g WHERE NOT EXISTS (SELECT 1 FROM wide w "
             f"WHERE w.platform = g.platform AND round(g.f, 3) IN (n_tickets, n_failed, round({rate}, 3)))))")
 
 
 TERMS = term_ctes("documents", "benchmark")
+SEARCHED = """searched AS MATERIALIZED (SELECT source || '#' || section || '#' || part AS doc_id, string_split(label, ' ')[-1] AS source,
+  label || ' › ' || title || chr(10) || text AS text FROM passage)"""
+PASSAGE_TERMS = term_ctes("searched", "benchmark")
 SQL = {
-    "tfidf_top_k": w(top("kw"), TERMS),
+    "tfidf_top_k": w(f"SELECT item_id, doc_id AS passage, score, rank FROM ({top('kw')})", PASSAGES, SEARCHED, PASSAGE_TERMS),
     "vector_top_k": w(top("vs"), VEC),
     "fused_top_k": w("SELECT item_id, doc_id, keyword_rank, vector_rank, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 6",
-                     BOTH, term_ctes("dv", "benchmark"), VEC, FUSED),
-    "hits_at_k": w("SELECT item_id, rank, rank IS NOT NULL AS hit FROM h", TERMS, HITS),
-    "hit_rate": w("SELECT count(*) AS questions, count(rank) AS hits, count(rank) / count(*) AS hit_rate FROM h", TERMS, HITS),
+                     TERMS, VEC, FUSED),
+    "hits_at_k": w("SELECT item_id, rank, rank IS NOT NULL AS hit FROM h", PASSAGES, SEARCHED, PASSAGE_TERMS, HITS),
+    "hit_rate": w("SELECT count(*) AS questions, count(rank) AS hits, count(rank) / count(*) AS hit_rate FROM h", PASSAGES, SEARCHED, PASSAGE_TERMS, HITS),
     "passages": w("SELECT *, sha1(source || chr(10) || title || chr(10) || text) AS key FROM passage", PASSAGES),
     "ungrounded_numbers": w("SELECT doc_id, array_to_string(u, ' ') AS ungrounded, len(u) AS n FROM (SELECT d.doc_id, " + ungrounded("d.text", "coalesce(e.text, '')")
                             + " AS u FROM documents d LEFT JOIN documents e ON d.doc_id = e.doc_id + 1)", "one AS (SELECT 1)"),
     "graded_answers": w("SELECT * FROM graded", GRADED),
     "share_correct": w("SELECT count(*) AS answers, count(*) FILTER (WHERE correct) AS correct, count(*) FILTER (WHERE correct) / count(*) AS share FROM graded", GRADED),
-    "result_match": q(f"SELECT 'wider' AS answer, {match_sql('failure_rate')} AS match UNION ALL SELECT 'wrong', {match_sql('failure_rate + 1')}", MATCH),
+    "result_match": q(f"SELECT 'wider' AS answer, {match_sql('failure_rate')} AS match UNION ALL SELECT 'wrong', {match_sql('failure_rate + 1')} UNION ALL {CROSSED}", MATCH),
     "dq_ticket_checks": q("SELECT * FROM res", DELIVERED),
     "dq_reference_checks": q("""SELECT file, rows, rows AS kept_rows, "check", severity, CASE WHEN failed_rows > 0 THEN 'fail' ELSE 'pass' END AS status, failed_rows FROM rc""", REFS),
+    "dq_all_reference_checks": q(all_references()),
     "load_decision": q("SELECT * FROM dec", DELIVERED, DECISION),
     "quality_warning_counts": q("SELECT warning, count(*) AS files FROM (SELECT unnest(string_split(warnings, ';')) AS warning FROM dec WHERE warnings <> '') GROUP BY 1", DELIVERED, DECISION),
     "daily_ops": q(f"SELECT CAST(time AS DATE) AS day, {OPS} FROM ticket_history LEFT JOIN status USING (status_id) GROUP BY 1"),

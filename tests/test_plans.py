@@ -1,5 +1,8 @@
 """Marts, dictionary, weekly bundle, base tables and the streamed load."""
 
+import datetime as dt
+import os
+
 import pandas as pd
 import pytest
 from paths import SF
@@ -84,3 +87,51 @@ def test_stream_drops_repeated_ids(spark):
     events = spark.read.parquet(f"{SF}/events.parquet").where("event_type IN ('purchase', 'error')")
     assert out.count() == events.count() == out.select("ticket_id").distinct().count()
     assert isinstance(out.limit(1).toPandas(), pd.DataFrame)
+
+
+def test_late_rows_of_a_stream_are_kept_apart(spark, tmp_path):
+    at = lambda day, hour=10: dt.datetime(2022, 3, day, hour)
+    batches = [[("a", at(5), 1.0), ("a", at(5, 9), 2.0), ("b", at(6), 3.0), (None, at(6), 9.0)],
+               [("c", at(9), 4.0), ("b", at(6), 5.0), (None, at(9), 9.5)],
+               [("d", at(7), 6.0), ("e", at(9, 8), 7.0), ("a", at(5), 8.0), ("k", at(9), 1.0)]]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, "ticket_id string, time timestamp, final_price double").coalesce(1).write.parquet(str(tmp_path / f"in{n}"))
+        part = next((tmp_path / f"in{n}").glob("part-*.parquet"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        part.rename(tmp_path / "in" / f"{n}.parquet")
+        os.utime(tmp_path / "in" / f"{n}.parquet", (1_600_000_000 + n * 60,) * 2)
+    stream = spark.readStream.schema("ticket_id string, time timestamp, final_price double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    accepted, late = daily.drain_without_repeats(stream, "test-late", known=spark.createDataFrame([("k",)], "ticket_id string"))
+    named = lambda df: sorted((r["ticket_id"] or "-", r["final_price"]) for r in df.collect())
+    assert named(accepted) == [("-", 9.0), ("-", 9.5), ("a", 2.0), ("b", 3.0), ("c", 4.0), ("e", 7.0)]
+    assert named(late) == [("d", 6.0)]
+
+
+def test_a_model_is_fitted_once_for_the_same_rows(spark, monkeypatch):
+    from tillwatch.plans import models
+    rows = spark.createDataFrame([(i % 7, float(i % 3), i % 2) for i in range(200)], "a int, b double, y int")
+    fits = []
+    train = models.train
+    monkeypatch.setattr(models, "train", lambda *a, **kw: (fits.append(1), train(*a, **kw))[1])
+    name = f"test-{pd.Timestamp.now().value}"
+    one, two = (models.fitted(r, [], ["a", "b"], "y", name, trees=2) for r in (rows, rows.repartition(3)))
+    assert len(fits) == 1 and one.stages[-1].totalNumNodes == two.stages[-1].totalNumNodes
+    models.fitted(rows.where("a < 6"), [], ["a", "b"], "y", name, trees=2)
+    assert len(fits) == 2
+
+
+def test_a_category_may_have_many_values(spark):
+    from tillwatch.plans import models
+    rows = spark.createDataFrame([(f"v{i % 90}", float(i % 5), i % 2) for i in range(400)], "c string, b double, y int")
+    model = models.train(rows, ["c"], ["b"], "y", trees=1)
+    assert models.score(model, rows, ["b"], ["c"]).count() == 400
+
+
+def test_customer_mart_carries_the_model_score(spark, tickets):
+    from tillwatch.plans import models
+    end = marts.day_after(tickets)
+    targets = {r["customer_id"]: (r["score"], r["score_source"]) for r in models.target_list(tickets, end).collect()}
+    mart = marts.customer_features(tickets, end, models.target_list(tickets, end)).collect()
+    assert {r["customer_id"]: (r["repurchase_score"], r["score_source"]) for r in mart} == targets
+    got = {r["score_source"]: r for r in models.repurchase_metrics(tickets, end).collect()}
+    assert "rule: recency" in got and all(0 <= r["auc"] <= 1 and r["n_top"] > 0 for r in got.values())

@@ -1,6 +1,7 @@
 """Rules that decide whether numbers match, on small hand-made frames and as invariants."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,3 +169,26 @@ def test_training_set_only_looks_back(tickets):
     b = marketing.features_at(clean.before(tickets, cut), [cut], 90).drop("y")
     r = lambda d: d.withColumn("discount_rate", F.round("discount_rate", 9))
     assert a.count() > 50 and r(a).exceptAll(r(b)).count() == 0
+
+
+def test_scores_that_differ_little_do_not_tie(spark):
+    rnd = random.Random(9)
+    rows = [(0.5 + (i // 3) * 1e-9, int(rnd.random() < (i + 50) / 400)) for i in range(300)]
+    groups = ranking.score_groups(spark.createDataFrame(rows, "score double, label int"))
+    assert groups.count() == 100
+    wins = [(s > t) + 0.5 * (s == t) for s, y in rows if y for t, z in rows if not z]
+    assert ranking.auc(groups).first()["auc"] == pytest.approx(sum(wins) / len(wins), abs=1e-12)
+
+
+def test_running_totals_over_ranges(spark):
+    from tillwatch.functions.prefix import numbered, totals_before, with_halo
+    rnd = random.Random(10)
+    values = rnd.sample(range(10_000), 500)
+    df = spark.createDataFrame([(v, v % 7) for v in values], "v long, w long").repartition(4)
+    assert {r["v"]: r["place"] for r in numbered(df, [F.col("v")]).collect()} == {v: i for i, v in enumerate(sorted(values))}
+    got = {r["v"]: r["t"] for r in totals_before(df, [F.desc("v")], {"t": F.col("w")}).collect()}
+    assert got == {v: sum(x % 7 for x in values if x > v) for v in values}
+    near = {r["v"]: r["past"] for r in with_halo(df, [F.col("v")], 28, bucket=100, past=F.collect_list("v")).collect()}
+    order = sorted(values)
+    assert near == {v: order[max(0, i - 28):i] for i, v in enumerate(order)}
+    assert numbered(df.where("false"), [F.col("v")]).count() == 0

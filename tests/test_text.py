@@ -1,7 +1,9 @@
 """Passages, search, grounding and result comparison."""
 
 import math
+import random
 import re
+from itertools import permutations
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,3 +140,39 @@ def test_result_sets(spark):
     assert match(spark.createDataFrame([("a", 0.123), ("b", 2.0), ("b", 2.0)], "k string, v double")) is False
     twice = spark.createDataFrame([("a", 0.123), ("a", 0.123)], "k string, v double")
     assert grounding.results_match(twice, gold).first()["match"] is False
+    apart = spark.createDataFrame([("a",), ("b",)], "k string")
+    assert grounding.results_match(apart, spark.createDataFrame([("a", "b"), ("c", "c")], "x string, y string")).first()["match"] is False
+    none = apart.where("false")
+    assert grounding.results_match(none, none).first()["match"] is True and grounding.results_match(none, apart).first()["match"] is False
+
+
+def can_match(gold, predicted):
+    """Some order of the predicted rows has every gold row inside its own."""
+    return len(gold) == len(predicted) and any(all(g <= p for g, p in zip(gold, order)) for order in permutations(predicted))
+
+
+def test_matching_equals_brute_force(spark):
+    rnd = random.Random(11)
+    rows = lambda n, least, most: [frozenset(rnd.sample("abcde", rnd.randint(least, most))) for _ in range(n)]
+    cases = []
+    for _ in range(300):
+        n = rnd.randint(0, 5)
+        gold = rows(n, 1, 2)
+        cases.append((gold, [g | r for g, r in zip(gold, rows(n, 0, 2))] if rnd.random() < .4 else rows(n if rnd.random() < .9 else n + 1, 2, 4)))
+    tables = [spark.createDataFrame([(i, sorted(r)) for i, c in enumerate(cases) for r in c[side]], "case int, row array<string>") for side in (0, 1)]
+    got = {r["case"]: r["match"] for r in grounding.match_cases(*tables).collect()}
+    want = {i: can_match(*c) for i, c in enumerate(cases) if c[0] or c[1]}
+    assert got == want and 80 < sum(want.values()) < 260
+
+
+def test_ambiguous_rows_are_solved_by_augmenting_paths():
+    rnd = random.Random(12)
+    for _ in range(200):
+        edges = {g: rnd.sample(range(4), rnd.randint(1, 4)) for g in range(4)}
+        need, room = {g: rnd.randint(1, 3) for g in edges}, {p: rnd.randint(0, 4) for p in range(4)}
+        units = [g for g in edges for _ in range(need[g])]
+        slots = [p for p in room for _ in range(room[p])]
+
+        def place(i, free):
+            return i == len(units) or any(place(i + 1, free - {k}) for k in {slots[k]: k for k in free if slots[k] in edges[units[i]]}.values())
+        assert grounding._augment(need, dict(room), edges) == place(0, frozenset(range(len(slots))))

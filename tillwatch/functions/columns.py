@@ -119,11 +119,9 @@ def parse_time(c: str | Column) -> Column:
 
 
 def parse_whole(c: str | Column) -> Column:
-    """A whole number that may have been written as ``12.0``; null for a fraction, which is never cut off."""
-    v = F.trim(col(c).cast("string"))
-    number = v.try_cast("double")
-    whole = F.when(number == F.floor(number), number.try_cast("bigint"))
-    return F.coalesce(F.when(v.rlike("^[+-]?[0-9]+$"), v.try_cast("bigint")), whole)
+    """A whole number that may have been written as ``12.0`` or ``1e3``; null for a fraction, which is never cut off, and for what 64 bits do not hold."""
+    number = F.trim(col(c).cast("string")).try_cast("decimal(38,18)")
+    return F.when(number == F.floor(number), number.try_cast("bigint"))
 
 
 def parse_number(c: str | Column) -> Column:

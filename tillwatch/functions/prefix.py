@@ -36,3 +36,20 @@ def totals_before(df: DataFrame, order: list[Column], sums: dict[str, Column]) -
 def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
     """``df`` with its row number in ``order``, from 0."""
     return totals_before(df, order, {name: F.lit(1).cast("long")})
+
+
+def with_halo(df: DataFrame, order: list[Column], rows: int, bucket: int = 4096, **aggregates: Column) -> DataFrame:
+    """``df`` with each of ``aggregates`` over the ``rows`` rows before it in ``order``.
+
+    The sequence is cut into buckets of ``bucket`` rows; the last rows of a bucket also go to the next one, as its halo, so every
+    bucket is a window of its own. ``order`` should tell rows apart.
+    """
+    if rows > bucket:
+        raise ValueError(f"{rows} rows before do not fit a bucket of {bucket}")
+    placed = numbered(df, order, "__at").withColumn("__bucket", F.expr(f"__at div {bucket}"))
+    late = F.col("__at") % bucket >= bucket - rows
+    places = F.array_compact(F.array(F.struct(F.col("__bucket").alias("b"), F.lit(True).alias("own")),
+                                     F.when(late, F.struct((F.col("__bucket") + 1).alias("b"), F.lit(False).alias("own")))))
+    dealt = placed.withColumn("__deal", F.explode(places))
+    before = Window.partitionBy("__deal.b").orderBy("__at").rowsBetween(-rows, -1)
+    return dealt.select("*", *[c.over(before).alias(k) for k, c in aggregates.items()]).where("__deal.own").select(*df.columns, *aggregates)

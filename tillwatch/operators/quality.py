@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwatch.functions import columns as C
+from tillwatch.functions.prefix import with_halo
 from tillwatch.functions.tables import union_on
 from tillwatch.functions.temporal import array_median
 from tillwatch.schema import CAMPAIGN_TYPES, ERROR_GROUPS, GENDERS, PAYING_METHODS, PLATFORMS, REFERENCE_KEYS, TICKETS
@@ -164,8 +165,7 @@ def _volume(f: DataFrame, history: DataFrame) -> DataFrame:
     past = history.select(F.lit(None).cast("string").alias("file"), F.struct(
         F.lit(0).alias("s"), F.col("file_date").cast("string").alias("d"), F.lit("").alias("f")).alias("o"),
         F.col("rows").cast("double").alias("n"))
-    w = Window.orderBy("o").rowsBetween(-VOLUME_WINDOW, -1)  # one row per file
-    v = now.unionByName(past).withColumn("_past", F.collect_list("n").over(w)).where(F.col("file").isNotNull())
+    v = with_halo(now.unionByName(past), [F.col("o")], VOLUME_WINDOW, _past=F.collect_list("n")).where(F.col("file").isNotNull())
     median = array_median(F.col("_past"))
     v = v.withColumn("_median", F.when(F.size("_past") >= VOLUME_MIN, median))
     r = F.col("n") / F.nullif(F.col("_median"), F.lit(0.0))

@@ -1,31 +1,27 @@
 """Ranking metrics over scored rows without a global sort.
 
-Rows are first reduced to one row per distinct (rounded) score; the only global window runs over those. At six
-decimals of a probability that is at most a million rows whatever the data size. Rows with equal scores share a cut
+Rows are first reduced to one row per distinct score, as exact as it came; these are ranked by running totals over range
+partitions, so no task sees them all. Rows with equal scores share a cut
 in proportion, which is the expected value of breaking ties at random.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwatch.functions import columns as C
+from tillwatch.functions.prefix import totals_before
 
-DIGITS = 6
 
-
-def score_groups(scored: DataFrame, score: str = "score", label: str = "label", digits: int = DIGITS) -> DataFrame:
-    """One row per distinct score: rows, positives, rows with a lower and with a higher score, and all positives."""
-    g = scored.groupBy(F.round(score, digits).alias("score")).agg(
-        F.count("*").alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos"))
-    up = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    zero = F.lit(0).cast("bigint")
-    below = F.coalesce(F.sum("n").over(up), zero)
-    return g.select("score", "n", "pos", below.alias("below"), F.sum("n").over(everything).alias("rows"),
-                    F.sum("pos").over(everything).alias("positives")).withColumn(
-        "above", F.col("rows") - F.col("below") - F.col("n"))
+def score_groups(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """One row per distinct score: rows, positives, rows with a lower and with a higher score, and all positives. Stored. Rows without a score count as the lowest."""
+    g = scored.groupBy(F.col(score).alias("score")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos"))
+    ranked = totals_before(g, [F.col("score")], {"below": F.col("n")})
+    rows, positives = ranked.agg(F.sum("n"), F.sum("pos")).first()
+    all_of = lambda x: F.lit(x).cast("bigint")
+    return ranked.select("score", "n", "pos", "below", all_of(rows).alias("rows"), all_of(positives).alias("positives"),
+                         (all_of(rows) - F.col("below") - F.col("n")).alias("above"))
 
 
 def auc(groups: DataFrame) -> DataFrame:

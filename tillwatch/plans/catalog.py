@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tillwatch.functions import columns as C
 from tillwatch.operators import (anomaly, behaviour, cohort, features, finance, grounding, kpis, marketing, metrics, product,
-                                 profile, quality, ranking, text, weekly)
+                                 profile, quality, ranking, search, text, weekly)
+from tillwatch.functions.tables import union_on
 from tillwatch.plans import goldset, load, marts, models
 from tillwatch.plans.facts import attempts, tickets
-from tillwatch.schema import CAMPAIGN_TYPES, PAYING_METHODS, TICKETS
+from tillwatch.schema import CAMPAIGN_TYPES, DESCRIPTIONS, PAYING_METHODS, REFERENCE_KEYS, TICKETS
 from tillwatch.session import write_shared
 from tillwatch.sources import files as fs
 from tillwatch.sources import tpch
@@ -109,8 +110,7 @@ def _marts(spark, d):
 
 
 def _dictionary(spark, d):
-    m = _marts(spark, d)
-    return profile.data_dictionary({k: m[k] for k in ("dim_customer", "campaign_summary")})
+    return profile.data_dictionary({k: write_shared(m, k) for k, m in _marts(spark, d).items()}, DESCRIPTIONS)
 
 
 def _weekly_facts(spark, d):
@@ -168,6 +168,30 @@ def _ticket_checks(spark, d) -> DataFrame:
     return load.gate({TICKETS: rows}, files, refs, loaded, history)
 
 
+def _updates(spark, d, kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows as delivered, files, current table): a whole reference table as thirty update files by the number in its key, with one fault a file:
+    missing keys (7), rows that come twice (11), keys with two versions (13), invalid values (17) and a missing column (29)."""
+    current = tpch.raw_tables(spark, d)[kind]
+    key, columns, other = REFERENCE_KEYS[kind], fs.REQUIRED[kind], quality.DOMAINS[kind][0]
+    i = F.regexp_extract(F.col(key).cast("string"), r"(\d+)", 1).cast("bigint")
+    day = F.date_add(F.lit("2024-02-01").cast("date"), (i % 30).cast("int"))
+    t = current.select(F.concat(F.lit(f"{kind}_"), day.cast("string"), F.lit(".csv")).alias("file"), day.alias("file_date"), (i % 30).alias("f"),
+                       F.floor(i / 30).alias("j"), *[F.col(c).cast("string").alias(c) for c in columns])
+    t = t.withColumns({key: F.when((F.col("f") != 7) | (F.col("j") % 5 != 0), F.col(key)), other: F.when(F.col("f") == 17, "Other").otherwise(F.col(other))})
+    more = F.when((F.col("f") == 11) & (F.col("j") % 3 == 0), 1).when((F.col("f") == 13) & (F.col("j") % 4 == 0), 2)
+    t = t.withColumn("copy", F.explode(F.array_compact(F.array(F.lit(0), more))))
+    t = t.withColumn(other, F.when(F.col("copy") == 2, F.concat(F.lit("x"), F.coalesce(F.col(other), F.lit("")))).otherwise(F.col(other)))
+    names = lambda some: F.array(*[F.lit(c) for c in some])
+    files = t.select("file", "file_date", F.when(F.col("f") == 29, names(columns[:-1])).otherwise(names(columns)).alias("header")).distinct()
+    return t.drop("f", "j", "copy"), files, current
+
+
+def _reference_faults(spark, d) -> DataFrame:
+    """The checks of update files of all four reference tables."""
+    parts = [quality.check_reference(k, *_updates(spark, d, k)).withColumn("table", F.lit(k)) for k in REFERENCE_KEYS]
+    return union_on(parts, "file")
+
+
 def _customer_updates(spark, d) -> DataFrame:
     """The whole customer table as thirty update files, checked against the table they came from."""
     c, i = tpch.customer(spark, d), F.col("customer_id")
@@ -210,7 +234,8 @@ def _stream_ops(spark, d) -> DataFrame:
 
 def _stream_repeats(spark, d) -> DataFrame:
     s = daily.event_stream(spark, d)
-    return daily.drain(daily.without_repeats(s.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")), "no-repeats")
+    accepted, late = daily.drain_without_repeats(s.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy"), "no-repeats")
+    return accepted.unionByName(late)
 
 
 # ---------------------------------------------------------------- text
@@ -230,36 +255,42 @@ def _passages(spark, d) -> DataFrame:
     return text.collect_passages(docs, turns, separator="\n", joiner="\n").select("source", "label", "section", "title", "part", "text", "key")
 
 
-def _tfidf(spark, d) -> DataFrame:
-    s = text.keyword_scores(_table(spark, d, "documents"), _table(spark, d, "benchmark"), "doc_id", "item_id")
-    return text.top_k(s, "item_id", "doc_id")
+def _searchable(spark, d) -> DataFrame:
+    """Passages as they are searched: passage (their place), source of the document they come from, text with label and title."""
+    p = _passages(spark, d)
+    place = F.concat_ws("#", "source", F.col("section").cast("string"), F.col("part").cast("string"))
+    return write_shared(p.select(place.alias("passage"), F.element_at(F.split("label", " "), -1).alias("source"),
+                                 F.concat(F.col("label"), F.lit(text.TITLE_SEPARATOR), F.col("title"), F.lit("\n"), F.col("text")).alias("text")), "passages")
+
+
+def _tfidf(spark, d, passages: DataFrame | None = None) -> DataFrame:
+    passages = _searchable(spark, d) if passages is None else passages
+    return search.best(search.Keywords(passages, _table(spark, d, "benchmark"), "passage", "item_id"))
 
 
-def _vector_scores(spark, d) -> DataFrame:
+def _vectors(spark, d, docs: DataFrame | None = None) -> search.Vectors:
     """Benchmark items look for their nearest documents; both use the vector stored under their id."""
     e = _table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     q = _table(spark, d, "benchmark").select("item_id").join(e.withColumnRenamed("doc_id", "item_id"), "item_id")
-    return text.vector_scores(e, q, "doc_id", "item_id")
+    return search.Vectors(e if docs is None else e.join(docs.select("doc_id"), "doc_id", "left_semi"), q, "doc_id", "item_id")
 
 
 def _vector(spark, d) -> DataFrame:
-    return text.top_k(_vector_scores(spark, d), "item_id", "doc_id")
+    return search.best(_vectors(spark, d))
 
 
 def _fused(spark, d) -> DataFrame:
     """Fusion over all documents and benchmark items; those without a vector are ranked by their words alone."""
     docs, items = _table(spark, d, "documents"), _table(spark, d, "benchmark")
-    kw = text.keyword_scores(docs, items, "doc_id", "item_id")
-    vec = _vector_scores(spark, d).join(docs.select("doc_id"), "doc_id", "left_semi")
-    return text.fuse(kw, vec, "item_id", "doc_id", queries=items, docs=docs)
+    return search.fuse(search.Keywords(docs, items, "doc_id", "item_id"), _vectors(spark, d, docs), items, docs)
 
 
 def _hits(spark, d) -> DataFrame:
-    """Each benchmark item expects documents of two sources."""
+    """Each benchmark item expects passages of documents of two sources."""
     i = F.col("item_id")
     wanted = F.array(F.concat(F.lit("src"), (i % 20).cast("string")), F.concat(F.lit("src"), ((i + 7) % 20).cast("string")))
-    questions = _table(spark, d, "benchmark").select("item_id", wanted.alias("sources"))
-    return text.hits_at_k(_tfidf(spark, d), _table(spark, d, "documents"), questions, "item_id", "doc_id")
+    questions, passages = _table(spark, d, "benchmark").select("item_id", wanted.alias("sources")), _searchable(spark, d)
+    return text.hits_at_k(_tfidf(spark, d, passages), passages, questions, "item_id", "passage")
 
 
 def _ungrounded(spark, d) -> DataFrame:
@@ -288,13 +319,17 @@ def _graded(spark, d) -> DataFrame:
 
 
 def _result_match(spark, d) -> DataFrame:
-    """A gold answer against one with further columns, and against one with other values."""
+    """A gold answer against one with further columns, one with other values, and one where two gold rows want the same answer row."""
     t = tickets(spark, d)
     gold = goldset.ask(spark, t, "gold_q11", GOLD_YEAR)
     wider = metrics.failure_rate_by(t, "platform").where(F.col("platform") != "Unknown")
     wrong = wider.withColumn("failure_rate", F.col("failure_rate") + 1)
-    row = lambda name, df: grounding.results_match(gold, df).select(F.lit(name).alias("answer"), "match")
-    return row("wider", wider).unionByName(row("wrong", wrong))
+    names = wider.select("platform")
+    ends = names.agg(F.min("platform").alias("first"), F.max("platform").alias("last"))
+    crossed = ends.unionByName(wider.agg(F.sum("n_tickets").cast("string").alias("first"), F.sum("n_failed").cast("string").alias("last")))
+    cases = {"wider": (gold, wider), "wrong": (gold, wrong), "crossed": (names, crossed)}
+    rows = lambda i: union_on([grounding.value_sets(c[i]).select(F.lit(k).alias("case"), "row") for k, c in cases.items()], "case")
+    return grounding.match_cases(rows(0), rows(1)).withColumnRenamed("case", "answer")
 
 
 # ---------------------------------------------------------------- models
@@ -320,6 +355,18 @@ def _targets(spark, d) -> DataFrame:
     return models.best_targets(models.target_list(t, marts.day_after(t)))
 
 
+def _scored_customers(spark, d) -> DataFrame:
+    """The customer mart with the model's score; the recency rule's where there is too little to learn from."""
+    t = tickets(spark, d)
+    scored = models.target_list(t, marts.day_after(t))
+    return _rounded(marts.customer_features(t, marts.day_after(t), scored), "discount_rate")
+
+
+def _repurchase_metrics(spark, d) -> DataFrame:
+    t = tickets(spark, d)
+    return _rounded(models.repurchase_metrics(t, marts.day_after(t)), "auc", "capture", "precision", "base_rate")
+
+
 def _scored_fact(spark, d) -> DataFrame:
     t = tickets(spark, d)
     _, scored = models.failure_scores(t, _ts("2000-01-01"), everything=True)
@@ -433,9 +480,12 @@ QUERIES = {
     "feature_importance": _importance,
     "scored_fact": _scored_fact,
     "marketing_targets": _targets,
+    "scored_customer_mart": _scored_customers,
+    "repurchase_metrics": _repurchase_metrics,
     # daily load and streams
     "dq_ticket_checks": _checks(_ticket_checks),
     "dq_reference_checks": _checks(_customer_updates),
+    "dq_all_reference_checks": _checks(_reference_faults),
     "load_decision": _load_decision,
     "quality_warning_counts": _quality_rollup,
     "daily_ops": _daily_ops,

@@ -9,8 +9,8 @@ Folder layout below ``root``:
     state/                    one row per decided file
     log/quality, log/checks, log/daily_ops
 
-Every row carries the id of its load, and the state, written last, is the list of committed loads: readers see a load
-whole or not at all, and a run that died half way is simply repeated.
+Every row, of the logs and the quarantine too, carries the id of its load, and the state, written last, is the list of committed loads: readers see a
+load whole or not at all, and a run that died half way is simply repeated.
 """
 
 from __future__ import annotations
@@ -113,15 +113,16 @@ def read_state(spark: SparkSession, paths: Paths) -> DataFrame:
 
 
 def status(spark: SparkSession, paths: Paths) -> DataFrame:
-    """Loaded ticket files, last date, reference updates per table, pending and failed files in one row."""
+    """Loaded ticket files, last date, reference updates per table, pending, failed and unrecognized files in one row."""
     s = read_state(spark, paths)
     ok, tickets = F.col("status") == "loaded", F.col("kind") == TICKETS
-    pending = fs.list_files(spark, paths.at("incoming")).join(s.where(ok).select("file"), "file", "left_anti")
+    listed = fs.list_files(spark, paths.at("incoming"))
+    pending = listed.join(s.where(ok).select("file"), "file", "left_anti")
     return s.agg(
         F.count_if(ok & tickets).alias("loaded_ticket_files"), F.max(F.when(ok & tickets, F.col("file_date"))).alias("last_loaded_date"),
         *[F.count_if(ok & (F.col("kind") == k)).alias(f"{k}_files") for k in REFERENCE_KEYS],
         F.count_if(F.col("status") == "failed").alias("failed_files"),
-    ).withColumn("pending_files", pending.agg(F.count("*")).scalar())
+    ).withColumn("pending_files", pending.agg(F.count("*")).scalar()).withColumn("unrecognized_files", fs.unrecognized(listed).agg(F.count("*")).scalar())
 
 
 def decide(summaries: DataFrame) -> DataFrame:
@@ -204,10 +205,33 @@ def _append(df: DataFrame, path: str, partition_by: list[str], rows_per_task: in
      .option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(*partition_by).parquet(path))
 
 
+def _read_log(spark: SparkSession, paths: Paths, name: str) -> DataFrame:
+    return _committed(spark, paths, name, spark.read.parquet(paths.at(name)).schema).drop("load_id")
+
+
 def read_daily_ops(spark: SparkSession, paths: Paths) -> DataFrame:
     """The daily operations log of committed loads."""
-    path = paths.at("log/daily_ops")
-    return _committed(spark, paths, "log/daily_ops", spark.read.parquet(path).schema).drop("load_id")
+    return _read_log(spark, paths, "log/daily_ops")
+
+
+def read_quality_log(spark: SparkSession, paths: Paths) -> DataFrame:
+    """One row per judged file of committed loads: file, date, rows, status, errors, warnings, checked_at."""
+    return _read_log(spark, paths, "log/quality")
+
+
+def read_check_log(spark: SparkSession, paths: Paths) -> DataFrame:
+    """The check results, as JSON, of each judged file of committed loads."""
+    return _read_log(spark, paths, "log/checks")
+
+
+def read_quarantine(spark: SparkSession, paths: Paths) -> DataFrame:
+    """The records of blocked files of committed loads, with the failed checks."""
+    return _read_log(spark, paths, "quarantine")
+
+
+def unrecognized_files(spark: SparkSession, paths: Paths) -> DataFrame:
+    """Names in the drop folder outside the naming convention; they are reported and never loaded."""
+    return fs.unrecognized(fs.list_files(spark, paths.at("incoming")))
 
 
 def run(spark: SparkSession, paths: Paths, base_refs: dict[str, DataFrame], until: str | None = None) -> DataFrame:
@@ -219,9 +243,8 @@ def run(spark: SparkSession, paths: Paths, base_refs: dict[str, DataFrame], unti
     names = [r["file"] for r in fresh.select("file").collect()]  # file names only, as in any file scan
     if not names:
         return _decided(spark, paths, listing, None)
-    # text is parsed once; all later steps read stored tables
-    lines = write_shared(fs.read_lines(spark, [paths.at(f"incoming/{n}") for n in names]), "raw-lines")
-    headers, data = fs.split_header(lines)
+    # text is read once; all later steps read stored tables
+    headers, data = fs.split_header(fs.read_lines(spark, [paths.at(f"incoming/{n}") for n in names]))
     data = write_shared(data.join(fresh.select("file", "kind", "file_date", "is_export"), "file"), "lines")
     headers = write_shared(headers, "headers")
 
@@ -230,8 +253,9 @@ def run(spark: SparkSession, paths: Paths, base_refs: dict[str, DataFrame], unti
         bad = write_shared(broken.join(listing.select("file", "file_date", "file_size"), "file").select(
             "file", F.lit(TICKETS).alias("kind"), "file_date", "file_size", F.lit("failed").alias("status"), "rows",
             F.array(F.lit(CANNOT_SPLIT)).alias("errors"), F.array().cast("array<string>").alias("warnings")), "broken")
-        _quarantine(paths, data.join(bad.select("file", "errors"), "file"))
-        _write_state(paths, bad)
+        load_id = uuid.uuid4().hex
+        _quarantine(paths, data.join(bad.select("file", "errors"), "file"), load_id)
+        _write_state(paths, bad, load_id)
         return bad.withColumn("kept_rows", F.lit(0).cast("bigint")).withColumn("decision", F.lit("quarantine"))
 
     data = fs.split_exports(data)
@@ -263,16 +287,16 @@ def _judge(spark: SparkSession, paths: Paths, base_refs: dict[str, DataFrame], l
         ok = typed(rows[kind], kind).join(accepted.where(F.col("_kind") == kind).drop("_kind"), "file")
         _append(ok.withColumn("load_id", F.lit(load_id)), paths.at(target), ["file_date"] if kind == TICKETS else [])
     blocked = decided.where(F.col("decision") == "quarantine").select("file", "errors")
-    _quarantine(paths, data.join(blocked, "file"))
+    _quarantine(paths, data.join(blocked, "file"), load_id)
     handled = decided.where(F.col("decision") != "pending")
     stamp = F.current_timestamp()
     # files after the blocked one were not judged in the end: they stay pending and leave no log
     log = handled.select("file", F.col("file_date").alias("date"), "rows", "status", F.concat_ws(";", "errors").alias("errors"),
                          F.concat_ws(";", "warnings").alias("warnings"), stamp.alias("checked_at"))
-    log.write.mode("append").parquet(paths.at("log/quality"))
+    log.withColumn("load_id", F.lit(load_id)).write.mode("append").parquet(paths.at("log/quality"))
     report = checks.join(handled.select("file", "kind", "file_date"), "file").groupBy("file", "kind", "file_date").agg(
         F.collect_list(F.struct("check", "severity", "status", "failed_rows", "detail")).alias("checks"))
-    report.withColumn("checks", F.to_json("checks")).write.mode("append").parquet(paths.at("log/checks"))
+    report.withColumn("checks", F.to_json("checks")).withColumn("load_id", F.lit(load_id)).write.mode("append").parquet(paths.at("log/checks"))
     if TICKETS in kinds:
         loaded = typed(rows[TICKETS], TICKETS).join(accepted.select("file"), "file", "left_semi")
         ops = daily_ops(loaded, load_refs(spark, paths, base_refs)["status_detail"], ["file_date", "file"])
@@ -294,8 +318,8 @@ def _decided(spark: SparkSession, paths: Paths, listing: DataFrame, summary: Dat
     return decided
 
 
-def _quarantine(paths: Paths, rows: DataFrame) -> None:
-    rows.select("file", "kind", "header", "values", "errors").write.mode("append").parquet(paths.at("quarantine"))
+def _quarantine(paths: Paths, rows: DataFrame, load_id: str) -> None:
+    rows.select("file", "kind", "header", "values", "errors", F.lit(load_id).alias("load_id")).write.mode("append").parquet(paths.at("quarantine"))
 
 
 def _write_state(paths: Paths, decided: DataFrame, load_id: str | None = None) -> None:

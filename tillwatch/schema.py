@@ -102,3 +102,32 @@ KPI_DIRECTIONS = {
     "ltv_to_date": (6, "money", 1),
 }
 # --- end of fixed values ---
+
+#: What the columns of the marts hold.
+DESCRIPTIONS = {
+    "ticket_id": "Identifier of the payment attempt", "customer_id": "Identifier of the customer", "time": "Time of the payment attempt",
+    "date": "Day of the attempt", "week": "Monday of its week", "year_month": "Its month, yyyy-MM", "hour": "Its hour, 0 to 23", "day_name": "Its weekday",
+    "paying_method": "Method of payment", "platform": "mobile, website or Unknown", "os_version": "Operating system, from the device model",
+    "device_number": "Identifier of the device", "theater_name": "Identifier of the theater", "movie_name": "Title of the movie",
+    "campaign_id": "Identifier of the campaign, 0 without one", "campaign_type": "Kind of promotion, none without one",
+    "is_promotion": "The attempt used a promotion", "original_price": "Price before the discount", "discount_value": "Amount taken off",
+    "final_price": "Price paid: original price less discount", "discount_rate": "Discount as a share of the original price",
+    "status_id": "1 for success, otherwise the error code", "status_description": "Text of the status", "error_group": "customer, external, internal or none",
+    "is_success": "The payment succeeded", "attempt_number": "Number of the attempt among the customer's, from 1",
+    "is_first_attempt": "It is the customer's first attempt", "failure_risk_score": "Model's probability of failure, from what was known before the attempt",
+    "usergender": "Gender as given, Not verify where unknown", "dob": "Date of birth", "age": "Age on the last day of the data",
+    "age_generation": "Generation by year of birth", "is_verified_profile": "Gender and date of birth were really given",
+    "has_activity": "The customer has at least one attempt", "first_attempt_time": "Time of the first attempt", "first_success_time": "Time of the first purchase",
+    "n_attempts": "Attempts", "n_success": "Purchases", "n_failed": "Failed attempts", "success_rate": "Purchases as a share of attempts",
+    "total_spend": "Sum of prices paid", "total_discount": "Sum of discounts of purchases", "first_attempt_failed": "The first attempt failed",
+    "lost_at_first_payment": "The first attempt failed and nothing was ever bought", "as_of": "Time for which the features hold",
+    "recency_days": "Days since the last purchase", "tenure_days": "Days since the first purchase", "frequency": "Purchases before that time",
+    "n_months": "Months with a purchase", "monetary": "Sum paid before that time", "avg_price": "Mean price of a ticket",
+    "promo_share": "Share of purchases with a promotion", "wallet_share": "Share of purchases paid from the wallet",
+    "mobile_share": "Share of purchases on mobile", "segment": "Customer segment by fixed rules", "action": "Proposed treatment of the segment",
+    "repurchase_score": "Probability of buying again within 90 days, or the recency rule", "score_source": "model, or the rule used instead",
+    "tickets": "Attempts", "success_tickets": "Tickets sold", "customers": "Different buyers", "revenue": "Sum of prices paid",
+    "discount_spend": "Sum of discounts", "failure_rate": "Failed attempts as a share of all", "new_customers": "Customers whose first purchase it was, 90 days observed",
+    "returned_90d": "Share of them that bought again within 90 days", "one_time_rate": "Share of them that did not",
+    "discount_per_returned": "Discounts to new customers for each that returned",
+}

@@ -49,3 +49,8 @@ def write_shared(df, name: str, partition_by: list[str] | None = None):
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_home(spark: SparkSession, name: str) -> str:
+    """A lasting path below the shared folder, the same for every session that uses the folder."""
+    return f"{shared_dir(spark, name).rsplit('/', 1)[0]}/{name}"

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tillwatch.functions import columns as C
 from tillwatch.schema import REFERENCE_KEYS, SCHEMAS, TICKETS
+from tillwatch.sources.csvlines import records
 
 # fixed values: file naming and the texts that stand for a missing value
 NAME = rf"^({'|'.join([TICKETS, *REFERENCE_KEYS])})_(\d{{4}}-\d{{2}}-\d{{2}})(__.+)?\.csv$"
@@ -50,19 +50,11 @@ def until(files: DataFrame, last: str | None) -> DataFrame:
     return files if last is None else files.where(F.col("file_date").isNull() | (F.col("file_date") <= F.lit(last).cast("date")))
 
 
-def widest(spark: SparkSession, paths: list[str]) -> int:
-    """No line of the files has more cells than this; quoted commas only make it larger."""
-    cells = F.length("value") - F.length(F.translate("value", ",", "")) + 1
-    return spark.read.text(paths).agg(F.max(cells)).first()[0] or 1
-
-
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """file, file_size, line, values: the untyped cells of every record. ``line`` grows within a file. Quoted cells may hold commas and line
-    breaks, so a file is read by one task; nothing is trimmed."""
-    names = [f"c{i}" for i in range(widest(spark, paths))]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    reader = spark.read.schema(schema).option("header", False).option("escape", '"').option("multiLine", True).option("pathGlobFilter", "*.csv")
-    return as_lines(reader.csv(paths), names)
+    breaks; byte ranges of a file are read by different tasks; nothing is trimmed."""
+    values = F.transform("values", lambda v: F.when(~v.isin(MISSING), v))
+    return records(spark, paths).select("file", F.col("size").alias("file_size"), "line", values.alias("values"))
 
 
 def arrivals(spark: SparkSession, directory: str, files_per_batch: int = 1000) -> DataFrame:
@@ -71,12 +63,6 @@ def arrivals(spark: SparkSession, directory: str, files_per_batch: int = 1000) -
     return lines.load(directory).select(F.col("_metadata.file_name").alias("file"))
 
 
-def as_lines(df: DataFrame, names: list[str]) -> DataFrame:
-    values = F.transform(F.array(*names), lambda v: F.when(~v.isin(MISSING), v))
-    return df.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("file_size"),
-                     F.monotonically_increasing_id().alias("line"), values.alias("values"))
-
-
 def split_header(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(headers, rows): one header per file, and data rows beside the header of their file.
 

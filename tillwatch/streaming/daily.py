@@ -8,10 +8,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tillwatch.functions import columns as C
+from tillwatch.functions.tables import union_on
 from tillwatch.operators.clean import with_status
 from tillwatch.plans import load
 from tillwatch.schema import ERROR_GROUPS
-from tillwatch.session import shared_dir
+from tillwatch.session import shared_dir, write_shared
 from tillwatch.sources import files as fs
 from tillwatch.sources import tpch
 
@@ -44,10 +45,42 @@ def daily_ops_stream(attempts: DataFrame, status_table: DataFrame, delay: str =
 
 
 def without_repeats(attempts: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Drop repeated ticket ids that arrive within the watermark; older ones are caught by the load's id check."""
+    """Drop repeated ticket ids that arrive within the watermark. Rows older than that are dropped too; ``drain_without_repeats`` keeps them."""
     return attempts.withWatermark("time", delay).dropDuplicatesWithinWatermark(["ticket_id"])
 
 
+def drain_without_repeats(attempts: DataFrame, name: str, delay: str = "1 day", known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted, late): every ticket id of the stream once, its earliest row. Nothing is lost: a row more than ``delay`` older than the newest row of the
+    batches before goes to the late table, if its id is new.
+
+    Ids are compared with those of all earlier batches and with ``known`` (ticket_id), not only with what a watermark still remembers.
+    Every batch has folders of its own, and looks only at earlier ones, so a batch that is repeated writes the same again. Rows without an id are all kept.
+    """
+    spark = attempts.sparkSession
+    schema = T.StructType([*attempts.schema.fields, T.StructField("batch", T.LongType())])
+    out, late, marks, checkpoint = (shared_dir(spark, f"{name}-{x}") for x in ("accepted", "late", "newest", "checkpoint"))
+    for path in (out, late):
+        spark.createDataFrame([], attempts.schema).write.parquet(f"{path}/batch=-1")
+    spark.createDataFrame([(None,)], "newest timestamp").write.parquet(f"{marks}/batch=-1")
+    rest = [c for c in attempts.columns if c != "time"]
+
+    def save(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        seen = [session.read.schema(schema).parquet(p).where(F.col("batch") < number).select("ticket_id") for p in (out, late)]
+        seen = union_on([*seen, *([known.select("ticket_id")] if known is not None else [])], "ticket_id")
+        newest = session.read.parquet(marks).where(F.col("batch") < number).agg(F.max("newest")).first()[0]
+        first = batch.where("ticket_id IS NOT NULL").groupBy("ticket_id").agg(F.min(F.struct("time", *rest)).alias("r")).select("r.*")
+        new = first.join(seen, "ticket_id", "left_anti").select(*attempts.columns).unionByName(batch.where("ticket_id IS NULL"))
+        new = write_shared(new, f"{name}-new")
+        old = F.coalesce(F.col("time") < F.lit(newest).cast("timestamp") - F.expr(f"interval {delay}"), F.lit(False))
+        new.where(~old).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        new.where(old).write.mode("overwrite").parquet(f"{late}/batch={number}")
+        batch.agg(F.max("time").alias("newest")).write.mode("overwrite").parquet(f"{marks}/batch={number}")
+    q = attempts.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return tuple(spark.read.schema(schema).parquet(p).drop("batch") for p in (out, late))
+
+
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """Process everything available, store the result below the shared folder and read it back."""
     spark = stream.sparkSession
