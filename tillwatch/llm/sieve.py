@@ -1,6 +1,6 @@
 """A bit table of fixed size that tells tasks which keys may belong to a set (a Bloom filter with two bits a key).
 
-The table has BITS bits whatever the set, so it may be sent to every task. Beyond some hundred million keys it lets more strangers through; that
+The table has BITS bits whatever the set, so it may be sent to every task. Beyond some fifty million keys it lets more strangers through; that
 costs rows that travel in vain, never a result, as an exact join or count follows.
 """
 
@@ -10,8 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: 32 MB, and two bits of a 64-bit hash for each key.
-BITS = 1 << 28
+#: 16 MB, and two bits of a 64-bit hash for each key.
+BITS = 1 << 27
 _SECOND = 32
 
 

@@ -158,6 +158,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, text_col: str = "text"
     counts = keyed.select("text").mapInArrow(_anchor_counts(window), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     often = sent(sieve(counts.where("n > 1"), "anchor"))
     anchors = store(keyed.mapInArrow(_anchors(window, often), _ANCHOR), "anchors")
+    often.unpersist()
     contexts = anchors.where("not settled").groupBy("anchor", "context").agg(F.sum("times").alias("n_context"), F.min(F.struct(*key, "place")).alias("first"))
     contexts = store(contexts, "contexts")
     recurring = contexts.groupBy("anchor").agg(F.sum("n_context").alias("n")).where("n > 1")
