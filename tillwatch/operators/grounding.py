@@ -150,6 +150,8 @@ def match_cases(gold: DataFrame, predicted: DataFrame) -> DataFrame:
         lost.append(room.where("room < 0").select("case"))
         edges = write_shared(edges.join(forced.select("g"), "g", "left_anti").join(room.where("room > 0").select("p"), "p", "left_semi"), "edges")
         need = need.where("partners > 1").select("case", "g", "need")
+        if need.isEmpty():
+            break
     if not edges.isEmpty():
         labels = components(edges.select((F.col("g") * 2).alias("a"), (F.col("p") * 2 + 1).alias("b")))
         core = edges.join(need.select("g", "need"), "g").join(room.select("p", "room"), "p").join(labels.toDF("a", "label"), F.col("g") * 2 == F.col("a"))

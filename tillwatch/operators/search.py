@@ -115,15 +115,16 @@ class Vectors:
         self.doc_key, self.query_key = doc_key, query_key
         self.doc_blocks, query_blocks = _blocks(vectors, doc_key, DOC_BLOCK), _blocks(queries, query_key, QUERY_BLOCK)
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
-        self.queries = queries.select(F.col(query_key).alias("query"), "embedding", _block(query_key, query_blocks).alias("query_block")).dropDuplicates(["query"])
-        self.rows = vectors.select(F.col(doc_key).alias("doc"), "embedding", _block(doc_key, self.doc_blocks).alias("block"), every(query_blocks).alias("query_block"))
+        self.queries = queries.select(F.col(query_key).alias("query"), F.col("embedding").alias("asked"), _block(query_key, query_blocks).alias("query_block"))
+        self.queries = self.queries.dropDuplicates(["query"])
+        self.rows = vectors.select(F.col(doc_key).alias("doc"), F.col("embedding").alias("embedding"), _block(doc_key, self.doc_blocks).alias("block"), every(query_blocks).alias("query_block"))
         self.doc_type = vectors.schema[doc_key].dataType.simpleString()
 
     @staticmethod
     def scored(queries: pd.DataFrame, rows: pd.DataFrame, k: int | None) -> Iterator[Found]:
         rows = rows.sort_values("doc")
         ids = rows["doc"].to_numpy()
-        table = np.stack(rows["embedding"].to_list()).astype(np.float64) @ np.stack(queries["embedding"].to_list()).astype(np.float64).T
+        table = np.stack(rows["embedding"].to_list()).astype(np.float64) @ np.stack(queries["asked"].to_list()).astype(np.float64).T
         for j, query in enumerate(queries["query"]):
             yield query, ids, np.round(table[:, j], 6)
 
