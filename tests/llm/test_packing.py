@@ -61,3 +61,36 @@ def test_plan_uses_every_length_once():
     rows = packing.plan(rng.integers(200, 400, 2048))
     pad = sum((2048 - sum(r)) * t for r, t in rows if sum(r) & (sum(r) - 1))
     assert pad < 0.005 * sum(sum(r) * t for r, t in rows)
+
+
+def by_combination(rows, capacity=2048):
+    """Share of the remainders that lie in exactly filled sequences, and the padding."""
+    total = sum(len(r) * t for r, t in rows)
+    full = sum(len(r) * t for r, t in rows if sum(r) == capacity or sum(r) & (sum(r) - 1) == 0)
+    pad = sum((capacity - sum(r)) * t for r, t in rows if sum(r) & (sum(r) - 1))
+    return full / total, pad / sum(sum(r) * t for r, t in rows)
+
+
+def test_least_squares_place_most_remainders():
+    rng = np.random.default_rng(1)
+    for n in (10_000, 1_000_000):
+        histogram = np.bincount(rng.lognormal(6.0, 0.8, n).astype(int) % 2048, minlength=2048)
+        histogram[0] = 0
+        share, padding = by_combination(packing.plan(histogram))
+        assert share > 0.85 and padding < 0.001
+
+
+def test_counts_solve_the_least_squares():
+    """A histogram made of combinations is met; no column has a price worth taking in the end."""
+    rng = np.random.default_rng(3)
+    histogram = np.zeros(65, np.int64)
+    for _ in range(40):
+        a, b = sorted(rng.integers(1, 32, 2))
+        histogram[[a, b, 64 - a - b]] += rng.integers(1, 50)
+    rows, counts = packing.solve_counts(histogram, 64)
+    assert all(sum(r) == 64 or r in {(1,), (2,), (4,), (8,), (16,), (32,)} for r in rows) and min(counts) >= 0
+    made = np.zeros(65)
+    for row, n in zip(rows, counts):
+        for v in row:
+            made[v] += n
+    assert np.abs(histogram - made).sum() < 0.05 * histogram.sum()

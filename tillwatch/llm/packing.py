@@ -1,8 +1,10 @@
 """Packing of documents into sequences by non-negative least squares over length combinations.
 
 A document's ids are cut into whole sequences and a remainder. Remainders are packed by length alone: combinations of two or three lengths that
-fill a sequence exactly (and single lengths that are powers of two, which need no padding) are enumerated, their repeat counts solved against the
-histogram of lengths by non-negative least squares, rounded down and trimmed to what is there; what remains is packed greedily, longest first. The histogram has
+fill a sequence exactly (and single lengths that are powers of two, which need no padding) are the columns of a non-negative least-squares problem
+against the histogram of lengths. There are hundreds of thousands of them, so columns are generated: the residual prices every length, the best-priced combinations
+of each length join, and coordinate descent solves for the repeat counts. Errors are measured in tokens, so a long remainder, which finds room in few
+places, weighs more than a short one. Counts are rounded down, and the largest remainders up while their lengths last; the rest is packed greedily, longest first. The histogram has
 a bin per length, so this runs on the driver whatever the number of documents. Documents then take their places by their rank among those of
 equal length, which is counted in buckets, never in one task.
 """
@@ -27,8 +29,8 @@ CAPACITY = 2048
 END_ID = 1
 MEMORY = 1_200_000
 _TAIL = string.punctuation
-#: The shortest of three lengths is a multiple of this: few combinations get counts that survive rounding.
-THREE_STEP = 64
+#: Rounds of column generation and sweeps of coordinate descent in each; a round that prices nothing above TOLERANCE of the largest bin is the last.
+ROUNDS, SWEEPS, TOLERANCE = 40, 6, 1e-3
 BUCKET_ROWS = 50_000
 _TOKENS = "doc_id long, doc_tokens long, salt long, crcs array<long>"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -142,52 +144,81 @@ def _tokens(path: str, capacity: int):
     return run
 
 
-def combinations(lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """Rows of up to three of the given lengths (ascending, zeros in front) that sum to the capacity, and single powers of two."""
-    have = np.zeros(capacity + 1, bool)
-    have[lengths] = True
+def priced(price: np.ndarray, have: np.ndarray, capacity: int) -> np.ndarray:
+    """For every available length the best-priced exact combination of three that has it as its shortest, and all of two and of one:
+    rows of lengths (ascending, zeros in front) that sum to the capacity, with a positive price."""
+    lengths = np.flatnonzero(have)
     ones = [x for x in (1 << np.arange(capacity.bit_length())) if x < capacity and have[x]]
-    rows = [np.array([[0, 0, x] for x in ones], np.int64).reshape(-1, 3)]
     a = lengths[lengths * 2 <= capacity]
     a = a[have[capacity - a]]
-    rows.append(np.stack((np.zeros_like(a), a, capacity - a), axis=1))
-    for x in lengths[(lengths * 3 <= capacity) & (lengths % THREE_STEP == 0)]:
-        b = lengths[(lengths >= x) & (x + 2 * lengths <= capacity)]
+    rows = [np.array([[0, 0, x] for x in ones], np.int64).reshape(-1, 3), np.stack((np.zeros_like(a), a, capacity - a), axis=1)]
+    best = []
+    for x in lengths[lengths * 3 <= capacity]:
+        b = lengths[np.searchsorted(lengths, x):np.searchsorted(lengths, (capacity - x) // 2, "right")]
         b = b[have[capacity - x - b]]
-        rows.append(np.stack((np.full_like(b, x), b, capacity - x - b), axis=1))
-    return np.concatenate(rows)
-
-
-def solve_counts(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 150) -> np.ndarray:
-    """Non-negative least squares: repeat counts whose lengths come nearest to the histogram, by multiplicative updates."""
-    used = (patterns > 0).astype(float)
-    h = histogram.astype(float).copy()
-    h[0] = 0.0
-    x = np.full(len(patterns), max(h.sum(), 1.0) / (2.0 * max(len(patterns), 1)))
-    top = (h[patterns] * used).sum(axis=1)
-    for _ in range(rounds):
-        made = np.bincount(patterns.ravel(), (x[:, None] * used).ravel(), len(h))
-        x *= top / np.maximum((made[patterns] * used).sum(axis=1), 1e-9)
-    return x
+        if len(b):
+            y = b[np.argmax(price[b] + price[capacity - x - b])]
+            best.append((x, y, capacity - x - y))
+    rows.append(np.array(best, np.int64).reshape(-1, 3))
+    rows = np.concatenate(rows)
+    return rows[(price[rows] * (rows > 0)).sum(axis=1) > 0]
+
+
+def solve_counts(histogram: np.ndarray, capacity: int) -> tuple[list[tuple[int, ...]], list[float]]:
+    """Non-negative least squares: combinations and the repeat counts whose tokens of each length come nearest to the histogram's."""
+    weight = (np.arange(len(histogram), dtype=float) ** 2).tolist()
+    have = histogram > 0
+    columns: dict[tuple[int, ...], int] = {}
+    norms: list[float] = []  # a length may occur twice or three times in a combination
+    counts: list[float] = []
+    rest = histogram.astype(float).tolist()
+    least = TOLERANCE * max(histogram.max(initial=0), 1)
+    for _ in range(ROUNDS):
+        price = np.array(rest) * weight
+        found = [tuple(int(v) for v in row if v) for row in priced(price, have, capacity)]
+        new = [row for row in found if row not in columns and sum(rest[v] * weight[v] for v in row) > least * weight[row[-1]]]
+        if not new:
+            break
+        for row in new:
+            columns[row] = len(counts)
+            norms.append(sum(row.count(v) * weight[v] for v in row))
+            counts.append(0.0)
+        for _ in range(SWEEPS):
+            for row, k in columns.items():
+                price_of_row = 0.0
+                for v in row:
+                    price_of_row += rest[v] * weight[v]
+                step = price_of_row / norms[k]  # minimises the squared residual along this column
+                if step < -counts[k]:
+                    step = -counts[k]
+                if step:
+                    counts[k] += step
+                    for v in row:
+                        rest[v] -= step
+    return list(columns), counts
+
+
+def _rounded(rows: list[tuple[int, ...]], counts: list[float], left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Whole repeat counts that the lengths left suffice for, which they are taken from: rounded down, then the largest remainders up."""
+    def take(row, times):
+        times = min(times, *(int(left[v]) // row.count(v) for v in row))
+        for v in row:
+            left[v] -= times
+        return max(times, 0)
+    given = {k: take(rows[k], int(counts[k])) for k in sorted(range(len(rows)), key=lambda k: -counts[k]) if counts[k] >= 1}
+    for k in sorted(range(len(rows)), key=lambda k: -(counts[k] % 1)):
+        if counts[k] % 1 > 1e-9:
+            given[k] = given.get(k, 0) + take(rows[k], 1)
+    return [(rows[k], n) for k, n in given.items() if n]
 
 
 def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, how often) for all remainders; ``histogram``[l] documents have a remainder of l ids."""
+    """(lengths of a sequence, how often) for all remainders; ``histogram``[l] documents have a remainder of l ids. Sequences that are full, or a power of two,
+    come from the least squares, the others from the greedy rest."""
     left = histogram.astype(np.int64).copy()
     left[0] = 0
     out: list[tuple[tuple[int, ...], int]] = []
-    patterns = combinations(np.flatnonzero(left), capacity)
-    if len(patterns):
-        wanted = np.floor(solve_counts(patterns, left)).astype(np.int64)
-        for k in np.argsort(-wanted, kind="stable"):
-            if wanted[k] <= 0:
-                break
-            row = [int(v) for v in patterns[k] if v]
-            times = min(int(wanted[k]), *(int(left[v]) // row.count(v) for v in row))
-            if times > 0:
-                out.append((tuple(row), times))
-                for v in row:
-                    left[v] -= times
+    out += _rounded(*solve_counts(left, capacity), left)
     sizes = list(np.flatnonzero(left))
     while sizes:
         row, room, at = [], capacity, len(sizes)
