@@ -4,9 +4,10 @@ A candidate found by pattern is changed only if it is valid: Luhn for cards, oct
 social security numbers, digit counts of phones. A keyed Feistel network then permutes it within its own format, so equal values stay equal across
 documents, different ones stay different, and the result is valid again:
 
-* cards: the first digit stays, the others are permuted, the check digit is computed anew;
+* cards: the first digit stays, the others are permuted, the check digit is computed anew; spaces and hyphens stay where they are and do not count, so a
+  number has one pseudonym however it is written;
 * dates from 1900 to 2099: the day number, as a pair modulo 17 and 4297; IPv4: two 16-bit halves; social security numbers: area and rest;
-* phones: digits after the country code; e-mail: letters and digits before the last dot, each within its kind.
+* phones: digits after the country code, whatever stands between them; e-mail: letters and digits before the last dot, each within its kind.
 
 The round function is SHA-256 over key, kind, round and the other half.
 """
@@ -16,17 +17,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Used where no key is given; a secret key belongs into the call.
-KEY = "tillwatch"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ipv4": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])",
     "date": r"(?<![\w-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\w-])|(?<![\w.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?!\w)|(?<![\w/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![\w/])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-    "phone": r"(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?!\w)|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?!\w)",
-    "card": r"(?<!\w)[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?!\w)|(?<!\w)[0-9]{13,19}(?!\w)",
+    "phone": r"(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?!\w)|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?!\w)|(?<![\w-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\w-])",
+    "card": r"(?<!\w)[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?!\w)|(?<!\w)[0-9]{4}([ -])[0-9]{6}\2[0-9]{5}(?!\w)|(?<!\w)[0-9]{13,19}(?!\w)",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+PHONE = "m RLIKE '^([+(]|[0-9]{3}-[0-9]{3}-[0-9]{4}$)'"
 ROUNDS = 10
 
 
@@ -62,6 +62,13 @@ def _shape(key: str, kind: str, text: str) -> str:
             "s -> concat(s.l, s.r))")
 
 
+def _dressed(digits: str) -> str:
+    """The match m with its digits replaced, in order, by those of the expression; everything else stays where it is."""
+    nth = "length(regexp_replace(substr(m, 1, j), '[^0-9]', ''))"
+    return (f"transform(array({digits}), v -> array_join(transform(sequence(1, length(m)), "
+            f"j -> if(substr(m, j, 1) BETWEEN '0' AND '9', substr(v, {nth}, 1), substr(m, j, 1))), ''))[0]")
+
+
 def _luhn(digits: str, skip: int) -> str:
     """Luhn sum of a digit string; ``skip`` 1 leaves the last place open for a check digit."""
     d = f"CAST(substr({digits}, length({digits}) - k, 1) AS INT)"
@@ -87,11 +94,11 @@ def _expressions(key: str) -> dict[str, tuple[str, str]]:
     ssn = (f"transform(array({ssn}), p -> concat(lpad(CAST(if(p.l < 665, p.l + 1, p.l + 2) AS STRING), 3, '0'), '-', "
            "lpad(CAST(p.r DIV 9999 + 1 AS STRING), 2, '0'), '-', lpad(CAST(p.r % 9999 + 1 AS STRING), 4, '0')))[0]")
     code = r"regexp_extract(m, '^(\\+[0-9]{1,3}(?=[ .(-])|\\+[0-9]|)', 1)"
-    phone = f"concat({code}, {_shape(key, 'phone', f'substr(m, length({code}) + 1)')})"
-    body = "substr(m, 2, length(m) - 2)"
-    card = f"concat(substr(m, 1, 1), {_shape(key, 'card', body)})"
-    check = _luhn("regexp_replace(b, '[^0-9]', '')", 1)
-    card = f"transform(array({card}), b -> concat(b, CAST((10 - ({check}) % 10) % 10 AS STRING)))[0]"
+    national = rf"regexp_replace(substr(m, length({code}) + 1), '[^0-9]', '')"
+    phone = _dressed(rf"concat(regexp_replace({code}, '[^0-9]', ''), {_shape(key, 'phone', national)})")
+    body = f"substr({digits}, 2, length({digits}) - 2)"
+    card = f"concat(substr({digits}, 1, 1), {_shape(key, 'card', body)})"
+    card = _dressed(f"transform(array({card}), b -> concat(b, CAST((10 - ({_luhn('b', 1)}) % 10) % 10 AS STRING)))[0]")
     local = "substr(m, 1, length(m) - length(substring_index(m, '.', -1)) - 1)"
     return {
         "email": ("contains(m, '@')", f"concat({_shape(key, 'email', local)}, substr(m, length({local}) + 1))"),
@@ -99,7 +106,7 @@ def _expressions(key: str) -> dict[str, tuple[str, str]]:
         "date": (r"m RLIKE '^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\\2[0-9]{4})$' AND " +
                  f"{y} BETWEEN 1900 AND 2099 AND {mo} BETWEEN 1 AND 12 AND {d} BETWEEN 1 AND day(last_day({first}))", date),
         "ssn": (f"m RLIKE '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' AND {area} BETWEEN 1 AND 899 AND {area} != 666 AND {group} > 0 AND {serial} > 0", ssn),
-        "phone": (rf"m RLIKE '^[+(]' AND length({digits}) BETWEEN 8 AND 15", phone),
+        "phone": (rf"{PHONE} AND length({digits}) BETWEEN 8 AND 15", phone),
         "card": (f"m RLIKE '^[0-9][0-9 -]+[0-9]$' AND length({digits}) BETWEEN 13 AND 19 AND ({_luhn(digits, 0)}) % 10 = 0", card),
     }
 
@@ -108,14 +115,21 @@ def _shapes() -> dict[str, str]:
     """kind -> SQL condition on a match m that tells its kind, valid or not."""
     return {"email": "contains(m, '@')", "ipv4": r"m RLIKE '^[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+$'",
             "date": r"m RLIKE '^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})$'",
-            "ssn": "m RLIKE '^[0-9]{3}-[0-9]{2}-[0-9]{4}$'", "phone": "m RLIKE '^[+(]'", "card": "true"}
+            "ssn": "m RLIKE '^[0-9]{3}-[0-9]{2}-[0-9]{4}$'", "phone": PHONE, "card": "true"}
+
+
+def _unused(name: str, columns: list[str]) -> str:
+    while name in columns:
+        name += "_"
+    return name
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``text_col`` pseudonymised and a new last column pii_found: array of the kinds of the values changed, in order.
 
-    Text without a valid value stays as it is, byte for byte; null stays null with an empty array. Repeated rows give equal results. A
-    column named pii_found is replaced.
+    ``key`` is a secret: who has it can turn pseudonyms back. Text without a valid value stays as it is, byte for byte; null stays null with an empty
+    array; texts of any length are worked on whole. Repeated rows give equal results, an empty table none. A column named pii_found is replaced;
+    others come back as they are, whatever their names. Lengths may change where addresses (IPv4) do.
     """
     secret, shapes = _quoted(key), _shapes()
     rules = _expressions(secret)
@@ -123,11 +137,21 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> Dat
     name = "CASE p.kind " + " ".join(f"WHEN '{k}' THEN {rules[k][1].replace('p.', 'q.').replace('p ->', 'q ->')}" for k in rules) + " ELSE m END"
     name = f"transform(array(p.m), m -> {name})[0]"
     keep = [c for c in docs.columns if c != "pii_found"]
-    found = docs.select(*keep, F.coalesce(F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>")).alias("_found"))
-    typed = found.withColumn("_typed", F.expr(f"transform(_found, m -> named_struct('m', m, 'kind', {kind}))"))
-    new = F.expr(f"transform(_typed, p -> {name})")
+    matches, typed = _unused("__matches", keep), _unused("__typed", keep)
+    found = docs.select(*[docs[c] for c in keep], F.coalesce(F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>")).alias(matches))
+    found = found.withColumn(typed, F.expr(f"transform(`{matches}`, m -> named_struct('m', m, 'kind', {kind}))"))
+    new = F.expr(f"transform(`{typed}`, p -> {name})")
     gaps = F.split(F.col(text_col), PATTERN, -1)
     text = F.array_join(F.zip_with(gaps, new, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
-    kinds = F.filter(F.col("_typed.kind"), lambda k: k.isNotNull())
-    changed = typed.withColumn("pii_found", kinds)
+    kinds = F.filter(F.col(typed)["kind"], lambda k: k.isNotNull())
+    changed = found.withColumn("pii_found", kinds)
     return changed.withColumn(text_col, F.when(F.size("pii_found") > 0, text).otherwise(F.col(text_col))).select(*keep, "pii_found")
+
+
+#: The setting that names the secret key in jobs, and the public key of trial runs without it.
+KEY_SETTING, TRIAL_KEY = "spark.tillwatch.pseudonym.key", "trial run, not a secret"
+
+
+def job_key(spark) -> str:
+    """The key of this job: from KEY_SETTING; trial runs without one use a public key."""
+    return spark.conf.get(KEY_SETTING, TRIAL_KEY)

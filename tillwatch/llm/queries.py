@@ -14,7 +14,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_pseudonyms(spark, sf_dir):
-    out = pseudonyms.pseudonymise(_read(spark, sf_dir, "documents"))
+    out = pseudonyms.pseudonymise(_read(spark, sf_dir, "documents"), pseudonyms.job_key(spark))
     return out.select("doc_id", "text", F.size("pii_found").cast("long").alias("n_pii"))
 
 
