@@ -1,12 +1,15 @@
 """Cleaning of a text corpus in stages; each stage works on all rows that the one before it kept.
 
-``run`` writes every stage's rows below the shared checkpoint folder and reads them again, so a stage is computed once.
+``run`` writes every stage's rows below the shared checkpoint folder and reads them again, so a stage is computed once. The stages read and return the columns
+of ``documents``; further ones are left out. Null, empty and blank texts, which have no language, go in the first stage; texts of any length are worked on
+whole; of rows that repeat one stays; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillwatch.llm import language, packing, pseudonyms, setsketch, substring
 from tillwatch.llm.tables import store
@@ -30,8 +33,10 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal numbers, dates and addresses become pseudonyms of the same format, and so of the same length."""
-    return pseudonyms.pseudonymise(docs).select(*COLUMNS)
+    """Personal numbers, dates and addresses become pseudonyms of the same format; n_chars is counted anew where a text changed."""
+    out = pseudonyms.pseudonymise(docs, pseudonyms.job_key(spark))
+    n_chars = F.when(F.size("pii_found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
