@@ -5,8 +5,9 @@ TILE x TILE cells: frequent words meet in few tiles, which are counted in a dens
 tiles are sorted as coordinates. Frequent pairs are numbered by frequency again, and two neighbouring (overlapping) phrases of k words are a pair that is a
 phrase of k + 1 words, so every length is the same step.
 
-* **Chunks.** Texts become chunks of codes with a dictionary of their own, so no table of all words travels to all tasks: a chunk gets the numbers of
-  just the phrases it holds. What is not frequent breaks the sequence, and sequences shrink from length to length.
+* **Chunks.** Texts become chunks of codes with a dictionary of their own. A chunk then gets the numbers of the frequent phrases it holds: from a table
+  sent to all tasks while that has at most MAX_SENT rows and SENT_BYTES, beyond that by joins, so nothing unbounded travels to all tasks.
+  What is not frequent breaks the sequence, and sequences shrink from length to length.
 * **Counts** are summed per chunk, then per task, then by key: one row per chunk for a word that a third of all texts hold. A phrase is counted only where its
   first and its last words less one are frequent themselves, which loses nothing, as a phrase is never more frequent than its parts.
 * Numbers are row numbers over range partitions; nothing is ordered in one task.
@@ -28,8 +29,8 @@ from tillwatch.llm.tables import store
 TILE = 1024
 #: Pairs that make a tile dense; bytes of text in a chunk.
 DENSE, CHUNK_BYTES = TILE * TILE // 32, 2 << 20
-#: Phrases of one length that may be sent to all tasks (about 50 bytes each); more are joined by a shuffle.
-MAX_SENT = 400_000
+#: Phrases of one length, and bytes of their text, that may be sent to all tasks (as 24 bytes each); more are joined by a shuffle.
+MAX_SENT, SENT_BYTES = 200_000, 32 << 20
 _KIND = np.zeros(256, np.uint8)
 _KIND[[32, 9]] = 1
 _KIND[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = 2
@@ -141,6 +142,37 @@ def _rows(batch: pa.RecordBatch):
                np.frombuffer(batch.column("names")[i].as_buffer(), np.int64) if names >= 0 else None, cells)
 
 
+def _words_sent(known: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """stratum -> (hashes of its frequent words, ascending; their numbers). At most MAX_SENT rows."""
+    rows, out = known.select("stratum", "phrase", "id").toArrow(), {}
+    strata = rows.column("stratum").to_numpy()
+    for stratum in set(strata):
+        part = rows.filter(pa.array(strata == stratum))
+        hashes, ids = _hashes(part.column("phrase")), part.column("id").to_numpy()
+        order = np.argsort(hashes)
+        out[stratum] = hashes[order], ids[order]
+    return out
+
+
+def _hashes(words) -> np.ndarray:
+    data, offsets = W.text_buffers(words)
+    return W.byte_hashes(data, offsets[:-1], offsets[1:]) if len(data) else np.zeros(len(offsets) - 1, np.uint64)
+
+
+def _look_up_words(sent):
+    def run(batches):
+        for batch in batches:
+            for i, (chunk, codes, _, _) in enumerate(_rows(batch)):
+                known, ids = sent.value.get(batch.column("stratum")[i].as_py(), (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+                own = _hashes(batch.column("words").slice(i, 1).flatten())
+                to = np.full(len(own) + 1, -1, np.int64)  # the last stands for a break
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    to[:-1] = np.where(known[at] == own, ids[at], -1)
+                yield _state(chunk, to[codes])
+    return run
+
+
 def _number_words(batches):
     for batch in batches:
         for chunk, codes, _, found in _rows(batch):
@@ -182,26 +214,45 @@ def _pairs(batches):
                                              names=["chunk", "a", "b", "n"])
 
 
+def _renumbered(chunk: int, codes: np.ndarray, names: np.ndarray, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """The chunk with the numbers ``ids`` of the pairs (a, b) in place of its pairs; others break the sequence."""
+    first, second = (np.minimum(np.searchsorted(names, x), max(len(names) - 1, 0)) for x in (a, b))
+    here = (names[first] == a) & (names[second] == b) if len(names) else np.zeros(len(a), bool)
+    keys, ids = (first[here].astype(np.int64) << 32) | second[here], ids[here]
+    order = np.argsort(keys)
+    keys, ids = keys[order], ids[order]
+    out = np.full(len(codes), -1, np.int64)
+    if len(keys):
+        at, key = _cells(codes)
+        place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        hit = keys[place] == key
+        out[at[hit]] = ids[place[hit]]
+    return _state(chunk, out)
+
+
+def _look_up_pairs(sent):
+    def run(batches):
+        for batch in batches:
+            for chunk, codes, names, _ in _rows(batch):
+                yield _renumbered(chunk, codes, names, *sent.value)
+    return run
+
+
 def _number_pairs(batches):
     for batch in batches:
         for chunk, codes, names, found in _rows(batch):
-            keys = (np.searchsorted(names, found["a"]).astype(np.int64) << 32) | np.searchsorted(names, found["b"])
-            order = np.argsort(keys)
-            keys, ids = keys[order], found["id"][order]
-            at, key = _cells(codes)
-            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            hit = keys[place] == key
-            out = np.full(len(codes), -1, np.int64)
-            out[at[hit]] = ids[place[hit]]
-            yield _state(chunk, out)
+            yield _renumbered(chunk, codes, names, found["a"], found["b"], found["id"])
 
 
-def _small(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= MAX_SENT else df
+def _size(known: DataFrame) -> tuple[int, bool]:
+    """(phrases, whether they may be sent to all tasks)."""
+    n, size = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0))).first()
+    return n, n <= MAX_SENT and size <= SENT_BYTES
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_col: str = "text", stratum_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """(stratum, words, phrase, f) of all phrases of 1 to ``longest`` words that occur ``least`` times or more, and (stratum, n): all words."""
+    send = docs.sparkSession.sparkContext.broadcast
     rows = docs.select(F.coalesce(F.col(stratum_col).cast("string"), F.lit("und")).alias("stratum"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chunks = store(rows.mapInArrow(_chunks, _CHUNK), "chunks")
     totals = chunks.groupBy("stratum").agg(F.sum("n_tokens").alias("n"))
@@ -209,25 +260,32 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_c
         "chunk", "stratum", "code", F.col("w.words").alias("phrase"), F.col("w.counts").alias("n"))
     counted = held.groupBy("stratum", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     known = store(numbered(counted, [F.col("stratum"), F.desc("f"), F.col("phrase")], "id"), "phrases")
-    n = known.count()
-    found = held.join(_small(known.select("stratum", "phrase", "id"), n), ["stratum", "phrase"]).groupBy("chunk").agg(F.collect_list(F.struct("code", "id")).alias("found"))
-    state = chunks.select("chunk", "codes").join(found, "chunk").mapInArrow(_number_words, "chunk long, codes binary, names binary")
+    n, small = _size(known)
+    types = "chunk long, codes binary, names binary"
+    if small:
+        state = chunks.select("chunk", "stratum", "codes", "words").mapInArrow(_look_up_words(send(_words_sent(known))), types)
+    else:
+        found = held.join(known.select("stratum", "phrase", "id"), ["stratum", "phrase"]).groupBy("chunk").agg(F.collect_list(F.struct("code", "id")).alias("found"))
+        state = chunks.select("chunk", "codes").join(found, "chunk").mapInArrow(_number_words, types)
     levels = [known.select("stratum", F.lit(1).alias("words"), "phrase", "f")]
     for words in range(2, longest + 1):
         if not n:
             break
         state = store(state.where(F.length("codes") > 0), "sequences")
-        pairs = store(state.mapInArrow(_pairs, "chunk long, a long, b long, n long"), "pairs")
+        pairs = state.mapInArrow(_pairs, "chunk long, a long, b long, n long")
         counted = pairs.groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         first, last = (known.select(F.col("id").alias(x), F.col("stratum"), F.col("phrase").alias(f"phrase_{x}")) for x in "ab")
-        named = counted.join(_small(first, n), "a").join(_small(last.drop("stratum"), n), "b").select(
+        named = counted.join(first, "a").join(last.drop("stratum"), "b").select(
             "stratum", "a", "b", "f", F.concat_ws(" ", "phrase_a", F.substring_index("phrase_b", " ", -1)).alias("phrase"))
         known = store(numbered(named, [F.col("stratum"), F.desc("f"), F.col("phrase")], "id"), "phrases")
-        n = known.count()
+        n, small = _size(known)
         levels.append(known.select("stratum", F.lit(words).alias("words"), "phrase", "f"))
-        if words < longest and n:
-            found = pairs.join(_small(known.select("a", "b", "id"), n), ["a", "b"]).groupBy("chunk").agg(F.collect_list(F.struct("a", "b", "id")).alias("found"))
-            state = state.join(found, "chunk").mapInArrow(_number_pairs, "chunk long, codes binary, names binary")
+        if words < longest and n and small:
+            sent = known.select("a", "b", "id").toArrow()
+            state = state.mapInArrow(_look_up_pairs(send(tuple(sent.column(c).to_numpy() for c in ("a", "b", "id")))), types)
+        elif words < longest and n:
+            found = pairs.join(known.select("a", "b", "id"), ["a", "b"]).groupBy("chunk").agg(F.collect_list(F.struct("a", "b", "id")).alias("found"))
+            state = state.join(found, "chunk").mapInArrow(_number_pairs, types)
     out = levels[0]
     for x in levels[1:]:
         out = out.unionByName(x)
