@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillwatch.functions import columns as C
+from tillwatch.session import write_shared
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -69,36 +72,36 @@ def _type_name(t: T.DataType) -> str:
 def data_dictionary(tables: dict[str, DataFrame], descriptions: dict[str, str] | None = None, examples: int = 3) -> DataFrame:
     """One row per table and column: type, description, null rate, distinct values, range and first examples.
 
-    Ranges come from one plain aggregation per table; distinct counts from the (column, value) reduction.
+    Ranges and null counts come from one plain aggregation per table; distinct counts and examples of all tables from one (table, column, value)
+    reduction, counted map-side first.
     """
-    out = None
-    for name, df in tables.items():
-        part = _dictionary(df, examples).withColumn("table", F.lit(name))
-        out = part if out is None else out.unionByName(part)
+    ends = [_ends(df).withColumn("table", F.lit(name)) for name, df in tables.items()]
+    cells = [_cells(df).select(F.lit(name).alias("table"), "column", "value") for name, df in tables.items()]
+    v = reduce(DataFrame.unionByName, cells).where(F.col("value").isNotNull()).distinct()
+    v = write_shared(v, "dictionary-values")
+    stats = v.groupBy("table", "column").agg(F.count("*").alias("n_unique"))
+    w = Window.partitionBy("table", "column").orderBy("value")
+    firsts = v.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= examples).groupBy("table", "column").agg(
+        F.concat_ws(", ", F.transform(F.array_sort(F.collect_list("value")), lambda x: F.substring(x, 1, 40))).alias("examples"))
     text = F.lit("") if not descriptions else F.coalesce(C.lookup("column", descriptions), F.lit(""))
-    return out.withColumn("description", text).select(
-        "table", "column", "dtype", "description", "null_rate", "n_unique", "min", "max", "examples")
+    out = reduce(DataFrame.unionByName, ends).join(stats, ["table", "column"], "left").join(firsts, ["table", "column"], "left")
+    return out.select("table", "column", "dtype", text.alias("description"), F.round(C.ratio("_nulls", "_rows"), 4).alias("null_rate"),
+                      F.coalesce("n_unique", F.lit(0)).alias("n_unique"), "min", "max", F.coalesce("examples", F.lit("")).alias("examples"))
+
 
+def _cells(df: DataFrame) -> DataFrame:
+    return df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in df.columns])))
 
-def _dictionary(df: DataFrame, examples: int) -> DataFrame:
+
+def _ends(df: DataFrame) -> DataFrame:
+    """column, dtype, min, max (of numbers and times), _nulls, _rows."""
     ranged = [f.name for f in df.schema if isinstance(f.dataType, (T.NumericType, T.TimestampType, T.DateType))]
-    ends = df.agg(F.count("*").alias("_rows"),
+    ends = df.agg(F.count("*").alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(f"no_{c}") for c in df.columns],
                   *[F.min(c).cast("string").alias(f"lo_{c}") for c in ranged],
                   *[F.max(c).cast("string").alias(f"hi_{c}") for c in ranged])
     nothing = F.lit(None).cast("string")
-    ends = ends.select("_rows", F.inline(F.array(*[
-        F.struct(F.lit(f.name).alias("column"), F.lit(_type_name(f.dataType)).alias("dtype"),
+    return ends.select("_rows", F.inline(F.array(*[
+        F.struct(F.lit(f.name).alias("column"), F.lit(_type_name(f.dataType)).alias("dtype"), F.col(f"no_{f.name}").alias("_nulls"),
                  (F.col(f"lo_{f.name}") if f.name in ranged else nothing).alias("min"),
                  (F.col(f"hi_{f.name}") if f.name in ranged else nothing).alias("max"))
         for f in df.schema])))
-    v = _values(df, df.columns)
-    stats = v.groupBy("column").agg(
-        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("_nulls"), F.count("value").alias("n_unique"))
-    w = Window.partitionBy("column").orderBy("value")
-    firsts = v.where(F.col("value").isNotNull()).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= examples)
-    firsts = firsts.groupBy("column").agg(
-        F.concat_ws(", ", F.transform(F.array_sort(F.collect_list("value")), lambda x: F.substring(x, 1, 40))).alias("examples"))
-    return (
-        ends.join(stats, "column", "left").join(firsts, "column", "left")
-        .withColumn("null_rate", F.round(C.ratio("_nulls", "_rows"), 4)).drop("_nulls", "_rows")
-    )
