@@ -192,10 +192,13 @@ def match_sql(rate):
 
 
 TERMS = term_ctes("documents", "benchmark")
+REVISED = "revised AS (SELECT * REPLACE (CASE WHEN doc_id % 7 = 0 THEN text || ' revised' ELSE text END AS text) FROM documents)"
 SEARCHED = """searched AS MATERIALIZED (SELECT source || '#' || section || '#' || part AS doc_id, string_split(label, ' ')[-1] AS source,
   label || ' › ' || title || chr(10) || text AS text FROM passage)"""
 PASSAGE_TERMS = term_ctes("searched", "benchmark")
 SQL = {
+    "refreshed_index": w("SELECT doc_id AS key, count(*) AS terms, CAST(sum(n) AS BIGINT) AS n FROM dt GROUP BY 1", REVISED, PASSAGES.replace("FROM documents", "FROM revised"),
+                         "keyed AS (SELECT DISTINCT sha1(source || chr(10) || title || chr(10) || text) AS doc_id, text FROM passage)", term_ctes("keyed", "benchmark")),
     "tfidf_top_k": w(f"SELECT item_id, doc_id AS passage, score, rank FROM ({top('kw')})", PASSAGES, SEARCHED, PASSAGE_TERMS),
     "vector_top_k": w(top("vs"), VEC),
     "fused_top_k": w("SELECT item_id, doc_id, keyword_rank, vector_rank, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 6",

@@ -8,7 +8,7 @@ from itertools import permutations
 import pytest
 from pyspark.sql import functions as F
 
-from tillwatch.operators import grounding, text
+from tillwatch.operators import grounding, search, text
 
 
 def docs(spark, *rows):
@@ -176,3 +176,18 @@ def test_ambiguous_rows_are_solved_by_augmenting_paths():
         def place(i, free):
             return i == len(units) or any(place(i + 1, free - {k}) for k in {slots[k]: k for k in free if slots[k] in edges[units[i]]}.values())
         assert grounding._augment(need, dict(room), edges) == place(0, frozenset(range(len(slots))))
+
+
+def test_postings_follow_their_passages(spark, tmp_path):
+    frame = lambda **texts: spark.createDataFrame(sorted(texts.items()), "key string, text string")
+    store = search.PostingsStore(spark, str(tmp_path / "index"))
+    there = lambda: sorted((r["key"], r["term"], r["n"]) for r in store.postings().where("term NOT LIKE '% %'").collect())
+    store.refresh(frame(a="one two one", b="two"), 1)
+    assert there() == [("a", "one", 2), ("a", "two", 1), ("b", "two", 1)]
+    for _ in range(2):  # a repeated version replaces itself
+        store.refresh(frame(b="two", c="six"), 2)
+        assert there() == [("b", "two", 1), ("c", "six", 1)]
+    store.refresh(frame(a="one two one", b="two"), 3)
+    assert there() == [("a", "one", 2), ("a", "two", 1), ("b", "two", 1)]
+    store.refresh(frame(a="x").where("false"), 4)
+    assert there() == []

@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwatch.functions.tables import union_on
@@ -49,6 +49,43 @@ def weighted_terms(docs: DataFrame, key: str, text: str = "text") -> tuple[DataF
     return write_shared(raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight")), "weights"), idf
 
 
+class PostingsStore:
+    """Postings of passages (key, text) that are refreshed version by version below ``root``.
+
+    A version stores the postings of passages that are new, and for every key that came or went an event, written last. What counts is a key's
+    newest event, so passages that went are dropped when reading (tombstones) and may come back. Only new passages are cut into terms. A version that died half
+    way is refreshed again and replaces its own folders.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        empty = self.spark.createDataFrame([], f"{schema}, version int")
+        empty.drop("version").write.mode("overwrite").parquet(f"{self.root}/{name}/version=0")
+        return self.spark.read.schema(empty.schema).parquet(f"{self.root}/{name}")
+
+    def alive(self, before: int | None = None) -> DataFrame:
+        """key, version: the passages that are there (before a version), and the version that brought them."""
+        events = self._read("events", "key string, came boolean")
+        events = events if before is None else events.where(F.col("version") < before)
+        last = events.groupBy("key").agg(F.max(F.struct("version", "came")).alias("e"))
+        return last.where("e.came").select("key", "e.version")
+
+    def refresh(self, passages: DataFrame, version: int) -> None:
+        """Make ``passages`` (key, text) the content of the store; versions count from 1."""
+        now = write_shared(passages.dropDuplicates(["key"]), "passages")
+        there = write_shared(self.alive(version).select("key"), "alive")
+        new, gone = now.join(there, "key", "left_anti"), there.join(now, "key", "left_anti")
+        terms(new.repartition("key"), "key").write.mode("overwrite").parquet(f"{self.root}/postings/version={version}")
+        events = union_on([new.select("key", F.lit(True).alias("came")), gone.select("key", F.lit(False).alias("came"))], "key")
+        events.write.mode("overwrite").parquet(f"{self.root}/events/version={version}")
+
+    def postings(self) -> DataFrame:
+        """key, term, n of the passages that are there."""
+        return self._read("postings", "key string, term string, n bigint").join(self.alive(), ["key", "version"], "left_semi").drop("version")
+
+
 def _block(key: str, count: int):
     return F.pmod(F.xxhash64(key), F.lit(max(1, count))).cast("int")
 

@@ -12,7 +12,7 @@ from tillwatch.functions.tables import union_on
 from tillwatch.plans import goldset, load, marts, models
 from tillwatch.plans.facts import attempts, tickets
 from tillwatch.schema import CAMPAIGN_TYPES, DESCRIPTIONS, PAYING_METHODS, REFERENCE_KEYS, TICKETS
-from tillwatch.session import write_shared
+from tillwatch.session import shared_dir, write_shared
 from tillwatch.sources import files as fs
 from tillwatch.sources import tpch
 from tillwatch.streaming import daily
@@ -244,9 +244,9 @@ def _table(spark, d, name):
     return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
 
 
-def _passages(spark, d) -> DataFrame:
+def _passages(spark, d, docs: DataFrame | None = None) -> DataFrame:
     """Documents as they are, and every conversation turn as a small Markdown document."""
-    docs = _table(spark, d, "documents").select(
+    docs = (_table(spark, d, "documents") if docs is None else docs).select(
         F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("source"), F.concat_ws(" ", "lang", "source").alias("label"), "text")
     c = _table(spark, d, "conversations")
     turns = c.select(
@@ -263,6 +263,16 @@ def _searchable(spark, d) -> DataFrame:
                                  F.concat(F.col("label"), F.lit(text.TITLE_SEPARATOR), F.col("title"), F.lit("\n"), F.col("text")).alias("text")), "passages")
 
 
+def _refreshed(spark, d) -> DataFrame:
+    """An index of all passages after every seventh document was revised: terms of each passage that is there now."""
+    docs = _table(spark, d, "documents")
+    revised = docs.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" revised"))).otherwise(F.col("text")))
+    store = search.PostingsStore(spark, shared_dir(spark, "postings-store"))
+    store.refresh(_passages(spark, d), 1)
+    store.refresh(_passages(spark, d, revised), 2)
+    return store.postings().groupBy("key").agg(F.count("*").alias("terms"), F.sum("n").alias("n"))
+
+
 def _tfidf(spark, d, passages: DataFrame | None = None) -> DataFrame:
     passages = _searchable(spark, d) if passages is None else passages
     return search.best(search.Keywords(passages, _table(spark, d, "benchmark"), "passage", "item_id"))
@@ -493,6 +503,7 @@ QUERIES = {
     "stream_without_repeats": _stream_repeats,
     # text
     "passages": _passages,
+    "refreshed_index": _refreshed,
     "tfidf_top_k": _tfidf,
     "vector_top_k": _vector,
     "fused_top_k": _fused,
