@@ -30,3 +30,28 @@ def test_stages_in_order_on_a_small_corpus(spark):
     assert seen["pii"][7] == kept[7]
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").toPandas()
     assert set(packed.doc_id) == set(kept)
+
+
+def test_odd_rows_and_further_columns(spark):
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(4))
+    rows = [(i, " ".join(word() for _ in range(60)), "en") for i in range(20)]
+    long = " ".join(f"{word()}{i}" for i in range(20_000))
+    rows += [rows[3], rows[3], (None, " ".join(word() for _ in range(60)), "en"), (50, long, "en"), (51, None, "en"), (52, "", None), (53, " \n", "en")]
+    docs = spark.createDataFrame([(i, t, x, "s", len(t or ""), 1, "k", 0.5) for i, t, x in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, row int, key_high string, score double").repartition(3)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == list(corpus_pipeline.COLUMNS)
+    left = docs.collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in left) == [*[(False, i) for i in range(20)], (False, 50), (True, 0)]
+    assert {r.doc_id: r.text for r in left}[50] == long
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").toPandas()
+    assert packed.groupby(packed.doc_id.fillna(-1)).length.sum().to_dict()[50] == packed[packed.doc_id == 50].doc_tokens.iloc[0] > 2048
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+    assert docs.count() == 0
