@@ -105,7 +105,7 @@ def _examples(texts: list[str], labels: np.ndarray, rng, draws: int = 1, whole:
             for _ in range(draws if size < len(words) else 1):
                 at = int(rng.integers(0, max(1, len(words) - size + 1)))
                 end = min(at + size, len(words))
-                out.append((grams[first[at]:first[end]], int(label), end - at))
+                out.append((grams[first[at]:first[end]].astype(np.int32), int(label), end - at))  # a copy, so the whole text's grams can go
     return [x for x in out if len(x[0])]
 
 
