@@ -73,6 +73,7 @@ def check_tickets(rows: DataFrame, files: DataFrame, known: DataFrame, history:
     stats = _row_checks(d)
     keys = _key_checks(d, known)
     f = files.join(stats, "file", "left").join(keys, "file", "left").withColumn("_rows", F.coalesce("_rows", F.lit(0)))
+    f = write_shared(f, "file-stats")  # one row per file, read by the volume check and below
     f = f.join(_volume(f, history), "file", "left")
     ok = F.size("_missing") == 0
     filled = ok & (F.col("_rows") > 0)
