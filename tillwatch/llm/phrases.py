@@ -27,8 +27,8 @@ from tillwatch.llm import words as W
 from tillwatch.llm.tables import store
 
 TILE = 1024
-#: Pairs that make a tile dense; bytes of text in a chunk.
-DENSE, CHUNK_BYTES = TILE * TILE // 32, 2 << 20
+#: Pairs that make a tile dense; bytes of text that are cut into words at a time, and of a chunk.
+DENSE, SLICE_BYTES, CHUNK_BYTES = TILE * TILE // 32, 1 << 19, 2 << 20
 #: Phrases of one length, and bytes of their text, that may be sent to all tasks (as 24 bytes each); more are joined by a shuffle.
 MAX_SENT, SENT_BYTES = 200_000, 32 << 20
 _KIND = np.zeros(256, np.uint8)
@@ -36,7 +36,7 @@ _KIND[[32, 9]] = 1
 _KIND[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_CHUNK = "chunk long, stratum string, n_tokens long, codes binary, words array<string>, counts array<long>"
+_CHUNK = "chunk long, stratum string, n_tokens long, codes binary, hashes binary, words array<string>, counts array<long>"
 
 
 def _sequence(values: np.ndarray, breaks: np.ndarray) -> np.ndarray:
@@ -78,7 +78,7 @@ def _chunk(stratum: str, parts: list) -> dict:
         first += len(p[1])
     names = pa.concat_arrays([p[3] for p in parts]).take(pa.array(at))
     return {"chunk": uuid.uuid4().int >> 65, "stratum": stratum, "n_tokens": int(counts.sum()), "codes": np.concatenate(codes).tobytes(),
-            "words": names.to_pylist(), "counts": counts}
+            "hashes": own.tobytes(), "words": names, "counts": counts}
 
 
 def _chunks(batches):
@@ -90,7 +90,7 @@ def _chunks(batches):
         for k, stratum in enumerate(strata.dictionary.to_pylist()):
             texts = batch.column("text").take(pa.array(np.flatnonzero(which == k)))
             parts, size, rows = [], 0, []
-            for _, data, offsets in W.text_slices(texts):
+            for _, data, offsets in W.text_slices(texts, SLICE_BYTES):
                 parts.append(_tokens(data, offsets))
                 size += len(data)
                 if size >= CHUNK_BYTES:
@@ -104,8 +104,9 @@ def _chunk_batch(stratum: str, parts: list) -> pa.RecordBatch:
     row = _chunk(stratum, parts)
     return pa.RecordBatch.from_arrays(
         [pa.array([row["chunk"]], pa.int64()), pa.array([stratum], pa.string()), pa.array([row["n_tokens"]], pa.int64()), pa.array([row["codes"]], pa.binary()),
-         pa.array([row["words"]], pa.list_(pa.string())), pa.array([row["counts"]], pa.list_(pa.int64()))],
-        names=["chunk", "stratum", "n_tokens", "codes", "words", "counts"])
+         pa.array([row["hashes"]], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(row["words"])], pa.int32()), row["words"].cast(pa.string())),
+         pa.array([row["counts"]], pa.list_(pa.int64()))],
+        names=["chunk", "stratum", "n_tokens", "codes", "hashes", "words", "counts"])
 
 
 def shortened(ids: np.ndarray) -> np.ndarray:
@@ -164,7 +165,7 @@ def _look_up_words(sent):
         for batch in batches:
             for i, (chunk, codes, _, _) in enumerate(_rows(batch)):
                 known, ids = sent.value.get(batch.column("stratum")[i].as_py(), (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-                own = _hashes(batch.column("words").slice(i, 1).flatten())
+                own = np.frombuffer(batch.column("hashes")[i].as_buffer(), np.uint64)
                 to = np.full(len(own) + 1, -1, np.int64)  # the last stands for a break
                 if len(known):
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
@@ -263,7 +264,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_c
     n, small = _size(known)
     types = "chunk long, codes binary, names binary"
     if small:
-        state = chunks.select("chunk", "stratum", "codes", "words").mapInArrow(_look_up_words(send(_words_sent(known))), types)
+        state = chunks.select("chunk", "stratum", "codes", "hashes").mapInArrow(_look_up_words(send(_words_sent(known))), types)
     else:
         found = held.join(known.select("stratum", "phrase", "id"), ["stratum", "phrase"]).groupBy("chunk").agg(F.collect_list(F.struct("code", "id")).alias("found"))
         state = chunks.select("chunk", "codes").join(found, "chunk").mapInArrow(_number_words, types)
