@@ -67,6 +67,13 @@ def test_no_rows(spark):
     assert mined(spark, []) == [] and mined(spark, [("a b c", "en")] * 9) == []
 
 
+def test_codes_are_packed_without_loss():
+    for most in (3, 65534, 65535, 1 << 20):
+        codes = np.array([-1, 0, most, -1, most - 1], np.int32)
+        assert (P._unpacked(memoryview(P._packed(codes))) == codes).all()
+    assert len(P._unpacked(memoryview(P._packed(np.zeros(0, np.int32))))) == 0
+
+
 def test_pairs_by_tiles_equal_a_counter(monkeypatch):
     monkeypatch.setattr(P, "TILE", 4)
     monkeypatch.setattr(P, "DENSE", 30)

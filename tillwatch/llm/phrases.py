@@ -28,7 +28,7 @@ from tillwatch.llm.tables import store
 
 TILE = 1024
 #: Pairs that make a tile dense; bytes of text that are cut into words at a time, and of a chunk.
-DENSE, SLICE_BYTES, CHUNK_BYTES = TILE * TILE // 32, 1 << 19, 2 << 20
+DENSE, SLICE_BYTES, CHUNK_BYTES = TILE * TILE // 32, 1 << 19, 4 << 20
 #: Phrases of one length, and bytes of their text, that may be sent to all tasks (as 24 bytes each); more are joined by a shuffle.
 MAX_SENT, SENT_BYTES = 200_000, 32 << 20
 _KIND = np.zeros(256, np.uint8)
@@ -46,6 +46,21 @@ def _sequence(values: np.ndarray, breaks: np.ndarray) -> np.ndarray:
     return out
 
 
+def _packed(codes: np.ndarray) -> bytes:
+    """Codes in two bytes each where that is enough, after a byte that tells."""
+    if codes.max(initial=-1) < 65535:
+        return b"\2" + codes.astype(np.uint16).tobytes()  # -1 becomes 65535
+    return b"\4" + codes.astype(np.int32).tobytes()
+
+
+def _unpacked(buffer) -> np.ndarray:
+    if bytes(buffer[:1]) == b"\4":
+        return np.frombuffer(buffer, np.int32, offset=1).copy()
+    codes = np.frombuffer(buffer, np.uint16, offset=1).astype(np.int32)
+    codes[codes == 65535] = -1
+    return codes
+
+
 def _tokens(data: np.ndarray, offsets: np.ndarray):
     """(codes with -1 between pieces, hashes, counts, words as an Arrow array) of a run of documents."""
     kind = _KIND[data]
@@ -77,7 +92,7 @@ def _chunk(stratum: str, parts: list) -> dict:
         codes.append(to[p[0]])
         first += len(p[1])
     names = pa.concat_arrays([p[3] for p in parts]).take(pa.array(at))
-    return {"chunk": uuid.uuid4().int >> 65, "stratum": stratum, "n_tokens": int(counts.sum()), "codes": np.concatenate(codes).tobytes(),
+    return {"chunk": uuid.uuid4().int >> 65, "stratum": stratum, "n_tokens": int(counts.sum()), "codes": _packed(np.concatenate(codes)),
             "hashes": own.tobytes(), "words": names, "counts": counts}
 
 
@@ -126,7 +141,7 @@ def _state(chunk: int, ids: np.ndarray) -> pa.RecordBatch:
     names, codes = np.unique(ids, return_inverse=True)
     none = int(len(names) > 0 and names[0] < 0)
     return pa.RecordBatch.from_arrays(
-        [pa.array([chunk], pa.int64()), pa.array([(codes.astype(np.int32) - none).tobytes()], pa.binary()), pa.array([names[none:].tobytes()], pa.binary())],
+        [pa.array([chunk], pa.int64()), pa.array([_packed(codes.astype(np.int32) - none)], pa.binary()), pa.array([names[none:].tobytes()], pa.binary())],
         names=["chunk", "codes", "names"])
 
 
@@ -139,7 +154,7 @@ def _rows(batch: pa.RecordBatch):
         if found >= 0 and batch.column("found")[i].is_valid:
             values = batch.column("found").slice(i, 1).flatten()
             cells = {values.type.field(j).name: values.field(j).to_numpy(zero_copy_only=False) for j in range(values.type.num_fields)}
-        yield (batch.column("chunk")[i].as_py(), np.frombuffer(batch.column("codes")[i].as_buffer(), np.int32),
+        yield (batch.column("chunk")[i].as_py(), _unpacked(batch.column("codes")[i].as_buffer()),
                np.frombuffer(batch.column("names")[i].as_buffer(), np.int64) if names >= 0 else None, cells)
 
 
@@ -272,7 +287,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_c
     for words in range(2, longest + 1):
         if not n:
             break
-        state = store(state.where(F.length("codes") > 0), "sequences")
+        state = store(state.where(F.length("codes") > 1), "sequences")
         pairs = state.mapInArrow(_pairs, "chunk long, a long, b long, n long")
         counted = pairs.groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         first, last = (known.select(F.col("id").alias(x), F.col("stratum"), F.col("phrase").alias(f"phrase_{x}")) for x in "ab")
