@@ -191,3 +191,20 @@ def test_postings_follow_their_passages(spark, tmp_path):
     assert there() == [("a", "one", 2), ("a", "two", 1), ("b", "two", 1)]
     store.refresh(frame(a="x").where("false"), 4)
     assert there() == []
+
+
+def test_keyword_search_keeps_one_row_per_document(spark, monkeypatch):
+    """Terms never leave their document one by one; frequent terms are sent, the others joined, and blocks are cut by their terms."""
+    rnd = random.Random(5)
+    some = lambda n: " ".join(rnd.choice("ab cd ef gh ij kl mn op".split()) for _ in range(n))
+    d = spark.createDataFrame([(i, some(30)) for i in range(40)] + [(3, some(5)), (50, None), (51, "")], "doc_id bigint, text string")
+    q = spark.createDataFrame([(i, some(4)) for i in range(9)] + [(9, "nothing known")], "item_id bigint, text string")
+    want = {(r["item_id"], r["doc_id"]): r["score"] for r in text.keyword_scores(d, q, "doc_id", "item_id").collect()}
+    for sent in (0, 12, 1000):
+        monkeypatch.setattr(search, "SENT_TERMS", sent)
+        monkeypatch.setattr(search, "TERM_BLOCK", 200)
+        monkeypatch.setattr(search, "WORD_QUERY_BLOCK", 4)
+        words = search.Keywords(d, q, "doc_id", "item_id")
+        assert words.doc_blocks > 1 and words.query_blocks == 3 and words.rows.count() == 40 * 3
+        got = {(r["item_id"], r["doc_id"]): r["score"] for r in search.best(words, 100).collect()}
+        assert got.keys() == want.keys() and got == pytest.approx(want, abs=2e-6)

@@ -3,7 +3,7 @@
 Documents are dealt into blocks by their key and queries into blocks of their own; a task scores one block of each and hands on a few rows per query, so
 no pair of a query and a document ever becomes a row.
 
-* **Keywords.** A block has one list per term: its documents with their weights, the greatest first, so the first weight bounds the list. Lists
+* **Keywords.** A block gets its documents' query terms and makes one list per term: documents with their weights, the greatest first, so the first weight bounds the list. Lists
   are added in the order of their bounds. Once what the remaining lists can add is below the k-th best score so far, no new document is
   taken up, and documents that can no longer reach it are dropped (max-score).
 * **Vectors.** One matrix product per pair of blocks.
@@ -21,12 +21,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillwatch.functions.prefix import numbered
 from tillwatch.functions.tables import union_on
-from tillwatch.operators.text import RRF, TOP_K, document_frequencies, terms, top_k
+from tillwatch.operators.text import RRF, TOP_K, counted_terms, term_hashes, terms, top_k, word_lists
 from tillwatch.session import write_shared
 
-#: Documents and queries of a block.
-DOC_BLOCK, QUERY_BLOCK = 8192, 256
+#: Documents of a block, their query terms, queries with vectors, and queries with words.
+DOC_BLOCK, TERM_BLOCK, QUERY_BLOCK, WORD_QUERY_BLOCK = 8192, 1 << 21, 256, 4096
+#: Terms whose idf is sent to every task (24 MB), the most frequent ones; the others are joined.
+SENT_TERMS = 1 << 20
 #: Scores this close may change places by rounding.
 _SLACK = 1.1e-6
 
@@ -36,17 +39,50 @@ Found = tuple[object, np.ndarray, np.ndarray]
 
 # ---------------------------------------------------------------- tables
 
-def weighted_terms(docs: DataFrame, key: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """((key, term, weight), (term, idf)): tf-idf weights of documents of length one, tf = 1 + ln n, idf = ln((1 + N) / (1 + df)) + 1. Stored.
+def weighted_terms(docs: DataFrame, key: str, asked: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """((key, norm, terms, counts), (term, number, idf)): of each document the length of its tf-idf vector (tf = 1 + ln n, idf = ln((1 + N) / (1 + df)) + 1)
+    and its terms among ``asked`` (term), by number; of these their idf. Stored.
 
-    Texts are shuffled once, whole; their terms are then counted where they are.
+    Terms are compared by 64-bit hashes and never leave their document one by one: the most frequent ones are looked up in a sent table, only the others
+    are joined. Texts are shuffled once, whole.
     """
-    counted = write_shared(terms(docs.select(key, text).repartition(key), key, text), "postings")
-    idf = write_shared(document_frequencies(counted, docs), "idf")
-    raw = counted.join(idf, "term").select(key, "term", ((1 + F.ln("n")) * F.col("idf")).alias("w"))
-    raw = write_shared(raw, "weights")
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.pow("w", 2))).alias("norm"))
-    return write_shared(raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight")), "weights"), idf
+    n_docs = docs.agg(F.count("*")).scalar()
+    words = write_shared(word_lists(docs, key, text).withColumn("at", F.monotonically_increasing_id()), "words")
+    df = words.select(F.explode(F.array_distinct(term_hashes("words"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = df.select("term", "df", (F.ln((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = write_shared(idf.join(numbered(asked, [F.col("term")], "number"), "term", "left"), "idf")
+    level = F.floor(F.log2("df") * 16)
+    least, left = None, SENT_TERMS
+    for r in idf.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():  # a few hundred rows
+        least, left = (r["level"], left - r["n"]) if r["n"] <= left else (least, 0)
+    often = F.lit(False) if least is None else level >= least
+    sent = idf.where(often).select("term", "idf", F.coalesce("number", F.lit(-1)).alias("number")).toPandas().sort_values("term")
+    sent = docs.sparkSession.sparkContext.broadcast([sent[c].to_numpy() for c in sent])
+    kind = words.schema[key].dataType.simpleString()
+
+    def look_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, idfs, numbers = sent.value
+        for f in frames:
+            out = []
+            for hashes in f["hashes"]:
+                h, n = np.unique(hashes, return_counts=True)
+                i = np.minimum(np.searchsorted(names, h), max(0, len(names) - 1))
+                known = names[i] == h if len(names) else np.zeros(len(h), bool)
+                i, m = i[known], n[known]
+                wanted = numbers[i] >= 0
+                out.append((float(np.square((1 + np.log(m)) * idfs[i]).sum()), numbers[i][wanted], m[wanted], h[~known], n[~known]))
+            yield f[["at", key]].assign(**dict(zip(("square", "terms", "counts", "rare", "rare_counts"), map(list, zip(*out)))))
+    lists = "square double, terms array<bigint>, counts array<bigint>, rare array<bigint>, rare_counts array<bigint>"
+    looked = words.select("at", key, term_hashes("words").alias("hashes")).mapInPandas(look_up, f"at bigint, {key} {kind}, {lists}")
+    looked = write_shared(looked, "looked-up")
+    rare = looked.select("at", F.inline(F.arrays_zip(F.col("rare").alias("term"), F.col("rare_counts").alias("n")))).join(idf.where(~often), "term")
+    squares = rare.groupBy("at").agg(F.sum(F.pow((1 + F.ln("n")) * F.col("idf"), 2)).alias("more"))
+    found = rare.where(F.col("number").isNotNull()).groupBy("at").agg(F.collect_list("number").alias("t"), F.collect_list("n").alias("c"))
+    both = looked.drop("rare", "rare_counts").join(squares, "at", "left").join(found, "at", "left")
+    none = F.array().cast("array<bigint>")
+    rows = both.select(key, F.sqrt(F.col("square") + F.coalesce("more", F.lit(0.0))).alias("norm"), F.concat("terms", F.coalesce("t", none)).alias("terms"),
+                       F.concat("counts", F.coalesce("c", none)).alias("counts"))
+    return write_shared(rows.where(F.size("terms") > 0), "document-terms"), write_shared(idf.where(F.col("number").isNotNull()).select("term", "number", "idf"), "query-idf")
 
 
 class PostingsStore:
@@ -90,6 +126,10 @@ def _block(key: str, count: int):
     return F.pmod(F.xxhash64(key), F.lit(max(1, count))).cast("int")
 
 
+def _every(count: int):
+    return F.explode(F.sequence(F.lit(0), F.lit(max(1, count) - 1)))
+
+
 def _blocks(df: DataFrame, key: str, size: int) -> int:
     return -(-df.select(key).distinct().count() // size)
 
@@ -99,30 +139,39 @@ class Keywords:
 
     def __init__(self, docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, text: str = "text"):
         self.doc_key, self.query_key = doc_key, query_key
-        weights, idf = weighted_terms(docs.where(F.col(doc_key).isNotNull()), doc_key, text)
-        self.doc_blocks, query_blocks = _blocks(weights, doc_key, DOC_BLOCK), _blocks(queries, query_key, QUERY_BLOCK)
-        q = terms(queries.where(F.col(query_key).isNotNull()), query_key, text).join(idf, "term").withColumn("w", (1 + F.ln("n")) * F.col("idf"))
-        qn = q.groupBy(query_key).agg(F.sqrt(F.sum(F.pow("w", 2))).alias("norm"))
-        q = write_shared(q.join(qn, query_key).select(F.col(query_key).alias("query"), "term", (F.col("w") / F.col("norm")).alias("w")), "query-terms")
-        q = q.withColumn("query_block", _block("query", query_blocks))
-        self.queries = write_shared(q.groupBy("query_block", "query").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("weights")), "queries")
-        wanted = q.select("term", "query_block").distinct()
-        lists = weights.join(q.select("term").distinct(), "term").groupBy(_block(doc_key, self.doc_blocks).alias("block"), "term").agg(
-            F.sort_array(F.collect_list(F.struct("weight", F.col(doc_key).alias("doc"))), False).alias("l"))  # of one block's documents
-        self.rows = write_shared(lists.select("block", "term", F.col("l.doc").alias("docs"), F.col("l.weight").alias("weights")).join(wanted, "term"), "lists")
-        self.doc_type = weights.schema[doc_key].dataType.simpleString()
+        q = terms(queries.where(F.col(query_key).isNotNull()), query_key, text).select(query_key, F.xxhash64("term").alias("term"), "n")
+        q = write_shared(q, "query-terms")
+        rows, idf = weighted_terms(docs.where(F.col(doc_key).isNotNull()), doc_key, q.select("term").distinct(), text)
+        n_rows, n_terms = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+        self.doc_blocks, self.query_blocks = max(-(-n_rows // DOC_BLOCK), -(-n_terms // TERM_BLOCK)), _blocks(queries, query_key, WORD_QUERY_BLOCK)
+        q = q.join(idf, "term").withColumn("w", (1 + F.ln("n")) * F.col("idf"))
+        q = q.groupBy(F.col(query_key).alias("query")).agg(F.sqrt(F.sum(F.pow("w", 2))).alias("norm"), F.collect_list(F.struct("number", "w", "idf")).alias("t"))
+        self.queries = write_shared(q.select(_block("query", self.query_blocks).alias("query_block"), "query", F.col("t.number").alias("terms"),
+                                             F.transform("t", lambda x: x["w"] / F.col("norm")).alias("weights"), F.col("t.idf").alias("idfs")), "queries")
+        self.rows = rows.select(_block(doc_key, self.doc_blocks).alias("block"), F.col(doc_key).alias("doc"), "norm", "terms", "counts", _every(self.query_blocks).alias("query_block"))
+        self.doc_type = rows.schema[doc_key].dataType.simpleString()
 
     @staticmethod
-    def _lists(rows: pd.DataFrame) -> tuple[np.ndarray, dict]:
-        docs = [np.asarray(d) for d in rows["docs"]]
-        ids, place = np.unique(np.concatenate(docs), return_inverse=True)
-        cuts = np.cumsum([len(d) for d in docs])[:-1]
-        return ids, dict(zip(rows["term"], zip(np.split(place, cuts), map(np.asarray, rows["weights"]))))
+    def _lists(queries: pd.DataFrame, rows: pd.DataFrame) -> tuple[np.ndarray, dict]:
+        """Documents in order, and for every term of the queries its documents' places and weights, the greatest first."""
+        rows = rows.sort_values("doc")
+        asked, first = np.unique(np.concatenate(queries["terms"].to_list()), return_index=True)
+        idf = np.concatenate(queries["idfs"].to_list())[first]
+        numbers, counts = np.concatenate(rows["terms"].to_list()), np.concatenate(rows["counts"].to_list())
+        place = np.repeat(np.arange(len(rows)), rows["terms"].map(len))
+        at = np.minimum(np.searchsorted(asked, numbers), len(asked) - 1)
+        keep = asked[at] == numbers
+        at, place, counts = at[keep], place[keep], counts[keep]
+        impact = (1 + np.log(counts)) * idf[at] / rows["norm"].to_numpy()[place]
+        order = np.lexsort((-impact, at))
+        at, place, impact = at[order], place[order], impact[order]
+        found, cuts = np.unique(at, return_index=True)
+        return rows["doc"].to_numpy(), dict(zip(asked[found], zip(np.split(place, cuts[1:]), np.split(impact, cuts[1:]))))
 
     @classmethod
     def scored(cls, queries: pd.DataFrame, rows: pd.DataFrame, k: int | None) -> Iterator[Found]:
         """(query, documents, scores) of every query: of all documents that share a term, or only of those that can be among the first k."""
-        ids, lists = cls._lists(rows)
+        ids, lists = cls._lists(queries, rows)
         total, seen = np.zeros(len(ids)), np.zeros(len(ids), bool)
         for query, names, weights in zip(queries["query"], queries["terms"], queries["weights"]):
             found = sorted(((w * lists[t][1][0], w, *lists[t]) for t, w in zip(names, weights) if t in lists), key=lambda x: -x[0])
@@ -150,11 +199,10 @@ class Vectors:
 
     def __init__(self, vectors: DataFrame, queries: DataFrame, doc_key: str, query_key: str):
         self.doc_key, self.query_key = doc_key, query_key
-        self.doc_blocks, query_blocks = _blocks(vectors, doc_key, DOC_BLOCK), _blocks(queries, query_key, QUERY_BLOCK)
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
-        self.queries = queries.select(F.col(query_key).alias("query"), F.col("embedding").alias("asked"), _block(query_key, query_blocks).alias("query_block"))
+        self.doc_blocks, self.query_blocks = _blocks(vectors, doc_key, DOC_BLOCK), _blocks(queries, query_key, QUERY_BLOCK)
+        self.queries = queries.select(F.col(query_key).alias("query"), F.col("embedding").alias("asked"), _block(query_key, self.query_blocks).alias("query_block"))
         self.queries = self.queries.dropDuplicates(["query"])
-        self.rows = vectors.select(F.col(doc_key).alias("doc"), F.col("embedding").alias("embedding"), _block(doc_key, self.doc_blocks).alias("block"), every(query_blocks).alias("query_block"))
+        self.rows = vectors.select(F.col(doc_key).alias("doc"), F.col("embedding").alias("embedding"), _block(doc_key, self.doc_blocks).alias("block"), _every(self.query_blocks).alias("query_block"))
         self.doc_type = vectors.schema[doc_key].dataType.simpleString()
 
     @staticmethod
@@ -174,8 +222,10 @@ Source = Keywords | Vectors
 def _tasks(source: Source, queries: DataFrame, task: Callable[[Found, object], pd.DataFrame | None], schema: str, k: int | None = None) -> DataFrame:
     """``task`` of every query with every block of documents. ``queries`` may carry further columns for the task."""
     scored, names = source.scored, [c.split(" ")[0] for c in schema.split(", ")]
-    every = F.explode(F.sequence(F.lit(0), F.lit(max(1, source.doc_blocks) - 1)))
     keys = ["block", "query_block"]
+    # a task for every pair of blocks, so that a task's memory does not grow with the input
+    tasks = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), source.doc_blocks * source.query_blocks)
+    asked, rows = queries.withColumn("block", _every(source.doc_blocks)).repartition(tasks, *keys), source.rows.repartition(tasks, *keys)
 
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -185,7 +235,7 @@ def _tasks(source: Source, queries: DataFrame, task: Callable[[Found, object], p
                 out.append(task(found, about.loc[found[0]]))
         out = [x for x in out if x is not None and len(x)]
         return pd.concat(out) if out else pd.DataFrame({n: [] for n in names})
-    return queries.withColumn("block", every).groupBy(*keys).cogroup(source.rows.groupBy(*keys)).applyInPandas(run, schema)
+    return asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(run, schema)
 
 
 def best(source: Source, k: int = TOP_K) -> DataFrame:

@@ -108,10 +108,38 @@ def terms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     A document's words are all in its own task, so the map-side step already counts them.
     """
-    d = docs.select(key, F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)).alias("w"))
-    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.size("w")),
+    d = docs.select(key, _words(F.col(text)).alias("w"))
+    return d.select(key, F.explode(_grams(F.col("w"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
+def _grams(words: Column) -> Column:
+    """Words and pairs of neighbouring words."""
+    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)),
                        lambda a, b: F.concat_ws(" ", a, b))
-    return d.select(key, F.explode(F.concat("w", pairs)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    return F.concat(words, pairs)
+
+
+def counted_terms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, terms, counts): the terms of each row's text in order and how often they occur, counted within the row; rows without words are left out."""
+    d = docs.select(key, _words(F.col(text)).alias("w")).where(F.size("w") > 0).select(key, F.sort_array(_grams(F.col("w"))).alias("g"))
+    first = F.filter(F.sequence(F.lit(1), F.size("g")), lambda i: (i == 1) | (F.get("g", i - 1) != F.get("g", i - 2)))
+    d = d.select(key, "g", first.alias("at"))
+    ends = F.concat(F.slice("at", 2, F.size("at")), F.array(F.size("g") + 1))
+    return d.select(key, F.transform("at", lambda i: F.get("g", i - 1)).alias("terms"), F.zip_with("at", ends, lambda a, b: (b - a).cast("bigint")).alias("counts"))
+
+
+def word_lists(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, words): one row per key with the lower-cased words of each of its texts. Texts are shuffled once, whole."""
+    return docs.groupBy(key).agg(F.collect_list(text).alias("t")).select(key, F.transform("t", _words).alias("words"))
+
+
+def term_hashes(words: str) -> Column:
+    """64-bit hashes of all words and pairs of neighbouring words in a column of ``word_lists``."""
+    return F.flatten(F.transform(words, lambda w: F.transform(_grams(w), lambda g: F.xxhash64(g))))
 
 
 def document_frequencies(terms_of_docs: DataFrame, docs: DataFrame) -> DataFrame:
