@@ -208,3 +208,15 @@ def test_keyword_search_keeps_one_row_per_document(spark, monkeypatch):
         assert words.doc_blocks > 1 and words.query_blocks == 3 and words.rows.count() == 40 * 3
         got = {(r["item_id"], r["doc_id"]): r["score"] for r in search.best(words, 100).collect()}
         assert got.keys() == want.keys() and got == pytest.approx(want, abs=2e-6)
+
+
+def test_postings_are_stored_by_passage(spark, tmp_path):
+    store = search.PostingsStore(spark, str(tmp_path / "index"))
+    p = spark.createDataFrame([("a", "x y x y z"), ("a", "x y x y z"), ("b", ""), ("c", None), (None, "x")], "key string, text string")
+    store.refresh(p, 1)
+    assert spark.read.parquet(str(tmp_path / "index/postings/version=1")).count() == 1  # a row per passage, not per term
+    want = [("a", "x", 2), ("a", "x y", 2), ("a", "y", 2), ("a", "y x", 1), ("a", "y z", 1), ("a", "z", 1)]
+    assert sorted(map(tuple, store.postings().collect())) == want
+    assert sorted(r["key"] for r in store.alive().collect()) == ["a", "b", "c"]
+    store.refresh(p.where("key = 'b'"), 2)
+    assert store.postings().count() == 0 and [tuple(r) for r in store.alive().collect()] == [("b", 1)]

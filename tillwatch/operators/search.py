@@ -109,17 +109,24 @@ class PostingsStore:
         return last.where("e.came").select("key", "e.version")
 
     def refresh(self, passages: DataFrame, version: int) -> None:
-        """Make ``passages`` (key, text) the content of the store; versions count from 1."""
-        now = write_shared(passages.dropDuplicates(["key"]), "passages")
-        there = write_shared(self.alive(version).select("key"), "alive")
-        new, gone = now.join(there, "key", "left_anti"), there.join(now, "key", "left_anti")
-        terms(new.repartition("key"), "key").write.mode("overwrite").parquet(f"{self.root}/postings/version={version}")
-        events = union_on([new.select("key", F.lit(True).alias("came")), gone.select("key", F.lit(False).alias("came"))], "key")
+        """Make ``passages`` (key, text) the content of the store; versions count from 1.
+
+        Passages meet the keys that are there in the shuffle that drops repeated ones; only texts of new keys go on.
+        """
+        here, there = F.lit(True).alias("here"), F.lit(True).alias("there")
+        nothing = F.lit(None).cast("boolean")
+        now = passages.where(F.col("key").isNotNull()).select("key", "text", here, nothing.alias("there"))
+        stored = self.alive(version).select("key", F.lit(None).cast("string").alias("text"), nothing.alias("here"), there)
+        keys = union_on([now, stored], "key").groupBy("key").agg(F.max("text").alias("text"), F.max("here").alias("here"), F.max("there").alias("there"))
+        keys = write_shared(keys.where(F.col("here").isNull() | F.col("there").isNull()), "changes")
+        counted_terms(keys.where("here"), "key").write.mode("overwrite").parquet(f"{self.root}/postings/version={version}")
+        events = keys.select("key", F.coalesce("here", F.lit(False)).alias("came"))
         events.write.mode("overwrite").parquet(f"{self.root}/events/version={version}")
 
     def postings(self) -> DataFrame:
         """key, term, n of the passages that are there."""
-        return self._read("postings", "key string, term string, n bigint").join(self.alive(), ["key", "version"], "left_semi").drop("version")
+        lists = self._read("postings", "key string, terms array<string>, counts array<bigint>").join(self.alive(), ["key", "version"], "left_semi")
+        return lists.select("key", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("counts").alias("n"))))
 
 
 def _block(key: str, count: int):
