@@ -137,6 +137,11 @@ def test_customer_mart_carries_the_model_score(spark, tickets):
     assert "rule: recency" in got and all(0 <= r["auc"] <= 1 and r["n_top"] > 0 for r in got.values())
 
 
+def test_the_fact_is_joined_once(spark):
+    """Queries that read the fact many times read a stored copy."""
+    assert not [f for f in catalog.QUERIES["training_set"](spark, SF).inputFiles() if "lineitem" in f]
+
+
 def test_delivered_files_are_read_where_they_lie(spark, monkeypatch):
     calls, history = [], catalog.tpch.ticket_history
     monkeypatch.setattr(catalog.tpch, "ticket_history", lambda *a: calls.append(a) or history(*a))
