@@ -3,8 +3,10 @@
 import math
 import random
 import re
+from collections import Counter
 from itertools import permutations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,6 +212,38 @@ def test_keyword_search_keeps_one_row_per_document(spark, monkeypatch):
         assert got.keys() == want.keys() and got == pytest.approx(want, abs=2e-6)
 
 
+def test_longer_texts_mean_more_tasks_of_terms(spark, monkeypatch):
+    """What cuts, counts and looks up terms gets a task for every TASK_CHARS characters, and a task adds up no more than HELD_TERMS at a time."""
+    rnd = random.Random(6)
+    some = lambda n: " ".join(f"w{rnd.randrange(300)}" for _ in range(n))
+    rows = [(i, some(40)) for i in range(80)] + [(7, some(9)), (90, None), (91, "")]
+    d, q = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(i, some(6)) for i in range(5)], "item_id bigint, text string")
+    files, tasks, store = {}, -(-sum(len(t or "") for _, t in rows) // 500), search.write_shared
+
+    def stored(df, name):
+        out = store(df, name)
+        files[name] = len(out.inputFiles())
+        return out
+    monkeypatch.setattr(search, "write_shared", stored)
+    monkeypatch.setattr(search, "TASK_CHARS", 500)
+    monkeypatch.setattr(search, "HELD_TERMS", 50)
+    monkeypatch.setattr(search, "SENT_TERMS", 100)
+    got = {(r["item_id"], r["doc_id"]): r["score"] for r in search.best(search.Keywords(d, q, "doc_id", "item_id"), 100).collect()}
+    assert files["idf"] == tasks > 20 and files["looked-up"] > 15  # files hold rows: a few of the tasks got no document
+    want = {(r["item_id"], r["doc_id"]): r["score"] for r in text.keyword_scores(d, q, "doc_id", "item_id").collect()}
+    assert got.keys() == want.keys() and got == pytest.approx(want, abs=2e-6)
+
+
+def test_equal_terms_are_added_up_some_at_a_time():
+    parts = [[5, 5, -1], [5, 2], [], [2, 2, 9, -1], [9]]
+    out = list(search._added_up(4)(pa.record_batch([pa.array(p, pa.int64())], ["term"]) for p in parts))
+    assert [o.to_pydict() for o in out] == [{"term": [-1, 2, 5], "n": [1, 1, 3]}, {"term": [-1, 2, 9], "n": [1, 2, 1]}, {"term": [9], "n": [1]}]
+    total = Counter()
+    for o in out:
+        total.update(dict(zip(o["term"].to_pylist(), o["n"].to_pylist())))
+    assert total == Counter(sum(parts, [])) and list(search._added_up(4)(iter([]))) == []
+
+
 def test_postings_are_stored_by_passage(spark, tmp_path):
     store = search.PostingsStore(spark, str(tmp_path / "index"))
     p = spark.createDataFrame([("a", "x y x y z"), ("a", "x y x y z"), ("b", ""), ("c", None), (None, "x")], "key string, text string")

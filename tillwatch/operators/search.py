@@ -15,9 +15,11 @@ Scores are rounded to six digits, greater scores first, ties by the document's k
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ from tillwatch.session import write_shared
 DOC_BLOCK, TERM_BLOCK, QUERY_BLOCK, WORD_QUERY_BLOCK = 8192, 1 << 21, 256, 4096
 #: Terms whose idf is sent to every task (24 MB), the most frequent ones; the others are joined.
 SENT_TERMS = 1 << 20
+#: Characters of text for each task that cuts, counts or joins terms, and terms a task holds to add up equal ones.
+TASK_CHARS, HELD_TERMS = 1 << 22, 1 << 21
 #: Scores this close may change places by rounding.
 _SLACK = 1.1e-6
 
@@ -39,16 +43,33 @@ Found = tuple[object, np.ndarray, np.ndarray]
 
 # ---------------------------------------------------------------- tables
 
+def _added_up(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(term, n) from a column of terms: equal terms of a task are added up, about ``most`` at a time, so that it never holds more."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in chain(batches, [None]):
+            if b is not None:
+                held.append(b.column(0).to_numpy())
+                size += b.num_rows
+            if size and (b is None or size >= most):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(held), return_counts=True)], ["term", "n"])
+                held, size = [], 0
+    return run
+
+
 def weighted_terms(docs: DataFrame, key: str, asked: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """((key, norm, terms, counts), (term, number, idf)): of each document the length of its tf-idf vector (tf = 1 + ln n, idf = ln((1 + N) / (1 + df)) + 1)
     and its terms among ``asked`` (term), by number; of these their idf. Stored.
 
     Terms are compared by 64-bit hashes and never leave their document one by one: the most frequent ones are looked up in a sent table, only the others
-    are joined. Texts are shuffled once, whole.
+    are joined. The number of tasks follows the length of all texts, so that a task's memory does not grow with the input: texts are shuffled whole, once to count
+    terms and once to look them up, and what comes out of a shuffle goes on within its task.
     """
-    n_docs = docs.agg(F.count("*")).scalar()
-    words = write_shared(word_lists(docs, key, text).withColumn("at", F.monotonically_increasing_id()), "words")
-    df = words.select(F.explode(F.array_distinct(term_hashes("words"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    n_docs, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.length(text)), F.lit(0))).first()
+    tasks = max(-(-chars // TASK_CHARS), docs.sparkSession.sparkContext.defaultParallelism)
+    words = word_lists(docs.select(key, text).repartition(tasks, key), key, text)
+    df = words.select(F.explode(F.array_distinct(term_hashes("words"))).alias("term")).mapInArrow(_added_up(HELD_TERMS), "term bigint, n bigint")
+    df = df.repartition(tasks, "term").groupBy("term").agg(F.sum("n").alias("df"))
     idf = df.select("term", "df", (F.ln((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
     idf = write_shared(idf.join(numbered(asked, [F.col("term")], "number"), "term", "left"), "idf")
     level = F.floor(F.log2("df") * 16)
@@ -56,9 +77,9 @@ def weighted_terms(docs: DataFrame, key: str, asked: DataFrame, text: str = "tex
     for r in idf.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():  # a few hundred rows
         least, left = (r["level"], left - r["n"]) if r["n"] <= left else (least, 0)
     often = F.lit(False) if least is None else level >= least
-    sent = idf.where(often).select("term", "idf", F.coalesce("number", F.lit(-1)).alias("number")).toPandas().sort_values("term")
-    sent = docs.sparkSession.sparkContext.broadcast([sent[c].to_numpy() for c in sent])
-    kind = words.schema[key].dataType.simpleString()
+    sent = idf.where(often).select("term", "idf", F.coalesce("number", F.lit(-1)).alias("number")).toArrow().sort_by("term")
+    sent = docs.sparkSession.sparkContext.broadcast([c.to_numpy() for c in sent.columns])
+    kind = docs.schema[key].dataType.simpleString()
 
     def look_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, idfs, numbers = sent.value
@@ -73,9 +94,10 @@ def weighted_terms(docs: DataFrame, key: str, asked: DataFrame, text: str = "tex
                 out.append((float(np.square((1 + np.log(m)) * idfs[i]).sum()), numbers[i][wanted], m[wanted], h[~known], n[~known]))
             yield f[["at", key]].assign(**dict(zip(("square", "terms", "counts", "rare", "rare_counts"), map(list, zip(*out)))))
     lists = "square double, terms array<bigint>, counts array<bigint>, rare array<bigint>, rare_counts array<bigint>"
-    looked = words.select("at", key, term_hashes("words").alias("hashes")).mapInPandas(look_up, f"at bigint, {key} {kind}, {lists}")
+    looked = words.select(F.monotonically_increasing_id().alias("at"), key, term_hashes("words").alias("hashes")).mapInPandas(look_up, f"at bigint, {key} {kind}, {lists}")
     looked = write_shared(looked, "looked-up")
-    rare = looked.select("at", F.inline(F.arrays_zip(F.col("rare").alias("term"), F.col("rare_counts").alias("n")))).join(idf.where(~often), "term")
+    rare = looked.select("at", F.inline(F.arrays_zip(F.col("rare").alias("term"), F.col("rare_counts").alias("n")))).repartition(tasks, "term")
+    rare = rare.join(idf.where(~often).select("term", "idf", "number").repartition(tasks, "term"), "term")
     squares = rare.groupBy("at").agg(F.sum(F.pow((1 + F.ln("n")) * F.col("idf"), 2)).alias("more"))
     found = rare.where(F.col("number").isNotNull()).groupBy("at").agg(F.collect_list("number").alias("t"), F.collect_list("n").alias("c"))
     both = looked.drop("rare", "rare_counts").join(squares, "at", "left").join(found, "at", "left")
