@@ -3,14 +3,17 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 from itertools import permutations
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tillwatch.operators import grounding, search, text
+from tillwatch.session import sparing
 
 
 def docs(spark, *rows):
@@ -254,3 +257,40 @@ def test_postings_are_stored_by_passage(spark, tmp_path):
     assert sorted(r["key"] for r in store.alive().collect()) == ["a", "b", "c"]
     store.refresh(p.where("key = 'b'"), 2)
     assert store.postings().count() == 0 and [tuple(r) for r in store.alive().collect()] == [("b", 1)]
+
+
+def test_shuffle_files_go_with_their_query(spark, tmp_path):
+    shuffled = lambda: set(re.findall(r"shuffle_\d+", spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks().mkString(" ")))
+    before = shuffled()
+    with pytest.raises(ZeroDivisionError), sparing(spark):
+        spark.range(50_000).repartition(7, "id").groupBy("id").count().write.parquet(str(tmp_path / "t"))
+        for _ in range(100):
+            if shuffled() <= before:
+                break
+            time.sleep(0.1)
+        assert shuffled() <= before and spark.read.parquet(str(tmp_path / "t")).count() == 50_000
+        1 / 0
+    assert spark.conf.get("spark.sql.parquet.compression.codec") == "snappy"
+
+
+def test_refreshing_leaves_only_the_index(spark, monkeypatch, tmp_path):
+    """What a version compares is dropped when it is there, terms share what they have in common, and who counts terms doesn't read them."""
+    tables, store = [], search.write_shared
+
+    def stored(df, name):
+        tables.append(store(df, name))
+        return tables[-1]
+    monkeypatch.setattr(search, "write_shared", stored)
+    index = search.PostingsStore(spark, str(tmp_path / "index"))
+    p = spark.createDataFrame([("a", "x y x y z"), ("b", ""), ("c", "z")], "key string, text string")
+    files = []
+    monkeypatch.setattr(search, "drop_shared", lambda df, drop=search.drop_shared: (files.extend(df.inputFiles()), drop(df)))
+    index.refresh(p, 1)
+    index.refresh(p.where("key <> 'c'"), 2)
+    assert len(tables) == 2 and files and not any(Path(f.removeprefix("file:")).exists() for f in files)
+    counts = index.postings().groupBy("key").agg(F.count("*").alias("terms"), F.sum("n").alias("n"))
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "counts:array" in plan and "terms:array" not in plan
+    assert [tuple(r) for r in counts.collect()] == [("a", 6, 9)]
+    assert {(r["term"], r["n"]) for r in index.postings().collect()} == {("x", 2), ("x y", 2), ("y", 2), ("y x", 1), ("y z", 1), ("z", 1)}
+    assert all(".zstd." in f for f in spark.read.parquet(str(tmp_path / "index/postings/version=1")).inputFiles())

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tillwatch.functions.prefix import numbered
 from tillwatch.functions.tables import union_on
 from tillwatch.operators.text import RRF, TOP_K, counted_terms, term_hashes, terms, top_k, word_lists
-from tillwatch.session import write_shared
+from tillwatch.session import drop_shared, sparing, write_shared
 
 #: Documents of a block, their query terms, queries with vectors, and queries with words.
 DOC_BLOCK, TERM_BLOCK, QUERY_BLOCK, WORD_QUERY_BLOCK = 8192, 1 << 21, 256, 4096
@@ -135,20 +135,27 @@ class PostingsStore:
 
         Passages meet the keys that are there in the shuffle that drops repeated ones; only texts of new keys go on.
         """
+        with sparing(self.spark):
+            self._refresh(passages, version)
+
+    def _refresh(self, passages: DataFrame, version: int) -> None:
         here, there = F.lit(True).alias("here"), F.lit(True).alias("there")
         nothing = F.lit(None).cast("boolean")
         now = passages.where(F.col("key").isNotNull()).select("key", "text", here, nothing.alias("there"))
         stored = self.alive(version).select("key", F.lit(None).cast("string").alias("text"), nothing.alias("here"), there)
         keys = union_on([now, stored], "key").groupBy("key").agg(F.max("text").alias("text"), F.max("here").alias("here"), F.max("there").alias("there"))
         keys = write_shared(keys.where(F.col("here").isNull() | F.col("there").isNull()), "changes")
-        counted_terms(keys.where("here"), "key").write.mode("overwrite").parquet(f"{self.root}/postings/version={version}")
+        # terms are in order: this version of the format stores of each what it doesn't share with the one before
+        lists = counted_terms(keys.where("here"), "key").write.mode("overwrite").option("parquet.writer.version", "PARQUET_2_0")
+        lists.parquet(f"{self.root}/postings/version={version}")
         events = keys.select("key", F.coalesce("here", F.lit(False)).alias("came"))
         events.write.mode("overwrite").parquet(f"{self.root}/events/version={version}")
+        drop_shared(keys)
 
     def postings(self) -> DataFrame:
-        """key, term, n of the passages that are there."""
+        """key, term, n of the passages that are there. Terms are picked behind the join: who doesn't read them doesn't shuffle them."""
         lists = self._read("postings", "key string, terms array<string>, counts array<bigint>").join(self.alive(), ["key", "version"], "left_semi")
-        return lists.select("key", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("counts").alias("n"))))
+        return lists.select("key", "terms", F.posexplode("counts").alias("at", "n")).select("key", F.get("terms", "at").alias("term"), "n")
 
 
 def _block(key: str, count: int):
