@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import permutations
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -294,3 +295,33 @@ def test_refreshing_leaves_only_the_index(spark, monkeypatch, tmp_path):
     assert [tuple(r) for r in counts.collect()] == [("a", 6, 9)]
     assert {(r["term"], r["n"]) for r in index.postings().collect()} == {("x", 2), ("x y", 2), ("y", 2), ("y x", 1), ("y z", 1), ("z", 1)}
     assert all(".zstd." in f for f in spark.read.parquet(str(tmp_path / "index/postings/version=1")).inputFiles())
+
+
+def test_whole_numbers_are_packed_and_come_back():
+    for columns in ([[], []], [[0], [2 ** 64 - 1]], [[5, 1, 2 ** 40, 2 ** 63], [1, 1, 1, 300]]):
+        arrays = [np.array(c, "<u8") for c in columns]
+        assert search._unpacked(search._packed(*arrays), 2, len(arrays[0])).tolist() == columns
+    many = np.sort(np.random.default_rng(3).integers(0, 2 ** 63, 20_000).astype("<u8"))
+    assert len(search._packed(np.diff(many, prepend=np.uint64(0)), np.ones_like(many))) < 8 * len(many)
+
+
+def test_terms_not_asked_for_are_not_stored(spark, monkeypatch, tmp_path):
+    """Of terms no query asks for neither a document's row nor the table of counts names any, and the counts go once they are used."""
+    rnd = random.Random(8)
+    some = lambda n: " ".join(f"w{rnd.randrange(3000)}" for _ in range(n))
+    rows = [(i, some(30)) for i in range(60)] + [(4, some(9)), (90, None), (91, ""), (None, "w1")]
+    d, q = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(i, some(5)) for i in range(7)], "item_id bigint, text string")
+    asked, kept, files, store = text.terms(q, "item_id").select("term").distinct().count(), {}, [], search.write_shared
+
+    def stored(df, name):
+        out = store(df, name)
+        kept[name] = (out.columns, out.where("term IS NOT NULL").count() if "term" in out.columns else 0)
+        files.extend(out.inputFiles() if name == "idf" else [])
+        return out
+    monkeypatch.setattr(search, "write_shared", stored)
+    monkeypatch.setattr(search, "TASK_CHARS", 300)
+    got = {(r["item_id"], r["doc_id"]): r["score"] for r in search.best(search.Keywords(d, q, "doc_id", "item_id"), 100).collect()}
+    want = {(r["item_id"], r["doc_id"]): r["score"] for r in text.keyword_scores(d.where("doc_id IS NOT NULL"), q, "doc_id", "item_id").collect()}
+    assert got.keys() == want.keys() and got == pytest.approx(want, abs=2e-6)
+    assert 0 < kept["idf"][1] < asked and kept["looked-up"][0] == ["doc_id", "norm", "terms", "counts"]
+    assert files and not any(Path(f.removeprefix("file:")).exists() for f in files)

@@ -30,9 +30,9 @@ from tillwatch.session import drop_shared, sparing, write_shared
 
 #: Documents of a block, their query terms, queries with vectors, and queries with words.
 DOC_BLOCK, TERM_BLOCK, QUERY_BLOCK, WORD_QUERY_BLOCK = 8192, 1 << 21, 256, 4096
-#: Terms whose idf is sent to every task (24 MB), the most frequent ones; the others are joined.
+#: Not used any more, as no term is sent to every task; tests still set it.
 SENT_TERMS = 1 << 20
-#: Characters of text for each task that cuts, counts or joins terms, and terms a task holds to add up equal ones.
+#: Characters of text for each chunk of documents and each range of hashes, and terms a task holds to add up equal ones.
 TASK_CHARS, HELD_TERMS = 1 << 22, 1 << 21
 #: Scores this close may change places by rounding.
 _SLACK = 1.1e-6
@@ -43,6 +43,13 @@ Found = tuple[object, np.ndarray, np.ndarray]
 
 # ---------------------------------------------------------------- tables
 
+def _with_counts(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order and how often each occurs."""
+    numbers = np.sort(numbers)
+    first = np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1])[:len(numbers)])
+    return numbers[first], np.diff(np.append(first, len(numbers)))
+
+
 def _added_up(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(term, n) from a column of terms: equal terms of a task are added up, about ``most`` at a time, so that it never holds more."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,59 +59,120 @@ def _added_up(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 held.append(b.column(0).to_numpy())
                 size += b.num_rows
             if size and (b is None or size >= most):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(held), return_counts=True)], ["term", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _with_counts(np.concatenate(held))], ["term", "n"])
                 held, size = [], 0
     return run
 
 
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers of one length, their bytes by place, compressed: small or sorted and subtracted numbers take few bytes."""
+    planes = np.stack([c.astype("<u8") for c in columns]).view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1)
+    return pa.compress(np.ascontiguousarray(planes), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, columns: int, size: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, columns * size * 8, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(columns, 8, size).transpose(0, 2, 1)).view("<u8").reshape(columns, size)
+
+
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The rows of a column of lists of 64-bit hashes, as unsigned numbers."""
+    return [x for c in column.chunks for x in map(c.values.to_numpy().view("<u8").__getitem__, map(slice, c.offsets.to_numpy()[:-1], c.offsets.to_numpy()[1:]))]
+
+
+def _counted(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of some documents in order, and in how many of them each occurs."""
+    some = ([_with_counts(d)[0] for d in documents[i:i + 256]] for i in range(0, len(documents), 256))
+    batches = (pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view("<i8"))], ["term"]) for x in some)
+    found = [[c.to_numpy() for c in b.columns] for b in _added_up(HELD_TERMS)(batches)]
+    if not found:
+        return np.zeros(0, "<u8"), np.zeros(0, "<u8")
+    names, n = np.concatenate([t for t, _ in found]).view("<u8"), np.concatenate([n for _, n in found])
+    order = np.argsort(names, kind="stable")  # signed runs in order: little is left to do
+    names, n = names[order], n[order]
+    first = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+    return names[first], np.add.reduceat(n, first).astype("<u8")
+
+
 def weighted_terms(docs: DataFrame, key: str, asked: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """((key, norm, terms, counts), (term, number, idf)): of each document the length of its tf-idf vector (tf = 1 + ln n, idf = ln((1 + N) / (1 + df)) + 1)
     and its terms among ``asked`` (term), by number; of these their idf. Stored.
 
-    Terms are compared by 64-bit hashes and never leave their document one by one: the most frequent ones are looked up in a sent table, only the others
-    are joined. The number of tasks follows the length of all texts, so that a task's memory does not grow with the input: texts are shuffled whole, once to count
-    terms and once to look them up, and what comes out of a shuffle goes on within its task.
+    Terms are compared by 64-bit hashes and never leave their document one by one. Documents are dealt into chunks, by their key, and hashes into ranges, as many
+    of each as the length of all texts asks for. A chunk sends each range its terms there, in order and packed, with their documents; the range adds up the chunks and answers
+    each with the terms' df and numbers, in the order they came, so that an answer names no term. Texts are shuffled whole, once to ask and once to use the answers.
     """
     n_docs, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.length(text)), F.lit(0))).first()
     tasks = max(-(-chars // TASK_CHARS), docs.sparkSession.sparkContext.defaultParallelism)
-    words = word_lists(docs.select(key, text).repartition(tasks, key), key, text)
-    df = words.select(F.explode(F.array_distinct(term_hashes("words"))).alias("term")).mapInArrow(_added_up(HELD_TERMS), "term bigint, n bigint")
-    df = df.repartition(tasks, "term").groupBy("term").agg(F.sum("n").alias("df"))
-    idf = df.select("term", "df", (F.ln((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
-    idf = write_shared(idf.join(numbered(asked, [F.col("term")], "number"), "term", "left"), "idf")
-    level = F.floor(F.log2("df") * 16)
-    least, left = None, SENT_TERMS
-    for r in idf.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():  # a few hundred rows
-        least, left = (r["level"], left - r["n"]) if r["n"] <= left else (least, 0)
-    often = F.lit(False) if least is None else level >= least
-    sent = idf.where(often).select("term", "idf", F.coalesce("number", F.lit(-1)).alias("number")).toArrow().sort_by("term")
-    sent = docs.sparkSession.sparkContext.broadcast([c.to_numpy() for c in sent.columns])
     kind = docs.schema[key].dataType.simpleString()
-
-    def look_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, idfs, numbers = sent.value
-        for f in frames:
-            out = []
-            for hashes in f["hashes"]:
-                h, n = np.unique(hashes, return_counts=True)
-                i = np.minimum(np.searchsorted(names, h), max(0, len(names) - 1))
-                known = names[i] == h if len(names) else np.zeros(len(h), bool)
-                i, m = i[known], n[known]
-                wanted = numbers[i] >= 0
-                out.append((float(np.square((1 + np.log(m)) * idfs[i]).sum()), numbers[i][wanted], m[wanted], h[~known], n[~known]))
-            yield f[["at", key]].assign(**dict(zip(("square", "terms", "counts", "rare", "rare_counts"), map(list, zip(*out)))))
-    lists = "square double, terms array<bigint>, counts array<bigint>, rare array<bigint>, rare_counts array<bigint>"
-    looked = words.select(F.monotonically_increasing_id().alias("at"), key, term_hashes("words").alias("hashes")).mapInPandas(look_up, f"at bigint, {key} {kind}, {lists}")
-    looked = write_shared(looked, "looked-up")
-    rare = looked.select("at", F.inline(F.arrays_zip(F.col("rare").alias("term"), F.col("rare_counts").alias("n")))).repartition(tasks, "term")
-    rare = rare.join(idf.where(~often).select("term", "idf", "number").repartition(tasks, "term"), "term")
-    squares = rare.groupBy("at").agg(F.sum(F.pow((1 + F.ln("n")) * F.col("idf"), 2)).alias("more"))
-    found = rare.where(F.col("number").isNotNull()).groupBy("at").agg(F.collect_list("number").alias("t"), F.collect_list("n").alias("c"))
-    both = looked.drop("rare", "rare_counts").join(squares, "at", "left").join(found, "at", "left")
-    none = F.array().cast("array<bigint>")
-    rows = both.select(key, F.sqrt(F.col("square") + F.coalesce("more", F.lit(0.0))).alias("norm"), F.concat("terms", F.coalesce("t", none)).alias("terms"),
-                       F.concat("counts", F.coalesce("c", none)).alias("counts"))
-    return write_shared(rows.where(F.size("terms") > 0), "document-terms"), write_shared(idf.where(F.col("number").isNotNull()).select("term", "number", "idf"), "query-idf")
+    chunk = F.pmod(F.xxhash64(key), F.lit(tasks)).cast("int")
+    words = word_lists(docs.select(chunk.alias("__chunk"), key, text).repartitionById(tasks, F.col("__chunk")), "__chunk", key, text=text)
+    words = words.select("__chunk", key, term_hashes("words").alias("hashes"))
+
+    def ask(table: pa.Table) -> pa.Table:
+        names, n = _counted(_lists(table["hashes"]))
+        cuts = np.searchsorted((names >> np.uint64(32)) * np.uint64(tasks) >> np.uint64(32), np.arange(tasks + 1, dtype="<u8"))
+        parts = [(r, a, b) for r, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if a < b]
+        data = [_packed(np.diff(names[a:b], prepend=np.uint64(0)), n[a:b]) for _, a, b in parts]
+        return pa.table({"range": pa.array([r for r, _, _ in parts], pa.int32()), "chunk": pa.array([table["__chunk"][0].as_py()] * len(parts), pa.int32()),
+                         "size": pa.array([b - a for _, a, b in parts], pa.int32()), "data": pa.array(data, pa.binary())})
+
+    def answer(table: pa.Table) -> pa.Table:
+        wanted = table.filter(table["chunk"].is_null())
+        order = np.argsort(names := wanted["term"].to_numpy().view("<u8"))
+        names, numbers = names[order], wanted["number"].to_numpy()[order]
+        parts = table.filter(table["chunk"].is_valid())
+        sizes = parts["size"].to_pylist()
+        sent = [_unpacked(d, 2, n) for d, n in zip(parts["data"].to_pylist(), sizes)]
+        terms, at = np.unique(np.concatenate([np.cumsum(x[0], dtype="<u8") for x in sent] or [np.zeros(0, "<u8")]), return_inverse=True)
+        df = np.bincount(at, np.concatenate([x[1] for x in sent] or [np.zeros(0)]), len(terms)).astype("<i8")
+        number = np.zeros(len(terms), "<i8")  # from 1; 0: not asked for
+        place = np.searchsorted(terms, names)
+        known = np.append(terms, np.uint64(0))[place] == names
+        known &= place < len(terms)
+        number[place[known]] = numbers[known] + 1
+        ends = np.cumsum(sizes, dtype=int)
+        data = [_packed(df[i], number[i]) for i in (at[e - n:e] for e, n in zip(ends, sizes))]
+        n_parts, n_known = len(sizes), int(known.sum())
+        none = lambda n, kind: pa.nulls(n, kind)
+        both = lambda *parts: pa.chunked_array(list(parts))
+        return pa.table({"range": both(parts["range"].combine_chunks(), none(n_known, pa.int32())), "chunk": both(parts["chunk"].combine_chunks(), none(n_known, pa.int32())),
+                         "size": both(parts["size"].combine_chunks(), none(n_known, pa.int32())), "data": both(pa.array(data, pa.binary()), none(n_known, pa.binary())),
+                         "term": both(none(n_parts, pa.int64()), pa.array(names[known].view("<i8"))), "number": both(none(n_parts, pa.int64()), pa.array(numbers[known])),
+                         "df": both(none(n_parts, pa.int64()), pa.array(df[place[known]]))})
+    sent = words.groupBy("__chunk").applyInArrow(ask, "range int, chunk int, size int, data binary")
+    sent = sent.withColumns({"term": F.lit(None).cast("bigint"), "number": F.lit(None).cast("bigint")})
+    none = F.lit(None)
+    place = F.shiftright(F.shiftrightunsigned("term", 32) * F.lit(tasks).cast("bigint"), 32).cast("int")
+    asked = numbered(asked, [F.col("term")], "number").select(place.alias("range"), none.cast("int").alias("chunk"), none.cast("int").alias("size"),
+                                                              none.cast("binary").alias("data"), "term", "number")
+    parts = sent.unionByName(asked).repartitionById(tasks, F.col("range")).groupBy("range")
+    idf = write_shared(parts.applyInArrow(answer, "range int, chunk int, size int, data binary, term bigint, number bigint, df bigint"), "idf")
+
+    def look_up(table: pa.Table, answers: pa.Table) -> pa.Table:
+        counted = [_with_counts(d) for d in _lists(table["hashes"])]
+        names = _with_counts(np.concatenate([h for h, _ in counted] or [np.zeros(0, "<u8")]))[0]
+        answers = answers.sort_by("range")
+        got = [_unpacked(d, 2, n).astype("<i8") for d, n in zip(answers["data"].to_pylist(), answers["size"].to_pylist())]
+        df, number = np.concatenate(got or [np.zeros((2, 0), "<i8")], axis=1)
+        if len(df) != len(names):
+            raise ValueError("the texts changed while they were read")
+        at = np.concatenate([np.searchsorted(names, h) for h, _ in counted] or [np.zeros(0, int)])
+        n, document = np.concatenate([n for _, n in counted] or [np.zeros(0, int)]), np.repeat(np.arange(len(counted)), [len(h) for h, _ in counted])
+        weight = (1 + np.log(n)) * (np.log((1 + n_docs) / (1 + df)) + 1)[at]
+        norm, wanted = np.sqrt(np.bincount(document, np.square(weight), len(counted))), number[at] > 0
+        sizes = np.bincount(document[wanted], minlength=len(counted))
+        there = np.flatnonzero(sizes)
+        ends = pa.array(np.append(0, np.cumsum(sizes[there])).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x[wanted].astype(np.int64))) for x in (number[at] - 1, n)]
+        return pa.table({key: table[key].take(pa.array(there)), "norm": pa.array(norm[there]), "terms": lists[0], "counts": lists[1]})
+    answers = idf.where(F.col("chunk").isNotNull()).select("chunk", "range", "size", "data").repartitionById(tasks, F.col("chunk"))
+    rows = words.groupBy("__chunk").cogroup(answers.groupBy("chunk")).applyInArrow(look_up, f"`{key}` {kind}, norm double, terms array<bigint>, counts array<bigint>")
+    rows = write_shared(rows, "looked-up")
+    weights = idf.where(F.col("term").isNotNull()).select("term", "number", (F.ln((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
+    weights = write_shared(weights, "query-idf")
+    drop_shared(idf)
+    return rows, weights
 
 
 class PostingsStore:
@@ -175,6 +243,11 @@ class Keywords:
 
     def __init__(self, docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, text: str = "text"):
         self.doc_key, self.query_key = doc_key, query_key
+        with sparing(docs.sparkSession):
+            self._store(docs, queries, text)
+
+    def _store(self, docs: DataFrame, queries: DataFrame, text: str) -> None:
+        doc_key, query_key = self.doc_key, self.query_key
         q = terms(queries.where(F.col(query_key).isNotNull()), query_key, text).select(query_key, F.xxhash64("term").alias("term"), "n")
         q = write_shared(q, "query-terms")
         rows, idf = weighted_terms(docs.where(F.col(doc_key).isNotNull()), doc_key, q.select("term").distinct(), text)

@@ -132,9 +132,9 @@ def counted_terms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return d.select(key, F.transform("at", lambda i: F.get("g", i - 1)).alias("terms"), F.zip_with("at", ends, lambda a, b: (b - a).cast("bigint")).alias("counts"))
 
 
-def word_lists(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, words): one row per key with the lower-cased words of each of its texts. Texts are shuffled once, whole."""
-    return docs.groupBy(key).agg(F.collect_list(text).alias("t")).select(key, F.transform("t", _words).alias("words"))
+def word_lists(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """(keys, words): one row per key with the lower-cased words of each of its texts. Texts are shuffled once, whole."""
+    return docs.groupBy(*keys).agg(F.collect_list(text).alias("t")).select(*keys, F.transform("t", _words).alias("words"))
 
 
 def term_hashes(words: str) -> Column:
